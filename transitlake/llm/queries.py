@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_counts, url_filter
+from . import exact_dedup, language_id, token_counts, url_filter, warc
 
 MODULES = {
     "op4_exact_dedup": exact_dedup,
     "op7_token_counts": token_counts,
     "op8_url_filters": url_filter,
+    "op9_language_id": language_id,
+    "op10_warc": warc,
 }
 
 
