@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hamming_search, language_id, mixing, packing, token_counts, url_filter, warc
+from . import exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, token_counts, url_filter, warc
 
 MODULES = {
     "op1_best_fit_packing": packing,
     "op2_exact_top_k": hamming_search,
     "op4_exact_dedup": exact_dedup,
+    "op3_ngram_join": ngram_join,
     "op5_mixing": mixing,
     "op7_token_counts": token_counts,
     "op8_url_filters": url_filter,

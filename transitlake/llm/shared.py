@@ -71,10 +71,9 @@ BYTE_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * U(_BASE))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
+    """base**i and base**-i modulo 2**64 for i < n and on."""
     size = 1 << max(12, int(n).bit_length())
-    if size not in _POW:
-        _POW.clear()
+    if not _POW or max(_POW) < size:
         inverse = pow(_BASE, -1, 1 << 64)
         both = []
         for b in (_BASE, inverse):
@@ -82,13 +81,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             while len(p) < size:
                 p = np.concatenate([p, p * U(pow(b, len(p), 1 << 64))])
             both.append(p)
+        _POW.clear()
         _POW[size] = (both[0], both[1])
-    return _POW[size]
+    return next(iter(_POW.values()))
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which span_hashes derives a hash of any span of the bytes."""
-    p, _ = powers(len(data) + 1)
+    p, _ = powers(len(data) + 1)  # longer than needed where a longer text came before
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_CODES[data] * p[: len(data)], out=out[1:])
     return out
