@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, token_counts, url_filter, warc
+from . import exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, suffix_dedup, token_counts, url_filter, warc
 
 MODULES = {
     "op1_best_fit_packing": packing,
@@ -14,6 +14,7 @@ MODULES = {
     "op4_exact_dedup": exact_dedup,
     "op3_ngram_join": ngram_join,
     "op5_mixing": mixing,
+    "op6_suffix_dedup": suffix_dedup,
     "op7_token_counts": token_counts,
     "op8_url_filters": url_filter,
     "op9_language_id": language_id,
