@@ -88,9 +88,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents whose row stays, with all their columns."""
     _, index = build_index(docs, id_col, text_col)
-    keep = index.select(F.col("keep_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    here = F.col(f"`{id_col}`").eqNullSafe(F.col("_keep")) & (F.sha2(shared.text_of(text_col), 256) == F.col("_sha"))
-    return docs.join(keep, here, "left_semi")
+    keep = index.select("keep_id", F.col("text_sha256").alias("sha"))
+    rows = shared.carried(docs, doc_id=F.col(f"`{id_col}`"), text_sha256=F.sha2(shared.text_of(text_col), 256))
+    return rows.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("sha")), "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,9 +256,10 @@ def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", t
     are read whole; their language, source and id play no part. Repeated rows are judged each; nothing is shuffled.
     Columns of docs named lang_pred, score or rejected are replaced.
     """
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")])
+    rows = shared.carried(kept, text=shared.text_of(text_col))
     if model is None:
-        return docs.select(*[F.col(f"`{c}`") for c in rest], F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return rows.select("_row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -269,7 +270,7 @@ def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", t
             best, share, out = sent.value.judge(cross, np.maximum(n, 1))
             yield pd.DataFrame({"lang_pred": names[np.where(n > 0, best, -1)], "score": np.where(n > 0, share, 0.0), "rejected": out | (n == 0)})
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], judged(shared.text_of(text_col)).alias("_judged")).select(*[F.col(f"`{c}`") for c in rest], "_judged.*")
+    return rows.select("_row", judged("text").alias("judged")).select("_row.*", "judged.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

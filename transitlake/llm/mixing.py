@@ -20,6 +20,8 @@ MAX_EPOCHS = 4
 #: The budget in tokens as a share of the corpus.
 BUDGET_SHARE = 1.0
 SEED = 20_240_607
+#: Stands between the levels in the name of a leaf.
+SEPARATOR = "\x1f"
 #: Documents that share a bucket of a leaf's order; only the bucket at a leaf's boundary is sorted.
 BUCKET_DOCS = 4_096
 #: The plan has a row per leaf and is broadcast; more leaves than this are refused.
@@ -75,16 +77,16 @@ def budgets(leaves: Mapping[tuple[str, ...], int], budget: float, weight, max_ep
     return given
 
 
-def _place(docs: DataFrame, id_col: str, levels: Mapping[str, Column]) -> DataFrame:
-    """docs with _leaf, and the levels under _level0 and on."""
-    named = {f"_level{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(levels.values())}
-    out = docs.withColumns(named)
-    return out.withColumn("_leaf", F.concat_ws("\x1f", *named))
+def _place(docs: DataFrame, levels: Mapping[str, Column], id_col: str, text_col: str) -> DataFrame:
+    """Each row in _row, with its doc_id, text, levels and leaf."""
+    named = {f"level{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(levels.values())}
+    out = shared.carried(docs, doc_id=F.col(f"`{id_col}`"), text=shared.text_of(text_col), **named)
+    return out.withColumn("leaf", F.concat_ws(SEPARATOR, *named))
 
 
-def _order(id_col: str, epoch: Column) -> Column:
+def _order(epoch: Column) -> Column:
     """A document's place in the order of an epoch: a hash of seed, epoch and id."""
-    return F.xxhash64(F.lit(SEED), epoch, F.col(f"`{id_col}`"))
+    return F.xxhash64(F.lit(SEED), epoch, F.col("doc_id"))
 
 
 def _bucket(h: Column, bits: Column) -> Column:
@@ -99,44 +101,43 @@ def plan(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: fl
     left for the next, the bits of its buckets, and the bucket at the boundary. edge: the documents of those buckets
     that are still within the leaf's budget.
     """
-    placed = _place(docs, id_col, levels)
-    names = list(levels)
+    placed = _place(docs, levels, id_col, text_col)
+    level = [f"level{i}" for i in range(len(levels))]
     measured = shared.written(
-        placed.select(F.col(f"`{id_col}`").alias("doc_id"), *[F.col(f"_level{i}").alias(f"_level{i}") for i in range(len(names))], "_leaf", word_count(shared.text_of(text_col)).alias("n_tokens")).filter("n_tokens > 0"),
+        placed.select("doc_id", *level, "leaf", word_count(F.col("text")).alias("n_tokens")).filter("n_tokens > 0"),
         "mixing-measured",
     )
-    stats = measured.groupBy("_leaf", *[f"_level{i}" for i in range(len(names))]).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_LEAVES + 1).collect()
+    stats = measured.groupBy("leaf", *level).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_LEAVES + 1).collect()
     if len(stats) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} leaves")
-    tokens = {tuple(r[f"_level{i}"] for i in range(len(names))): r.tokens for r in stats}
+    tokens = {tuple(r[c] for c in level): r.tokens for r in stats}
     given = budgets(tokens, budget_share * sum(tokens.values()), weight, max_epochs)
     rows = []
     for r in stats:
-        quota = given[tuple(r[f"_level{i}"] for i in range(len(names)))]
-        rows.append((r._leaf, quota // r.tokens, quota % r.tokens, max(0, math.ceil(math.log2(max(1, r.docs / bucket_docs))))))
+        quota = given[tuple(r[c] for c in level)]
+        rows.append((r.leaf, quota // r.tokens, quota % r.tokens, max(0, math.ceil(math.log2(max(1, r.docs / bucket_docs))))))
     spark = docs.sparkSession
-    quotas = spark.createDataFrame(rows, "_leaf string, full long, rest long, bits int")
-    part = measured.join(F.broadcast(quotas), "_leaf").filter("rest > 0").withColumn("h", _order("doc_id", F.col("full")))
+    quotas = spark.createDataFrame(rows, "leaf string, full long, rest long, bits int")
+    part = measured.join(F.broadcast(quotas), "leaf").filter("rest > 0").withColumn("h", _order(F.col("full")))
     part = part.withColumn("bucket", _bucket(F.col("h"), F.col("bits")))
-    sums = part.groupBy("_leaf", "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
-    running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("_leaf").orderBy("bucket")))
+    sums = part.groupBy("leaf", "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
+    running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")))
     bounds = shared.written(
-        running.filter("upto > rest").groupBy("_leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("b")).select("_leaf", "b.*"), "mixing-bounds"
+        running.filter("upto > rest").groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("b")).select("leaf", "b.*"), "mixing-bounds"
     )
-    leaves = quotas.join(bounds, "_leaf", "left")
-    last = part.join(F.broadcast(bounds), ["_leaf", "bucket"])
-    inside = Window.partitionBy("_leaf").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = last.withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).filter("upto <= rest").select("_leaf", "doc_id", "n_tokens")
+    leaves = quotas.join(bounds, "leaf", "left")
+    last = part.join(F.broadcast(bounds), ["leaf", "bucket"])
+    inside = Window.partitionBy("leaf").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    edge = last.withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).filter("upto <= rest").select("leaf", "doc_id", "n_tokens")
     return measured, leaves, shared.written(edge, "mixing-edge")
 
 
-def _taken(placed: DataFrame, leaves: DataFrame, id_col: str) -> DataFrame:
-    """placed with _epochs, the epochs that take a document whole, and _edge, if the bucket at the boundary holds it."""
-    met = placed.join(F.broadcast(leaves), "_leaf").withColumn("_h", _order(id_col, F.col("full")))
-    at = _bucket(F.col("_h"), F.col("bits"))
+def _taken(placed: DataFrame, leaves: DataFrame) -> DataFrame:
+    """placed with epochs, how many take a document whole, and edge, if the bucket at the boundary holds it."""
+    met = placed.join(F.broadcast(leaves), "leaf").withColumn("h", _order(F.col("full")))
+    at = _bucket(F.col("h"), F.col("bits"))
     before = (F.col("rest") > 0) & (F.col("bucket").isNull() | (at < F.col("bucket")))
-    n = F.col("full") + F.when(before, 1).otherwise(0)
-    return met.withColumns({"_epochs": n, "_edge": F.coalesce((F.col("rest") > 0) & (at == F.col("bucket")), F.lit(False))})
+    return met.withColumns({"epochs": F.col("full") + F.when(before, 1).otherwise(0), "edge": F.coalesce((F.col("rest") > 0) & (at == F.col("bucket")), F.lit(False))})
 
 
 def mix(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = BUCKET_DOCS) -> DataFrame:
@@ -148,10 +149,10 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: flo
     a fixed order. Empty tables give no rows.
     """
     measured, leaves, edge = plan(docs, levels, weight, budget_share, max_epochs, id_col, text_col, bucket_docs)
-    taken = _taken(measured, leaves, "doc_id")
-    whole = taken.filter("_epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)))
-    part = edge.join(F.broadcast(leaves.select("_leaf", F.col("full").alias("epoch"))), "_leaf")
-    level = [F.element_at(F.split("_leaf", "\x1f"), i + 1).alias(name) for i, name in enumerate(levels)]
+    taken = _taken(measured, leaves)
+    whole = taken.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
+    part = edge.join(F.broadcast(leaves.select("leaf", F.col("full").alias("epoch"))), "leaf")
+    level = [F.element_at(F.split("leaf", SEPARATOR), i + 1).alias(name) for i, name in enumerate(levels)]
     pick = lambda df: df.select("doc_id", *level, "n_tokens", "epoch")
     return pick(whole).unionByName(pick(part))
 
@@ -159,12 +160,11 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: flo
 def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], weight, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """The rows of docs, each as often as epochs take it. Only the documents of boundary buckets are shuffled."""
     _, leaves, edge = plan(docs, levels, weight, id_col=id_col, text_col=text_col, **more)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    worded = docs.filter(shared.text_of(text_col).rlike(r"\S"))
-    taken = _taken(_place(worded, id_col, levels), leaves, id_col)
-    whole = taken.filter("_epochs > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))).select(*columns)
-    ids = edge.select("_leaf", F.col("doc_id").alias("_id"), F.col("n_tokens").alias("_n")).distinct()
-    part = taken.filter("_edge").withColumn("_tokens", word_count(shared.text_of(text_col))).alias("t").join(ids.alias("e"), (F.col("t._leaf") == F.col("e._leaf")) & F.col(f"t.`{id_col}`").eqNullSafe(F.col("e._id")) & (F.col("_tokens") == F.col("_n")), "left_semi").select(*columns)
+    taken = _taken(_place(docs, levels, id_col, text_col).filter(F.col("text").rlike(r"\S")), leaves)
+    whole = taken.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs")))).select("_row.*")
+    ids = edge.select(F.col("leaf").alias("of"), F.col("doc_id").alias("id"), F.col("n_tokens").alias("n")).distinct()
+    met = (F.col("leaf") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tokens") == F.col("n"))
+    part = taken.filter("edge").withColumn("tokens", word_count(F.col("text"))).join(ids, met, "left_semi").select("_row.*")
     return whole.unionByName(part)
 
 

@@ -267,8 +267,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The documents that are the least of their component, with all their columns."""
-    stay = ngram_join(docs, id_col, text_col, percent, words).filter("component_id <=> doc_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(f"`{id_col}`").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = ngram_join(docs, id_col, text_col, percent, words).filter("component_id <=> doc_id").select(F.col("doc_id").alias("stay")).distinct()
+    rows = shared.carried(docs, doc_id=F.col(f"`{id_col}`").cast("long"))
+    return rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,6 +53,11 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def carried(docs: DataFrame, **needed: Column) -> DataFrame:
+    """The rows of docs whole in _row, where their columns can't clash with others, and the columns needed."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(name) for name, c in needed.items()])
+
+
 U = np.uint64
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15
