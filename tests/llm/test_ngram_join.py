@@ -1,0 +1,106 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from transitlake.llm import ngram_join
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, words=3):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows, percent=90):
+    sets = {}
+    for i, text in rows:
+        sets.setdefault(i, []).append(shingles(text))
+    nodes = [(i, s) for i, many in sets.items() for s in many]
+    root = list(range(len(nodes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(nodes)):
+        for b in range(a):
+            x, y = nodes[a][1], nodes[b][1]
+            n = len(x & y)
+            if x and y and 100 * n >= percent * (len(x) + len(y) - n):
+                root[find(a)] = find(b)
+    least = {}
+    for i, (doc, _) in enumerate(nodes):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return Counter((doc, len(s), least[find(i)]) for i, (doc, s) in enumerate(nodes))
+
+
+@pytest.mark.parametrize("block", [2000, 7])
+@pytest.mark.parametrize("percent", [90, 60])
+def test_components_of_odd_texts(odd_docs, block, percent):
+    got = ngram_join.ngram_join(odd_docs, percent=percent, block=block)
+    assert Counter(map(tuple, got.collect())) == brute([(r.doc_id, r.text) for r in odd_docs.collect()], percent)
+
+
+def chain(rng):
+    """Texts each over the threshold with the next only, around several unlike ones, in more than one block."""
+    base = [f"w{i}" for i in range(120)]
+    out = []
+    for _ in range(30):
+        base = list(base)
+        base[rng.randrange(len(base))] = f"n{rng.random()}"
+        out.append(" ".join(base))
+    return out
+
+
+@pytest.mark.parametrize("block", [5, 11, 2000])
+def test_chains_across_blocks(spark, block):
+    rng = random.Random(6)
+    texts = chain(rng) + chain(rng) + [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in range(1, 25)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    assert Counter(map(tuple, got.collect())) == brute(rows)
+
+
+def test_one_of_each_keeps_the_least_id(odd_docs, no_docs):
+    roots = {d: c for d, _, c in brute([(r.doc_id, r.text) for r in odd_docs.collect()])}
+    kept = ngram_join.one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert Counter(kept.collect()) == Counter(r for r in odd_docs.collect() if roots[r.doc_id] == r.doc_id)
+    assert ngram_join.ngram_join(no_docs).count() == 0
+    assert ngram_join.one_of_each(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("percent", [90, 75])
+def test_partners_share_a_path(percent):
+    rng = np.random.default_rng(percent)
+    for n in [1, 2, 3, 5, 9, 10, 11, 14, 19, 20, 29, 40, 63, 95, 141, 142, 143, 400]:
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            keep = a[np.sort(rng.choice(len(a), len(a) - rng.integers(0, len(a) // 6 + 1), replace=False))]
+            b = np.unique(np.concatenate([keep, rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 2)), dtype=np.uint64)]))
+            inter = len(np.intersect1d(a, b))
+            if len(b) and 100 * inter >= percent * (len(a) + len(b) - inter):
+                assert np.intersect1d(ngram_join.path_keys(a, percent), ngram_join.path_keys(b, percent)).size
+
+
+def test_sets_that_leave_segments_empty_are_filed():
+    # All hashes in one small range: nearly every segment is empty.
+    a = np.arange(1000, 1100, dtype=np.uint64)
+    b = np.concatenate([a[:-1], np.array([2**63], dtype=np.uint64)])
+    assert np.intersect1d(ngram_join.path_keys(a), ngram_join.path_keys(b)).size
+
+
+def test_tree_prunes_but_finds_all():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, k)), rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in rng.integers(0, 25, 80)]
+    tree = ngram_join.PrefixTree(sets)
+    for i, q in enumerate(sets):
+        want = sorted(j for j, s in enumerate(sets) if 100 * (n := len(np.intersect1d(q, s))) >= 90 * (len(q) + len(s) - n))
+        assert sorted(tree.linked(q, set(range(len(sets))))) == want

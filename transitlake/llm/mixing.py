@@ -162,9 +162,11 @@ def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], weight, id_co
     _, leaves, edge = plan(docs, levels, weight, id_col=id_col, text_col=text_col, **more)
     taken = _taken(_place(docs, levels, id_col, text_col).filter(F.col("text").rlike(r"\S")), leaves)
     whole = taken.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs")))).select("_row.*")
-    ids = edge.select(F.col("leaf").alias("of"), F.col("doc_id").alias("id"), F.col("n_tokens").alias("n")).distinct()
+    # Of rows that repeat an id, as many stay as the edge has; only boundary buckets are sorted for that.
+    ids = edge.groupBy(F.col("leaf").alias("of"), F.col("doc_id").alias("id"), F.col("n_tokens").alias("n")).agg(F.count(F.lit(1)).alias("times"))
     met = (F.col("leaf") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tokens") == F.col("n"))
-    part = taken.filter("edge").withColumn("tokens", word_count(F.col("text"))).join(ids, met, "left_semi").select("_row.*")
+    same = Window.partitionBy("leaf", "doc_id", "tokens").orderBy("h")
+    part = taken.filter("edge").withColumn("tokens", word_count(F.col("text"))).join(ids, met).withColumn("which", F.row_number().over(same)).filter("which <= times").select("_row.*")
     return whole.unionByName(part)
 
 

@@ -77,7 +77,7 @@ def pack(docs: DataFrame, tokens: Column, sizes: Sequence[int] = SIZES, id_col:
     largest = max(sizes)
     n = F.coalesce(tokens.cast("long"), F.lit(0))
     lengths = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), n.alias("n")).filter("n > 0")
-    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(largest).cast("long")))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(largest).cast("long")))
     pieces = lengths.select("doc_id", "n", first.alias("first_token")).select("doc_id", "first_token", F.least(F.lit(largest), F.col("n") - F.col("first_token")).cast("int").alias("n_tokens"))
     dealt = pieces.repartition("doc_id", "first_token").sortWithinPartitions("doc_id", "first_token", "n_tokens")
 
