@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from transitlake.functions import costs, geo, names, times
-from transitlake.operators import graphs, journeys, registry, sequences, service, skyline, spatial
+from transitlake.operators import graphs, journeys, registry, resolve, sequences, service, skyline, spatial
 from transitlake.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,6 +517,32 @@ def first_catchable_arrival(spark, sf_dir):
     return a.select("user_id", costs.first_wait_s(F.col("a"), F.col("walk"), F.lit(420)).cast("double").alias("wait_s"))
 
 
+# --- matching ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH p AS (SELECT c_custkey, s_suppkey, lower(a.n_name) AS w, lower(b.n_name) AS k, {_CS} AS d FROM customer JOIN nation a ON c_nationkey = a.n_nationkey, supplier JOIN nation b ON s_nationkey = b.n_nationkey WHERE {_CS} <= 25000),
+m AS (SELECT c_custkey, s_suppkey, d, CASE WHEN w = k THEN 0 WHEN least(length(w), length(k)) >= 4 AND (starts_with(k, w) OR starts_with(w, k)) THEN 3 END AS level FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY level, d, s_suppkey) AS rn, count(*) OVER (PARTITION BY c_custkey) AS n,
+  lead(d) OVER (PARTITION BY c_custkey ORDER BY level, d, s_suppkey) AS nd, lead(level) OVER (PARTITION BY c_custkey ORDER BY level, d, s_suppkey) AS nl FROM m WHERE level IS NOT NULL)
+SELECT c.c_custkey AS ask_id, r.s_suppkey AS stop_id, r.level::INTEGER AS level, round(r.d, 3) AS dist_m,
+  CASE WHEN r.rn IS NULL THEN 'unmatched' WHEN (nl = level AND nd - d <= 500) OR (level > 1 AND n > 1) THEN 'ambiguous' ELSE 'matched' END AS status
+FROM customer c LEFT JOIN r ON c.c_custkey = r.c_custkey AND r.rn = 1""")
+def endpoint_resolution(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    asked = t(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("ask_id"), F.col("n_name").alias("name"), lon(F.col("c_custkey")).alias("lon"), lat(F.col("c_custkey")).alias("lat"))
+    stops = t(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("stop_id"), F.col("n_name").alias("stop_name"), F.array().cast("array<string>").alias("aliases"), lon(F.col("s_suppkey")).alias("lon2"), lat(F.col("s_suppkey")).alias("lat2"))
+    return resolve.choose(asked, resolve.candidates(asked, stops, 25_000), 500).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS rn FROM orders)
+SELECT o_custkey, o_orderkey FROM r WHERE rn = 1""")
+def repeated_journeys(spark, sf_dir):
+    j = t(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.array("o_orderstatus", "o_orderpriority").alias("rides"))
+    return resolve.repeated_journeys(j, "o_custkey").select("o_custkey", F.col("pos").alias("o_orderkey"))
+
+
 # --- graphs -----------------------------------------------------------------------------------------------------
 
 
