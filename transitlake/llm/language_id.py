@@ -25,7 +25,7 @@ UNKNOWN = "und"
 SLACK = 1.0
 #: Allowance, in nats times the root of the length, for the spread of short texts.
 SHORT = 6.0
-WORDS = r"[\p{L}\p{M}]*\p{L}[\p{L}\p{M}]*"
+WORDS = r"\p{L}[\p{L}\p{M}]*"
 
 
 def words_of(text: str) -> list[str]:
