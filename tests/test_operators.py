@@ -221,3 +221,28 @@ def test_running_clock_reads_the_hour_of_boarding(spark):
 def test_day_types(spark):
     rows = spark.createDataFrame([(datetime(2024, 1, d, h),) for d, h in ((5, 1), (6, 3), (7, 5))], "t timestamp")
     assert [(r.a, r.b) for r in rows.orderBy("t").select(times.day_type(F.col("t")).alias("a"), times.rail_hour(F.col("t")).alias("b")).collect()] == [("평일", 25), ("토요일", None), ("일요일", 5)]
+
+
+def test_toward(spark):
+    chains = spark.createDataFrame([("o", True, list("abcdef")), ("l", False, list("abcdef"))], "chain string, is_loop boolean, stops array<string>")
+    rides = spark.createDataFrame([(1, "o", "a", "c"), (2, "o", "a", "e"), (3, "o", "a", "d"), (4, "l", "e", "a"), (5, "l", "a", "f"), (6, "l", "a", "z")], "ride_id int, chain string, board string, alight string")
+    assert {r.ride_id: r.toward for r in sequences.toward(chains, rides).collect()} == {1: "b", 2: "f", 3: "b", 4: "d", 5: "b"}
+
+
+def test_progress(spark):
+    path = spark.createDataFrame([("p", 0, 0.0, 0.0, 100.0, 0.0), ("p", 1, 100.0, 0.0, 100.0, 50.0)], "k string, seg int, ax double, ay double, bx double, by double")
+    got = sequences.progress(path, spark.createDataFrame([("p", 104.0, 20.0)], "k string, x double, y double"), "k").first()
+    assert (got.done_m, got.left_m, got.off_m) == (120.0, 30.0, 4.0)
+
+
+def test_live_names(spark):
+    stations = spark.createDataFrame([("1", "L", ["강남역"]), ("2", "L", ["없음", "시청(1)"]), ("3", "L", ["역삼"]), ("4", "M", ["강남"])], "station_id string, line_id string, names array<string>")
+    live = spark.createDataFrame([("L", "강남"), ("L", "시청")], "line_id string, live_name string")
+    over = spark.createDataFrame([("3", "선릉")], "station_id string, live_name string")
+    assert {r.station_id: (r.live_name, r.match) for r in registry.live_names(stations, live, over).collect()} == {"1": ("강남", "exact"), "2": ("시청", "alias"), "3": ("선릉", "override"), "4": (None, "none")}
+
+
+def test_freshness(spark):
+    df = spark.createDataFrame([("a", "2023-01-05"), ("a", "2024.02.01"), ("a", "1900-01-00"), ("a", "")], "k string, d string")
+    r = registry.freshness(df, "k", times.parse_date(F.col("d")), "2024-01-01").first()
+    assert (str(r["first"]), str(r["last"]), r.stale, r.missing) == ("2023-01-05", "2024-02-01", 1, 2)

@@ -46,19 +46,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     codes = shared.written(codes.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     counts = codes.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
     needed = min(k, counts.ids)
-    n = max(1, min(bits, round(bits / max(1.0, math.log2(max(2, counts.codes))))))
+    n = max(1, min(bits, math.ceil(bits / max(1.0, math.log2(max(2, counts.codes))))))
     cut = segments(bits, n)
     index = shared.written(codes.select("code", "ids", _parts(F.col("code"), cut).alias("p")).select("p.seg", "p.part", "code", "ids").repartition("seg", "part"), "segment-index")
-    asked = shared.written(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).filter("query_id is not null and query_code is not null").distinct(), "queries")
+    asked = shared.written(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).filter("query_id is not null and query_code is not null").distinct().withColumn("bound", F.lit(bits)), "queries")
     done, found, open_ = None, None, asked
+    distance = F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).cast("int")
     for s in range(max(w for _, w in cut) + 1):
         if not needed or open_.isEmpty():
             break
         flips = [(w, sum(1 << b for b in bits_)) for w in {w for _, w in cut} if w >= s for bits_ in combinations(range(w), s)]
         masks = spark.createDataFrame(flips, "width int, mask long")
-        probes = open_.select("query_id", "query_code", _parts(F.col("query_code"), cut).alias("p")).select("query_id", "query_code", "p.*")
-        probes = probes.join(F.broadcast(masks), "width").select("query_id", "query_code", "seg", F.col("part").bitwiseXOR(F.col("mask")).alias("part"))
-        met = probes.join(index, ["seg", "part"]).select("query_id", F.explode("ids").alias("neighbor_id"), F.bit_count(F.col("query_code").bitwiseXOR(F.col("code"))).cast("int").alias("distance"))
+        probes = open_.select("query_id", "query_code", "bound", _parts(F.col("query_code"), cut).alias("p")).select("query_id", "query_code", "bound", "p.*")
+        probes = probes.join(F.broadcast(masks), "width").select("query_id", "query_code", "bound", F.col("seg").alias("s"), F.col("part").bitwiseXOR(F.col("mask")).alias("p"))
+        near = (F.col("s") == F.col("seg")) & (F.col("p") == F.col("part")) & (distance <= F.col("bound"))
+        met = probes.join(index, near).select("query_id", F.explode("ids").alias("neighbor_id"), distance.alias("distance"))
         met = met if found is None else met.unionByName(found.join(open_.select("query_id"), "query_id", "left_semi"))
         order = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
         best = met.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -69,7 +71,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
         closed = ranked.join(finished, "query_id", "left_semi")
         done = closed if done is None else done.unionByName(closed)
         found = ranked.drop("rank")
-        open_ = shared.written(open_.join(finished, "query_id", "left_anti"), "open")
+        # What is found later counts only within the kth distance so far.
+        bound = F.when(F.col("n") >= needed, F.col("d")).otherwise(bits)
+        left = open_.drop("bound").join(finished, "query_id", "left_anti").join(state, "query_id", "left")
+        open_ = shared.written(left.select("query_id", "query_code", F.coalesce(bound, F.lit(bits)).alias("bound")), "open")
     if done is None:
         return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
     return done.select("query_id", "rank", "neighbor_id", "distance")

@@ -24,8 +24,8 @@ WINDOW = 100
 GRAM = 16
 #: Window starts that are worked on together; longer texts are cut, with overlap.
 PIECE = 200_000
-#: An anchor that occurs oftener goes by way of single windows, which are combined before the shuffle.
-HOT = 5_000
+#: An anchor that occurs oftener, so that its runs would fill some 100 MB of a task, goes by way of single windows, which are combined before the shuffle.
+HOT = 50_000
 #: Bytes of runs that a range holds, and runs that are sorted together at least.
 RANGE_BYTES, SORT_RUNS = 24_000_000, 20_000
 #: Rows get ids whose upper part is the number of the chunk that holds them.

@@ -78,3 +78,22 @@ def fallback_join(df: DataFrame, key: str, tables: Sequence[tuple[DataFrame, str
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)
+
+
+def live_names(stations: DataFrame, live: DataFrame, overrides: DataFrame) -> DataFrame:
+    """stations(station_id, line_id, names array) with the name of live(line_id, live_name) to ask by, and how it was found.
+
+    An override(station_id, live_name) comes first, then the station's own name, then its other names in their order.
+    """
+    tried = stations.select("station_id", "line_id", F.posexplode("names").alias("i", "name")).withColumn("key", names.name_key(F.col("name"), station=True))
+    known = live.select("line_id", "live_name", names.name_key(F.col("live_name"), station=True).alias("key"))
+    hit = tried.join(known, ["line_id", "key"]).groupBy("station_id").agg(F.min(F.struct("i", "live_name")).alias("b"))
+    given = overrides.select("station_id", F.col("live_name").alias("given"))
+    out = stations.join(given, "station_id", "left").join(hit, "station_id", "left")
+    how = F.when(F.col("given").isNotNull(), "override").when(F.col("b.i") == 0, "exact").when(F.col("b").isNotNull(), "alias").otherwise("none")
+    return out.select("station_id", F.coalesce("given", "b.live_name").alias("live_name"), how.alias("match"))
+
+
+def freshness(df: DataFrame, key: str, date: Column, stale: str) -> DataFrame:
+    """first, last, and how many dates of a key are stale or missing."""
+    return df.withColumn("_d", date).groupBy(key).agg(F.min("_d").alias("first"), F.max("_d").alias("last"), F.count_if(F.col("_d") < F.lit(stale).cast("date")).alias("stale"), F.count_if(F.col("_d").isNull()).alias("missing"))

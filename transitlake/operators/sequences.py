@@ -98,3 +98,39 @@ def joined_chains(chains: DataFrame) -> DataFrame:
     met = a.join(b, (F.col("line") == F.col("line_b")) & (F.col("at") == F.col("at_b")) & (F.col("a") < F.col("b")))
     only = F.size(F.array_intersect("sa", "sb")) == 1
     return met.filter(only).select("line", "a", "b", F.concat("sa", F.slice("sb", F.lit(2), F.size("sb"))).alias("stops"))
+
+
+def upstream(seq: DataFrame, key: str, cum: str, most: int = 12) -> DataFrame:
+    """For each position and each of up to most stops before it, the time from there: ahead, upstream_s."""
+    later = seq.select(key, F.col("pos"), F.col(cum).alias("_c"))
+    ahead = F.explode(F.sequence(F.lit(1), F.least(F.lit(most).cast("long"), F.greatest(F.col("pos"), F.lit(1))).cast("int")))
+    wanted = later.filter("pos > 0").withColumn("ahead", ahead).withColumn("_p", F.col("pos") - F.col("ahead"))
+    before = seq.select(key, F.col("pos").alias("_p"), F.col(cum).alias("_b"))
+    return wanted.join(before, [key, "_p"]).select(key, "pos", "ahead", (F.col("_c") - F.col("_b")).alias("upstream_s"))
+
+
+def toward(chains: DataFrame, rides: DataFrame) -> DataFrame:
+    """The stop next after boarding on the way to alighting, of rides(ride_id, chain, board, alight).
+
+    chains(chain, is_loop, stops). On a loop the shorter way round is taken, ties forward.
+    """
+    met = rides.join(chains, "chain").withColumns({"n": F.size("stops"), "i": F.array_position("stops", F.col("board")).cast("int") - 1, "j": F.array_position("stops", F.col("alight")).cast("int") - 1}).filter("i >= 0 and j >= 0 and i <> j")
+    ahead = F.pmod(F.col("j") - F.col("i"), F.col("n"))
+    step = F.when(F.col("is_loop"), F.when(ahead * 2 <= F.col("n"), 1).otherwise(-1)).otherwise(F.signum(F.col("j") - F.col("i")).cast("int"))
+    return met.select("ride_id", F.get("stops", F.pmod(F.col("i") + step, F.col("n"))).alias("toward"))
+
+
+def progress(paths: DataFrame, positions_: DataFrame, key: str) -> DataFrame:
+    """Where a position lies along a path: metres from its start and left to its end.
+
+    paths(key, seg, ax, ay, bx, by), positions_(key, x, y), in metres of one projection: the nearest segment, ties the first.
+    """
+    size = F.sqrt(F.pow(F.col("bx") - F.col("ax"), 2) + F.pow(F.col("by") - F.col("ay"), 2))
+    w = Window.partitionBy(key)
+    run = w.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    segs = paths.withColumn("size", size).withColumns({"start": F.coalesce(F.sum("size").over(run), F.lit(0.0)), "all": F.sum("size").over(w)})
+    met = segs.join(positions_, key)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((F.col("x") - F.col("ax")) * (F.col("bx") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("by") - F.col("ay"))) / F.nullif(F.pow("size", F.lit(2)), F.lit(0.0)), F.lit(0.0))))
+    placed = met.withColumn("t", t).withColumn("off", F.sqrt(F.pow(F.col("x") - F.col("ax") - F.col("t") * (F.col("bx") - F.col("ax")), 2) + F.pow(F.col("y") - F.col("ay") - F.col("t") * (F.col("by") - F.col("ay")), 2)))
+    best = placed.groupBy(key).agg(F.min(F.struct("off", "seg", (F.col("start") + F.col("t") * F.col("size")).alias("done"), "all")).alias("b"))
+    return best.select(key, F.col("b.done").alias("done_m"), (F.col("b.all") - F.col("b.done")).alias("left_m"), F.col("b.off").alias("off_m"))

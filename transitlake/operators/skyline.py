@@ -51,6 +51,26 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -
     return ranked.withColumn("truncated", F.max("rank").over(w) > n).filter(F.col("rank") <= n)
 
 
+def plan(candidates: DataFrame, baselines: DataFrame, key: str, min_saving_s: float, per_minute: float) -> DataFrame:
+    """The candidates(key, id, time_s, fare) worth showing against each key's fastest baseline.
+
+    The baseline is the fastest, then cheapest, an unknown fare last. Candidates stay that save min_saving_s, and of
+    these the front. won_per_minute is what a saved minute costs more; recommended says that it is within per_minute.
+    """
+    fast = F.struct("time_s", F.col("fare").isNull().alias("unknown"), "fare")
+    base = baselines.groupBy(key).agg(F.min(fast).alias("b")).select(key, F.col("b.time_s").alias("base_s"), F.col("b.fare").alias("base_fare"))
+    saving = candidates.join(base, key).filter(F.col("base_s") - F.col("time_s") >= min_saving_s)
+    shown = front(saving, [key], "time_s", "fare", "id")
+    price = (F.col("fare") - F.col("base_fare")) / ((F.col("base_s") - F.col("time_s")) / 60)
+    return shown.select(key, "id", "time_s", "fare", price.alias("won_per_minute"), F.coalesce(price <= per_minute, F.lit(False)).alias("recommended"))
+
+
+def majority(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The value that a key has most often, ties the one first seen."""
+    counted = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_o"))
+    return counted.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("_n"), "_o", value)).alias("b")).select(key, F.col(f"b.{value}").alias(value))
+
+
 def first_usable(df: DataFrame, keys: Sequence[str], usable: Column, priority: Column, tie: str) -> DataFrame:
     """Of each key the first source in order of priority that is usable, else the first there is."""
     rest = [c for c in df.columns if c not in (*keys, tie)]

@@ -265,6 +265,13 @@ def patterns(spark, sf_dir):
     return sequences.running(seq, "route", geo.haversine_m(F.col("prev_lon"), F.col("prev_lat"), F.col("lon"), F.col("lat")) / 6.0, "cum_s")
 
 
+@query(f"""
+WITH {_PREV}, c AS (SELECT route, pos, sum(coalesce({_GAP}, 0) / 6.0) OVER (PARTITION BY route ORDER BY pos) AS cum_s FROM g)
+SELECT a.route, a.pos, (a.pos - b.pos)::INTEGER AS ahead, round(a.cum_s - b.cum_s, 3) AS upstream_s FROM c a JOIN c b ON a.route = b.route AND b.pos < a.pos AND a.pos - b.pos <= 3""")
+def upstream_time(spark, sf_dir):
+    return sequences.upstream(patterns(spark, sf_dir), "route", "cum_s", 3).select("route", "pos", "ahead", F.round("upstream_s", 3).alias("upstream_s"))
+
+
 @query(f"WITH {_ROUTES} SELECT a.route, a.stop AS board, b.stop AS alight, min(b.pos - a.pos) AS gap FROM routes a JOIN routes b ON a.route = b.route AND b.pos > a.pos GROUP BY 1, 2, 3")
 def route_pair_gap(spark, sf_dir):
     return sequences.ordered_pairs(routes(spark, sf_dir), "route", "stop")
@@ -457,6 +464,25 @@ def saving_per_minute(spark, sf_dir):
     return met.select("o_custkey", "o_orderkey", F.round(price, 4).alias("won_per_minute"), F.coalesce(price <= 300, F.lit(False)).alias("recommended"))
 
 
+@query(f"""WITH {_COSTS}, e AS (SELECT o_custkey, time_s, fare, row_number() OVER (PARTITION BY o_custkey ORDER BY time_s, fare) AS rn FROM c WHERE o_orderkey % 2 = 0),
+b AS (SELECT o_custkey, time_s AS bt, fare AS bf FROM e WHERE rn = 1),
+k AS (SELECT c.*, bt, bf FROM c JOIN b ON c.o_custkey = b.o_custkey WHERE c.o_orderkey % 2 = 1 AND bt - c.time_s >= 300),
+f AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, time_s, fare ORDER BY o_orderkey) AS rn FROM k WHERE NOT EXISTS (SELECT 1 FROM k d WHERE d.o_custkey = k.o_custkey AND d.time_s <= k.time_s AND d.fare <= k.fare AND (d.time_s < k.time_s OR d.fare < k.fare)))
+SELECT o_custkey, o_orderkey AS id, round((fare - bf) / ((bt - time_s) / 60.0), 4) AS won_per_minute, (fare - bf) / ((bt - time_s) / 60.0) <= 300 AS recommended FROM f WHERE rn = 1""")
+def journey_plan(spark, sf_dir):
+    c = order_costs(spark, sf_dir).withColumnRenamed("o_orderkey", "id")
+    shown = skyline.plan(c.filter("id % 2 = 1"), c.filter("id % 2 = 0"), "o_custkey", costs.MIN_SAVING_S, costs.VALUE_OF_TIME["balance"])
+    return shown.select("o_custkey", "id", F.round("won_per_minute", 4).alias("won_per_minute"), "recommended")
+
+
+@query("""
+WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, o, l_returnflag) AS rn FROM c)
+SELECT l_suppkey, l_returnflag FROM r WHERE rn = 1""")
+def majority_value(spark, sf_dir):
+    return skyline.majority(t(spark, sf_dir, "lineitem"), "l_suppkey", "l_returnflag", "l_orderkey")
+
+
 @query("""
 WITH r AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN 0 ELSE 1 END, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS rn FROM events)
 SELECT user_id, event_id, event_type FROM r WHERE rn = 1""")
