@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from . import graph, shared
 
-PERCENT = 90
-WORDS = 3
-#: Segments beyond what the threshold calls for, so that sets with this many empty segments share a filled one.
-SPARE = 2
+PERCENT = 80
+WORDS = 5
+#: Segments beyond what the threshold calls for, as a share of these and in number; so many are not filed, the shortest.
+SPARE_SHARE, SPARE = 0.3, 2
 #: Sets of neighbouring sizes are cut alike; sizes of a band grow by this.
-BAND = 1.5
+BAND = 1.25
 #: Sets that one task holds; larger clusters are dealt out in blocks.
 BLOCK = 2_000
 #: Bytes of text that are hashed together.
@@ -73,33 +73,39 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
 _EDGES = [1]
 
 
-def bands(n: int, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-    """(band, segments) under which a set of n shingles is filed: its own, and the next if partners can lie there."""
-    while _EDGES[-2:][0] <= n:
+def bands(n: int, percent: int = PERCENT) -> Iterator[tuple[int, int, int]]:
+    """(band, segments, spare segments) under which a set of n shingles is filed: its own, and higher ones if partners can lie there."""
+    while _EDGES[-1] * percent <= 100 * n or _EDGES[-1] <= n:
         _EDGES.append(max(_EDGES[-1] + 1, int(_EDGES[-1] * BAND)))
     band = int(np.searchsorted(_EDGES, n, side="right"))
-    for b in (band, band + 1):
-        if b == band or 100 * n >= percent * _EDGES[b - 1]:
-            yield b, 2 * (_EDGES[b] - 1) * (100 - percent) // (100 + percent) + 1 + SPARE
+    while True:
+        differ = 2 * (_EDGES[band] - 1) * (100 - percent) // (100 + percent)
+        spare = SPARE + int(differ * SPARE_SHARE)
+        yield band, differ + 1 + spare, spare
+        band += 1
+        if 100 * n < percent * _EDGES[band - 1]:
+            return
 
 
 def path_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first segments of all rotations of a set's sequence, as 64-bit keys.
+    """The first segments of rotations of a set's sequence, as 64-bit keys.
 
-    Partners agree on at least SPARE + 1 segments. If all of these are empty, both sets have more than SPARE empty
-    segments, and then these are filed as well.
+    Partners agree on more segments than are spare. Each set leaves out as many as are spare, those that come first
+    in one order of all segments, the empty and short ones ahead; so neither leaves out the last they agree on.
     """
     with np.errstate(over="ignore"):
         scrambled = shared.mix64(s ^ C3)
         out = []
-        for band, k in bands(len(s), percent):
+        for band, k, spare in bands(len(s), percent):
             seg = ((s >> U(32)) * U(k)) >> U(32)
             first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-            place = seg[first] * C1 + U(band) * C2
-            out.append(shared.mix64(np.add.reduceat(scrambled, first) + place))
-            if k - len(first) > SPARE:
+            sizes = np.diff(np.append(first, len(s)))
+            keys = shared.mix64(np.add.reduceat(scrambled, first) + seg[first] * C1 + U(band) * C2)
+            if len(keys) < k - spare:
                 empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg[first])
-                out.append(shared.mix64(empty * C1 + U(band) * C2 + C3))
+                keys = np.concatenate((shared.mix64(empty * C1 + U(band) * C2 + C3), keys))
+                sizes = np.concatenate((np.zeros(len(empty), dtype=sizes.dtype), sizes))
+            out.append(keys[np.lexsort((keys, sizes))[-(k - spare) :]])
     return np.concatenate(out)
 
 
@@ -273,7 +279,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(shared.table(spark, sf_dir, "documents"))
+    return ngram_join(shared.table(spark, sf_dir, "documents"), percent=90, words=3)
 
 
 SQL = None
