@@ -8,7 +8,6 @@ share such a path are brought together, and their full sequences are stored in a
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +23,12 @@ WORDS = 5
 SPARE_SHARE, SPARE = 0.3, 2
 #: Sets of neighbouring sizes are cut alike; sizes of a band grow by this.
 BAND = 1.25
-#: Sets that one task holds; larger clusters are dealt out in blocks.
-BLOCK = 2_000
+#: Sets, and shingles in all, that a block holds; larger clusters are dealt out in blocks. Only a single set can be over.
+BLOCK, BLOCK_SHINGLES = 2_000, 3_000_000
+#: Numbers that a tree's table of counts holds, over all its sets.
+COUNTS = 4_000_000
 #: Bytes of text that are hashed together.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -123,10 +124,34 @@ class PrefixTree:
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             self.common[r] = differ[0] if len(differ) else n
-        self.postings: dict[int, list[int]] = defaultdict(list)
-        for i, s in enumerate(sets):
-            for k in path_keys(s, percent).tolist():
-                self.postings[k].append(i)
+        keys = [path_keys(s, percent) for s in sets]
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[by], owner[by]
+
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        most = max(2, min(4 * int(self.sizes.max()), COUNTS // len(sets)))
+        self.shift = U(64 - most.bit_length() + 1)
+        self.counts = np.stack([self.counted(s) for s in sets])
+
+    def counted(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles of a set lie in each of equal parts of the order."""
+        return np.bincount((s >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift))).astype(np.uint32)
+
+    def met(self, q: np.ndarray) -> list[int]:
+        """The sets that share a first path with q and could reach the threshold by what each part of the order holds."""
+        k = path_keys(q, self.percent)
+        left, right = np.searchsorted(self.keys, k, "left"), np.searchsorted(self.keys, k, "right")
+        share = np.zeros(len(self.sets), dtype=bool)
+        for a, b in zip(left.tolist(), right.tolist()):
+            share[self.owner[a:b]] = True
+        share = np.flatnonzero(share)
+        sizes = self.sizes[share]
+        near = (100 * sizes >= self.percent * len(q)) & (100 * len(q) >= self.percent * sizes)
+        share, sizes = share[near], sizes[near]
+        most = np.minimum(self.counts[share], self.counted(q)).sum(axis=1, dtype=np.int64)
+        return share[100 * most >= self.percent * (len(q) + sizes - most)].tolist()
 
     def linked(self, q: np.ndarray, wanted: set[int]) -> list[int]:
         """Those of wanted that share a path with q and reach the threshold.
@@ -135,8 +160,7 @@ class PrefixTree:
         what can still come, by the lengths that remain, stay under what the threshold asks for.
         """
         p, found = self.percent, []
-        met = {i for k in path_keys(q, p).tolist() for i in self.postings.get(k, ()) if i in wanted}
-        ranks = sorted(int(self.rank[i]) for i in met)
+        ranks = sorted(int(self.rank[i]) for i in self.met(q) if i in wanted)
         if not ranks:
             return found
         sizes = [len(self.sets[self.order[r]]) for r in ranks]
@@ -233,7 +257,7 @@ def _cross_join(pdf: pd.DataFrame, percent: int, words: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Two documents are linked if 100 * shared >= percent * all distinct shingles of both; component_id is the least id
@@ -247,8 +271,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = file_sets(docs, id_col, text_col, percent, words)
     classes = shared.written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "ngram-classes")
     placed = classes.join(candidate_clusters(sets), "s1")
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("hub")).filter("size > 1")
-    member = placed.join(sizes, "cluster").select("cluster", "rep", F.ceil(F.col("size") / block).cast("int").alias("blocks"), (F.col("rep") == F.col("hub")).alias("is_hub"))
+    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("rep").alias("hub")).filter("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / block_shingles)).cast("int")
+    member = placed.join(sizes, "cluster").select("cluster", "rep", blocks.alias("blocks"), (F.col("rep") == F.col("hub")).alias("is_hub"))
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
     held = texts.join(member, F.col("doc_id") == F.col("rep")).drop("rep")
     own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -260,7 +285,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     many = joined.filter("blocks > 1")
     if not many.isEmpty():
         loose = shared.written(many.filter("not linked").select("cluster", "block", "blocks", "doc_id", "comp"), "ngram-loose")
-        chunks = loose.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+        # A chunk of loose sets is as large as a block of all: their share of the cluster's blocks, at least one.
+        chunks = loose.groupBy("cluster", "blocks").agg(F.count(F.lit(1)).alias("m")).join(sizes.select("cluster", "size"), "cluster")
+        chunks = chunks.select("cluster", F.ceil(F.col("m") / F.col("size") * F.col("blocks")).cast("int").alias("chunks"))
         asked = loose.join(chunks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "comp", F.lit(True).alias("asked"))
         members = many.join(chunks, "cluster").select("cluster", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "comp", F.lit(False).alias("asked"))
         crossed = asked.unionByName(members).join(texts, "doc_id").groupBy("cluster", "block", "chunk").applyInPandas(lambda pdf: _cross_join(pdf, percent, words), "a long, b long")
