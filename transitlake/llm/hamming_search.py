@@ -13,6 +13,8 @@ from . import shared
 
 K = 10
 BITS = 64
+#: Segments are no wider, however many codes there are, so the masks of one radius, which are broadcast, are at most 705,432 a width.
+MAX_WIDTH = 22
 
 
 def sign_code(vector: Column, bits: int = BITS) -> Column:
@@ -46,7 +48,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = K, bits: int = BITS) ->
     codes = shared.written(codes.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "codes")
     counts = codes.agg(F.count(F.lit(1)).alias("codes"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
     needed = min(k, counts.ids)
-    n = max(1, min(bits, math.ceil(bits / max(1.0, math.log2(max(2, counts.codes))))))
+    n = max(1, min(bits, math.ceil(bits / min(MAX_WIDTH, math.log2(max(2, counts.codes))))))
     cut = segments(bits, n)
     index = shared.written(codes.select("code", "ids", _parts(F.col("code"), cut).alias("p")).select("p.seg", "p.part", "code", "ids").repartition("seg", "part"), "segment-index")
     asked = shared.written(queries.select(F.col("id").alias("query_id"), F.col("code").alias("query_code")).filter("query_id is not null and query_code is not null").distinct().withColumn("bound", F.lit(bits)), "queries")

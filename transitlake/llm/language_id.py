@@ -212,8 +212,10 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     each = min(SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL // max(1, len(sizes)))
-    cuts = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, each / r.chars) * 1_000_000)) for r in sizes], "lang string, cut int")
-    return labelled.join(F.broadcast(cuts), "lang").filter(F.pmod("h", F.lit(1_000_000)) < F.col("cut")).select("lang", "text", (F.pmod(F.shiftrightunsigned("h", 24), F.lit(10)) == 0).alias("calibrate"))
+    # The upper 53 bits of the hash choose, finely enough for any size of corpus; the others part fit from calibration.
+    cuts = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, each / r.chars) * (1 << 53))) for r in sizes], "lang string, cut long")
+    chosen = labelled.join(F.broadcast(cuts), "lang").filter(F.shiftrightunsigned("h", 11) < F.col("cut"))
+    return chosen.select("lang", "text", (F.col("h").bitwiseAND(F.lit(2047)) % 10 == 0).alias("calibrate"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KneserNey | None:

@@ -20,8 +20,6 @@ MAX_EPOCHS = 4
 #: The budget in tokens as a share of the corpus.
 BUDGET_SHARE = 1.0
 SEED = 20_240_607
-#: Stands between the levels in the name of a leaf.
-SEPARATOR = "\x1f"
 #: Documents that share a bucket of a leaf's order; only the bucket at a leaf's boundary is sorted.
 BUCKET_DOCS = 4_096
 #: The plan has a row per leaf and is broadcast; more leaves than this are refused.
@@ -81,7 +79,7 @@ def _place(docs: DataFrame, levels: Mapping[str, Column], id_col: str, text_col:
     """Each row in _row, with its doc_id, text, levels and leaf."""
     named = {f"level{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(levels.values())}
     out = shared.carried(docs, doc_id=F.col(f"`{id_col}`"), text=shared.text_of(text_col), **named)
-    return out.withColumn("leaf", F.concat_ws(SEPARATOR, *named))
+    return out.withColumn("leaf", F.to_json(F.array(*named)))
 
 
 def _order(epoch: Column) -> Column:
@@ -152,7 +150,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: flo
     taken = _taken(measured, leaves)
     whole = taken.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
     part = edge.join(F.broadcast(leaves.select("leaf", F.col("full").alias("epoch"))), "leaf")
-    level = [F.element_at(F.split("leaf", SEPARATOR), i + 1).alias(name) for i, name in enumerate(levels)]
+    level = [F.from_json("leaf", "array<string>")[i].alias(name) for i, name in enumerate(levels)]
     pick = lambda df: df.select("doc_id", *level, "n_tokens", "epoch")
     return pick(whole).unionByName(pick(part))
 
