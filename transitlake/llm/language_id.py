@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -18,8 +20,8 @@ SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL = 3_000_000, 24_000_000
 MAX_LANGUAGES = 500
 #: Probability of a character that no model has seen: one of 2**16.
 UNSEEN = 2.0**-16
-#: Words whose scores a task keeps at hand.
-MEMO = 200_000
+#: Words whose scores a task keeps at hand, and scores in all.
+MEMO, MEMO_SCORES = 400_000, 4_000_000
 UNKNOWN = "und"
 #: A document is rejected whose cross-entropy is over the highest of the calibration documents of its language by this much.
 SLACK = 1.0
@@ -31,6 +33,8 @@ WORDS = r"\p{L}[\p{L}\p{M}]*"
 def words_of(text: str) -> list[str]:
     import regex
 
+    if text.isascii():
+        return re.findall("[a-z]+", text.lower())
     return regex.findall(WORDS, text.lower())
 
 
@@ -122,17 +126,20 @@ class KneserNey:
     def log_probabilities(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The log-probability of each word in each language, and how many characters it predicts."""
         codes, ends, counts = padded(words)
+        # From the highest order down: a gram that is stored needs none below, as its value is interpolated already.
         p = np.full((len(ends), len(self.langs)), UNSEEN, dtype=np.float32)
-        for k in range(1, ORDER + 1):
-            contexts, weights = self.contexts[k]
-            if k == 1:
-                p = p * weights[0]
-            else:
-                i, hit = self.find(contexts, gram_hashes(codes, ends - 1, k - 1))
-                p = np.where(hit[:, None], p * weights[i], p)
+        at, weight = np.arange(len(ends)), np.ones((len(ends), len(self.langs)), dtype=np.float32)
+        for k in range(ORDER, 0, -1):
             grams, values = self.grams[k]
-            i, hit = self.find(grams, gram_hashes(codes, ends, k))
-            p = np.where(hit[:, None], values[i], p)
+            i, hit = self.find(grams, gram_hashes(codes, ends[at], k))
+            p[at[hit]] = weight[hit] * values[i[hit]]
+            at, weight = at[~hit], weight[~hit]
+            if not len(at):
+                break
+            contexts, weights = self.contexts[k]
+            i, hit = self.find(contexts, gram_hashes(codes, ends[at] - 1, k - 1)) if k > 1 else (np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool))
+            weight[hit] *= weights[i[hit]]
+        p[at] = weight * np.float32(UNSEEN)
         return np.add.reduceat(np.log(p.astype(np.float64)), np.cumsum(counts) - counts, axis=0), counts
 
     def judge(self, cross: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,8 +165,9 @@ class Scorer:
 
     def __init__(self, model: KneserNey):
         self.model, self.place = model, {}
-        self.values = np.zeros((MEMO, len(model.langs)))
-        self.lengths = np.zeros(MEMO, dtype=np.int64)
+        self.room = min(MEMO, MEMO_SCORES // len(model.langs))
+        self.values = np.zeros((self.room, len(model.langs)))
+        self.lengths = np.zeros(self.room, dtype=np.int64)
 
     def learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
@@ -177,16 +185,16 @@ class Scorer:
             counted, new, until = [], set(), at
             while until < len(texts) and (until == at or len(new) < 10_000):
                 counted.append(Counter(words_of(texts[until])))
-                new.update(w for w in counted[-1] if w not in self.place)
+                new.update(filterfalse(self.place.__contains__, counted[-1]))
                 until += 1
-            if len(self.place) + len(new) > MEMO:
+            if len(self.place) + len(new) > self.room:
                 self.place.clear()
                 new = set().union(*counted)
-            if len(new) <= MEMO:
+            if len(new) <= self.room:
                 self.learn(sorted(new))
                 for i, words in enumerate(counted, at):
                     if words:
-                        which = np.fromiter((self.place[w] for w in words), np.int64, len(words))
+                        which = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
                         times = np.fromiter(words.values(), np.int64, len(words))
                         chars[i] = times @ self.lengths[which]
                         cross[i] = -(times @ self.values[which]) / chars[i]
