@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from transitlake.functions import names
+from transitlake.operators import spatial
+from transitlake.plans.storage import settled
 
 NEAR_M, FAR_M = 50.0, 300.0
 
@@ -19,6 +21,21 @@ def decision(dist_m: Column, key_a: Column, key_b: Column, override: Column | No
     return plain if override is None else F.coalesce(override, plain)
 
 
+def merges(things: DataFrame, same: Sequence[str]) -> DataFrame:
+    """id_a, id_b, decision: all pairs of things(id, key, lon, lat, *same) that agree in same and merge, id_a < id_b.
+
+    A thing that merges with none has one row, with split and no id_b. Any other pair is split by decision, as it lies
+    further apart than FAR_M or its names don't fit, so the pairs of a group are not all made.
+    """
+    a = things.select(*same, F.col("id").alias("id_a"), F.col("key").alias("key_a"), "lon", "lat")
+    b = things.select(*same, F.col("id").alias("id_b"), F.col("key").alias("key_b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    met = spatial.grid_join(a, b, FAR_M, on=same).filter("id_a < id_b")
+    merged = settled(met.select("id_a", "id_b", decision(F.col("dist_m"), F.col("key_a"), F.col("key_b")).alias("decision")).filter("decision <> 'split'"), "merged")
+    partnered = merged.select(F.col("id_a").alias("id")).unionByName(merged.select(F.col("id_b").alias("id")))
+    alone = things.select("id").join(partnered, "id", "left_anti")
+    return merged.unionByName(alone.select(F.col("id").alias("id_a"), F.lit(None).cast(merged.schema["id_b"].dataType).alias("id_b"), F.lit("split").alias("decision")))
+
+
 def first_match(rows: DataFrame, candidates: DataFrame, on: str, accept: Column, id_col: str, order: Sequence[str]) -> DataFrame:
     """Each row with the first of its candidates that accept takes; rows without one keep nulls.
 

@@ -21,10 +21,11 @@ def cells_for(radius_m: float) -> tuple[float, float]:
     return lat / math.cos(math.radians(HIGHEST_LAT)), lat
 
 
-def grid_join(left: DataFrame, right: DataFrame, radius_m: float, lon: tuple[str, str] = ("lon", "lat"), other: tuple[str, str] = ("lon2", "lat2")) -> DataFrame:
+def grid_join(left: DataFrame, right: DataFrame, radius_m: float, lon: tuple[str, str] = ("lon", "lat"), other: tuple[str, str] = ("lon2", "lat2"), on: Sequence[str] = ()) -> DataFrame:
     """All pairs within radius_m, with dist_m: an equi-join on cells, the right side standing in its cell and all around.
 
-    Rows with a null or NaN coordinate have no pairs. The columns of both sides must differ in name.
+    Rows with a null or NaN coordinate have no pairs. on: columns of both sides in which a pair agrees; all others
+    must differ in name.
     """
     wide, high = cells_for(radius_m)
     ok = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
@@ -32,7 +33,7 @@ def grid_join(left: DataFrame, right: DataFrame, radius_m: float, lon: tuple[str
     around = F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     theirs = right.filter(ok(*other)).withColumn("_d", F.explode(around)).withColumns({"_cx": geo.cell(F.col(other[0]), wide) + F.col("_d.x"), "_cy": geo.cell(F.col(other[1]), high) + F.col("_d.y")}).drop("_d")
     dist = geo.haversine_m(F.col(lon[0]), F.col(lon[1]), F.col(other[0]), F.col(other[1]))
-    return mine.join(theirs, ["_cx", "_cy"]).withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("_cx", "_cy")
+    return mine.join(theirs, ["_cx", "_cy", *on]).withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("_cx", "_cy")
 
 
 def expanding_radius(pairs: DataFrame, key: str, radii: Sequence[float]) -> DataFrame:

@@ -166,6 +166,19 @@ def merge_decision(spark, sf_dir):
     return met.select("part_a", "part_b", registry.decision(dist, F.col("ka"), F.col("kb")).alias("decision"))
 
 
+# merge_decision keeps to the pairs of its SQL, whose ids lie up to 1000 apart; here all parts are judged.
+@query(f"""
+WITH p AS (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, {_hav(*_PA, *_PB)} AS d, replace(lower(a.p_name), ' ', '') AS ka, replace(lower(b.p_name), ' ', '') AS kb
+  FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),
+m AS (SELECT part_a, part_b, CASE WHEN d <= 50 THEN 'merged_near' ELSE 'merged_far' END AS decision FROM p
+  WHERE d <= 50 OR (d <= 300 AND (ka = kb OR (length(kb) >= 3 AND starts_with(ka, kb)) OR (length(ka) >= 3 AND starts_with(kb, ka)))))
+SELECT * FROM m UNION ALL SELECT p_partkey, NULL, 'split' FROM part WHERE p_partkey NOT IN (SELECT part_a FROM m UNION ALL SELECT part_b FROM m)""")
+def merge_decision_all(spark, sf_dir):
+    k = F.col("p_partkey")
+    parts = t(spark, sf_dir, "part").select("p_type", "p_brand", k.alias("id"), names.name_key(F.col("p_name")).alias("key"), lon(k).alias("lon"), lat(k).alias("lat"))
+    return registry.merges(parts, ["p_type", "p_brand"]).withColumnsRenamed({"id_a": "part_a", "id_b": "part_b"})
+
+
 @query("""
 WITH m AS (SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY s_suppkey) AS rn FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > c_acctbal)
 SELECT c.c_custkey, m.s_suppkey FROM customer c LEFT JOIN m ON c.c_custkey = m.c_custkey AND m.rn = 1""")
