@@ -3,8 +3,10 @@
 import math
 
 import duckdb
+from pyspark.sql import functions as F
 
 from transitlake import queries as core
+from transitlake.operators import sequences
 
 from test_queries import rows_of
 
@@ -34,3 +36,26 @@ def test_merges_reach_any_id(spark, tmp_path):
     assert (1, 6001) not in got  # of another type
     parts = {x for (x,) in duckdb.sql(f"SELECT p_partkey FROM '{tmp_path}/part.parquet'").fetchall()}
     assert {x for pair in got for x in pair if x} == parts
+
+
+def test_natural_ranks_take_all_parts(spark, tmp_path):
+    part_table(tmp_path, "i < 3000")
+    rows = gives_its_sql(spark, tmp_path, "natural_sort_all", "part")
+    assert sorted(r["rank"] for r in rows) == list(range(1, 3000))
+
+
+def test_ranks_go_on_from_range_to_range(spark):
+    df = spark.range(500).selectExpr("id", "id * 7919 % 10 AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        rows = sequences.ranked(df, ["v", "id"]).collect()
+        assert df.repartitionByRange("v", "id").select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["rank"] for r in sorted(rows, key=lambda r: (r.v, r.id))] == list(range(1, 501))
+    assert sequences.ranked(df.filter("id < 0"), ["v", "id"]).count() == 0
+
+
+def test_ranks_need_no_window_over_all_rows(spark):
+    wide = sequences.ranked(spark.range(10), ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(_range" in wide and "windowspecdefinition(id" not in wide

@@ -8,12 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from transitlake.plans.storage import settled
+
 
 def positions(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
     """pos from 0 along each key."""
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
+def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rank from 1 over all rows: the place within a range of the order, after the rows of the ranges before it.
+
+    order: columns that no two rows share, else ties are ranked as they come.
+    """
+    dealt = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    # A row for each range is left, so one window over them all holds nothing of size.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_within", within).join(F.broadcast(counts), "_range").withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
 def occurrences(seq: DataFrame, key: str, item: str) -> DataFrame:
     """First and last position and number of visits of each item of a sequence."""
     return seq.groupBy(key, item).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("visits"))

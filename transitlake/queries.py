@@ -666,11 +666,21 @@ def name_key(spark, sf_dir):
 SELECT p_partkey, (row_number() OVER (ORDER BY regexp_extract(n, '^(\\d+)', 1)::BIGINT, coalesce(try_cast(regexp_extract(n, '-(\\d+)$', 1) AS BIGINT), -1), p_partkey))::INTEGER AS rank
 FROM (SELECT p_partkey, (p_partkey * 7 % 50 + 1)::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN '-' || (p_partkey % 12)::VARCHAR ELSE '' END AS n FROM part WHERE p_size <= 10)""")
 def natural_sort(spark, sf_dir):
+    return sequences.ranked(_natural_names(spark, sf_dir).filter("p_size <= 10"), ["key", "p_partkey"]).select("p_partkey", F.col("rank").cast("int").alias("rank"))
+
+
+def _natural_names(spark, sf_dir):
     k = F.col("p_partkey")
     n = F.concat((k * 7 % 50 + 1).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("-"), (k % 12).cast("string"))).otherwise(""))
-    parts = t(spark, sf_dir, "part").filter("p_size <= 10").select("p_partkey", names.natural_key(n).alias("key"))
-    # A rank over the whole list is the operator; names are a registry's, and few.
-    return parts.select("p_partkey", F.row_number().over(Window.orderBy("key", "p_partkey")).alias("rank"))
+    return t(spark, sf_dir, "part").select("p_partkey", "p_size", names.natural_key(n).alias("key"))
+
+
+# natural_sort ranks the parts that its SQL keeps; here all have a rank.
+@query("""
+SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(n, '^(\\d+)', 1)::BIGINT, coalesce(try_cast(regexp_extract(n, '-(\\d+)$', 1) AS BIGINT), -1), p_partkey) AS rank
+FROM (SELECT p_partkey, (p_partkey * 7 % 50 + 1)::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN '-' || (p_partkey % 12)::VARCHAR ELSE '' END AS n FROM part)""")
+def natural_sort_all(spark, sf_dir):
+    return sequences.ranked(_natural_names(spark, sf_dir), ["key", "p_partkey"]).select("p_partkey", "rank")
 
 
 @query("""
