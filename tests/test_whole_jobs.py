@@ -1,6 +1,7 @@
 """Queries that must take all of their input, on small tables that a cut by id or file would show."""
 
 import math
+import random
 
 import duckdb
 from pyspark.sql import functions as F
@@ -59,3 +60,46 @@ def test_ranks_go_on_from_range_to_range(spark):
 def test_ranks_need_no_window_over_all_rows(spark):
     wide = sequences.ranked(spark.range(10), ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(_range" in wide and "windowspecdefinition(id" not in wide
+
+
+def route_tables(folder):
+    ids = [1, 4, 30, 59, 85, 455, 510, 565, 601, 820, 1500, 1555]
+    rng = random.Random(0)
+    lines = [(o, i + 1, rng.choice(ids)) for o in range(1, 19) for i in range(rng.randrange(2, 5))] + [(90, 1, 2600), (90, 2, 2700)]
+    duckdb.sql(f"COPY (SELECT unnest({[*ids, 2600, 2700]})::BIGINT AS s_suppkey) TO '{folder}/supplier.parquet'")
+    duckdb.sql(f"COPY (SELECT o::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, s::BIGINT AS l_suppkey, 1::BIGINT AS l_partkey, TIMESTAMP '2024-01-01' AS l_shipdate, 1.0::DOUBLE AS l_quantity, 1.0::DOUBLE AS l_extendedprice FROM (VALUES {', '.join(map(str, lines))}) v(o, n, s)) TO '{folder}/lineitem.parquet'")
+    return [*ids, 2600, 2700], lines
+
+
+def test_one_round_starts_from_all(spark, tmp_path):
+    route_tables(tmp_path)
+    rows = gives_its_sql(spark, tmp_path, "reach_one_round_all", "supplier", "lineitem")
+    assert 2700 in {r.node for r in rows}  # only one late id leads there
+
+
+def test_two_rides_start_from_all(spark, tmp_path):
+    ids, lines = route_tables(tmp_path)
+
+    def metres(a, b):
+        (x0, y0), (x1, y1) = [(math.radians(126.5 + k * 37 % 1000 / 1000), math.radians(37 + k * 91 % 1000 / 1000)) for k in (a, b)]
+        return 2 * 6371008.8 * math.asin(math.sqrt(min(1, math.sin((y1 - y0) / 2) ** 2 + math.cos(y0) * math.cos(y1) * math.sin((x1 - x0) / 2) ** 2)))
+
+    best = {i: (i * 30 % 18000, 0) for i in ids}
+    for n in (1, 2):
+        ridden = {}
+        for o in {x[0] for x in lines}:
+            stops = [x[2] for x in sorted(lines) if x[0] == o]
+            for i, board in enumerate(stops):
+                at = best[board][0] + o % 7 * 60
+                for j in range(i + 1, len(stops)):
+                    at += metres(stops[j - 1], stops[j]) / 6
+                    if at <= 30_000:
+                        ridden[stops[j]] = min(ridden.get(stops[j], at), at)
+        walked = [(b, at + metres(a, b) * 1.39 / 0.83) for a, at in ridden.items() for b in ids if a != b and metres(a, b) <= 5000]
+        for node, at in [*ridden.items(), *walked]:
+            if at <= 30_000:
+                best[node] = min(best[node], (at, n))
+    got = {r.node: (r.at_s, r.rides) for r in core.queries()["reach_two_rides"](spark, str(tmp_path)).collect()}
+    assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in best.items()}
+    assert all(abs(got[k][0] - best[k][0]) < 0.01 for k in best)
+    assert {r for _, r in got.values()} == {0, 1, 2}
