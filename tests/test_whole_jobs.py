@@ -1,6 +1,7 @@
 """Queries that must take all of their input, on small tables that a cut by id or file would show."""
 
 import math
+import os
 import random
 
 import duckdb
@@ -103,3 +104,14 @@ def test_two_rides_start_from_all(spark, tmp_path):
     assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in best.items()}
     assert all(abs(got[k][0] - best[k][0]) < 0.01 for k in best)
     assert {r for _, r in got.values()} == {0, 1, 2}
+
+
+def test_sessions_lose_no_late_file(spark, data, tmp_path):
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i in range(4):  # the newest rows come first
+        part = folder / f"part-{i}.parquet"
+        duckdb.sql(f"COPY (SELECT * EXCLUDE k FROM (SELECT *, ntile(4) OVER (ORDER BY ts DESC) - 1 AS k FROM '{data}/events.parquet') WHERE k = {i}) TO '{part}'")
+        os.utime(part, (1_700_000_000 + 60 * i,) * 2)
+    rows = gives_its_sql(spark, tmp_path, "stream_session", "events")
+    assert sum(r.n for r in rows) == 1000

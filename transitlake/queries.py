@@ -726,7 +726,7 @@ WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT * FROM o) x)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, sf_dir):
-    out = arrivals.drained(arrivals.sessions(_events(spark, sf_dir), "ts", ["user_id"], "2 hours", "2 hours"), "sessions", "complete")
+    out = arrivals.drained(arrivals.sessions(_events(spark, sf_dir), "ts", ["user_id"], "2 hours", None), "sessions", "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 

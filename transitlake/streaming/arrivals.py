@@ -45,8 +45,12 @@ def sliding(stream: DataFrame, time: str, keys: list[str], width: str, step: str
     return stream.withWatermark(time, late).groupBy(F.window(time, width, step), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, late: str) -> DataFrame:
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n")
+def sessions(stream: DataFrame, time: str, keys: list[str], gap: str, late: str | None) -> DataFrame:
+    """Sessions of the keys. late: how far behind the newest a row may come; None, in complete mode, takes all rows.
+
+    A replay takes none: files come in any order, and with a watermark sessions lose late rows in complete mode too.
+    """
+    return (stream.withWatermark(time, late) if late else stream).groupBy(F.session_window(time, gap).alias("window"), *keys).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n")
 
 
 def once_within(stream: DataFrame, time: str, keys: list[str], ttl: str) -> DataFrame:
