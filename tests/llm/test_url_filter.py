@@ -66,3 +66,11 @@ def test_a_rule_is_filed_under_its_rarest_token(spark):
     got = {r.rule: r.token for r in url_filter.rarest_index(rules, tokens).collect()}
     assert got["b.org/x/y/z"] == "p:x"
     assert got["org/"] in ("h:org", "p:")
+
+
+def test_hosts_may_hold_blanks(spark):
+    urls = ["http://a b.example.org/es/x", "http://a b.com/de/", "http://a bexample.org/es/x", "http://example.org /es/x", "http://x\ty.com/de/1", "http://a.b /c.example.org/es/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df, url_filter.rules_table(spark)).collect()}
+    assert got == {i: judged(u, url_filter.RULES) for i, u in enumerate(urls)}
+    assert got[0][2:] == ("example.org/es/", "block")

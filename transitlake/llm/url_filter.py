@@ -56,7 +56,7 @@ def compile_rules(rules: DataFrame) -> DataFrame:
         "rule",
         "verdict",
         F.length("rule").alias("size"),
-        F.concat(F.lit(r"(?s)^(?:[^ ]*\.)?"), quoted(host), F.lit(" "), quoted(path)).alias("regex"),
+        F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), quoted(host), F.lit("/"), quoted(path)).alias("regex"),
         F.array_distinct(F.concat(host_tokens(host), F.when(path.contains("/"), path_tokens(whole)).otherwise(F.array().cast("array<string>")))).alias("tokens"),
     )
 
@@ -94,7 +94,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         spread = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = tokens.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(SALTS)).cast("int"))
         met = salted.join(spread, ["token", "salt"], "left")
-    fits = F.expr("regexp_like(concat(host, ' ', path), regex)")
+    # No host holds a slash, so the first one ends it, whatever else stands in either.
+    fits = F.expr("regexp_like(concat(host, '/', path), regex)")
     best = F.max(F.when(fits, F.struct("size", "rule", "verdict")))
     # All rows of a page come from one row of the input, so they are combined before the shuffle.
     found = met.groupBy("page_id", "host", "path").agg(best.alias("best"), F.count(F.when(F.col("token").isNull(), 1)).alias("n"))
