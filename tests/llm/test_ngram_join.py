@@ -71,14 +71,15 @@ def test_one_of_each_keeps_the_least_id(odd_docs, no_docs):
     roots = {d: c for d, _, c in brute([(r.doc_id, r.text) for r in odd_docs.collect()])}
     kept = ngram_join.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert Counter(kept.collect()) == Counter(r for r in odd_docs.collect() if roots[r.doc_id] == r.doc_id)
+    assert Counter(kept.collect()) == Counter({r for r in odd_docs.collect() if roots[r.doc_id] == r.doc_id})
     assert ngram_join.ngram_join(no_docs).count() == 0
     assert ngram_join.one_of_each(no_docs).count() == 0
 
 
 @pytest.mark.parametrize("percent", [90, 80, 75])
-def test_partners_share_a_path(percent):
+def test_partners_share_first_shingles(percent):
     rng = np.random.default_rng(percent)
+    first = lambda s: s[: ngram_join.prefix_length(len(s), percent)]
     for n in [1, 2, 3, 5, 9, 10, 11, 14, 19, 20, 29, 40, 63, 95, 141, 142, 143, 400]:
         for _ in range(60):
             a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
@@ -86,14 +87,7 @@ def test_partners_share_a_path(percent):
             b = np.unique(np.concatenate([keep, rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 2)), dtype=np.uint64)]))
             inter = len(np.intersect1d(a, b))
             if len(b) and 100 * inter >= percent * (len(a) + len(b) - inter):
-                assert np.intersect1d(ngram_join.path_keys(a, percent), ngram_join.path_keys(b, percent)).size
-
-
-def test_sets_that_leave_segments_empty_share_a_path():
-    # All hashes in one small range: nearly every segment is empty.
-    a = np.arange(1000, 1100, dtype=np.uint64)
-    b = np.concatenate([a[:-1], np.array([2**63], dtype=np.uint64)])
-    assert np.intersect1d(ngram_join.path_keys(a), ngram_join.path_keys(b)).size
+                assert np.intersect1d(first(a), first(b)).size >= ngram_join.spare(ngram_join.overlap(max(len(a), len(b)), percent), percent)
 
 
 def test_tree_prunes_but_finds_all():
@@ -101,6 +95,54 @@ def test_tree_prunes_but_finds_all():
     base = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
     sets = [np.unique(np.concatenate([np.delete(base, rng.integers(0, 200, k)), rng.integers(0, 2**64, k, dtype=np.uint64)])) for k in rng.integers(0, 25, 80)]
     tree = ngram_join.PrefixTree(sets)
-    for i, q in enumerate(sets):
+    for q in sets:
         want = sorted(j for j, s in enumerate(sets) if 100 * (n := len(np.intersect1d(q, s))) >= 80 * (len(q) + len(s) - n))
-        assert sorted(tree.linked(q, set(range(len(sets))))) == want
+        assert sorted(tree.linked(q, np.arange(len(sets)))) == want
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_links_go_through_rows_without_id_and_large_ids_stay(spark):
+    w = [f"w{i}" for i in range(100)]
+    new = [f"n{i}" for i in range(7)]
+    a, b, c = (" ".join(x) for x in (w, w[:93] + new, new[::-1] + w[7:93] + new))
+    big = 2**53 + 1
+    rows = [(big, a), (None, b), (big + 2, c), (None, "alone in here"), (None, None), (big + 4, "x")]
+    assert len(shingles(a, 5) & shingles(c, 5)) * 100 < 80 * len(shingles(a, 5) | shingles(c, 5))
+    got = ngram_join.ngram_join(table(spark, rows).coalesce(1))
+    assert Counter((r.doc_id, r.component_id) for r in got.collect()) == Counter([(big, big), (None, big), (big + 2, big), (None, None), (None, None), (big + 4, big + 4)])
+    assert {r.doc_id for r in ngram_join.one_of_each(table(spark, rows)).collect()} == {big, None, big + 4}
+
+
+@pytest.mark.parametrize("share", [20, 60, 75])
+def test_shared_boilerplate_links_nothing(spark, share):
+    """Documents that have only a boilerplate in common don't even meet, however many they are."""
+    rng = random.Random(share)
+    common = [f"c{i}" for i in range(3 * share)]
+    rows = [(i, " ".join(common + [f"w{rng.random()}" for _ in range(300 - 3 * share)])) for i in range(120)]
+    rows += [(1000 + i, rows[i][1].replace("c1 c2", f"other{i}")) for i in range(10)]
+    rng.shuffle(rows)
+    docs = table(spark, rows)
+    assert Counter(map(tuple, ngram_join.ngram_join(docs).collect())) == brute(rows)
+    sets = ngram_join.file_sets(ngram_join._rows(docs, "doc_id", "text"))
+    found = ngram_join.sequences(ngram_join._rows(docs, "doc_id", "text"), sets).collect()
+    by_key = Counter(c for r in found for c in r.codes[: r.n - ngram_join.overlap(r.n) + 1] if c >> ngram_join.HASH_BITS)
+    assert not by_key or max(by_key.values()) <= 2
+
+
+def test_one_row_of_repeated_ones_stays(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, None)]
+    assert Counter(ngram_join.one_of_each(table(spark, rows)).collect()) == Counter([(1, "a b c d e f g"), (3, None), (3, None)])
+
+
+@pytest.mark.parametrize("first", [0, 1, 50])
+def test_rounds_agree(spark, first):
+    """Whatever the first round takes, the second brings the same components."""
+    rng = random.Random(3)
+    rows = list(enumerate(chain(rng) + chain(rng)))
+    rows_df = ngram_join._rows(table(spark, rows), "doc_id", "text")
+    sets = ngram_join.file_sets(rows_df)
+    comps = ngram_join.linked_components(ngram_join.sequences(rows_df, sets), block=7, first=first)
+    assert comps.select("root").distinct().count() == len({c for _, _, c in brute(rows) if sum(1 for x in brute(rows) if x[2] == c) > 1})

@@ -1,9 +1,11 @@
 """Operator 3: n-gram Jaccard join by prefix trees.
 
-Every document's set of word shingles is a sequence in one global order, that of the shingles' hashes. The order is
-cut into segments; two sets over the threshold differ in fewer shingles than there are segments, so they agree on a
-whole segment: rotated to start there, their sequences share the tree's path through that segment. Documents that
-share such a path are brought together, and their full sequences are stored in a tree that each is run against.
+Every document's set of word shingles is a sequence in one global order. Two sets over the threshold share several
+of the first shingles of their sequences, whatever the order. In the order of hashes these few are counted over all
+documents: a document that shares too few of its own with any other has no partner and is left. Of the others every
+shingle is counted, and the order becomes that of falling rarity. Documents that share a shingle of their rare
+prefixes meet under it: their sequences, turned to start at the frequent end so that they share long paths, are
+stored in a tree that each is run against. Only links that this verifies join documents.
 """
 
 from __future__ import annotations
@@ -12,23 +14,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import graph, shared
 
 PERCENT = 80
 WORDS = 5
-#: Segments beyond what the threshold calls for, as a share of these and in number; so many are not filed, the shortest.
-SPARE_SHARE, SPARE = 0.3, 2
-#: Sets of neighbouring sizes are cut alike; sizes of a band grow by this.
-BAND = 1.25
-#: Sets, and shingles in all, that a block holds; larger clusters are dealt out in blocks. Only a single set can be over.
-BLOCK, BLOCK_SHINGLES = 2_000, 3_000_000
+#: Sets, and shingles in all, that a tree holds; a larger group is dealt out in blocks. Only a single set can be over.
+BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
+#: The rarest shared shingles of each set that the first round takes; the second takes all, where they still part components.
+FIRST = 3
 #: Numbers that a tree's table of counts holds, over all its sets.
 COUNTS = 4_000_000
 #: Bytes of text that are hashed together.
 CHUNK = 250_000
+#: A shingle's place in the order: bits of the logarithm of its count above those of its hash.
+HASH_BITS = 58
 
 U = np.uint64
 C1, C2, C3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -71,43 +74,19 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> Iterator[np.nda
             first = last
 
 
-_EDGES = [1]
+def overlap(n: int, percent: int = PERCENT) -> int:
+    """The least overlap of a set of n shingles with any partner."""
+    return -(-percent * n // 100)
 
 
-def bands(n: int, percent: int = PERCENT) -> Iterator[tuple[int, int, int]]:
-    """(band, segments, spare segments) under which a set of n shingles is filed: its own, and higher ones if partners can lie there."""
-    while _EDGES[-1] * percent <= 100 * n or _EDGES[-1] <= n:
-        _EDGES.append(max(_EDGES[-1] + 1, int(_EDGES[-1] * BAND)))
-    band = int(np.searchsorted(_EDGES, n, side="right"))
-    while True:
-        differ = 2 * (_EDGES[band] - 1) * (100 - percent) // (100 + percent)
-        spare = SPARE + int(differ * SPARE_SHARE)
-        yield band, differ + 1 + spare, spare
-        band += 1
-        if 100 * n < percent * _EDGES[band - 1]:
-            return
+def spare(n: int, percent: int = PERCENT) -> int:
+    """How many shingles of their prefixes partners share at least, if the smaller has n."""
+    return 1 + n * (100 - percent) // 200
 
 
-def path_keys(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The first segments of rotations of a set's sequence, as 64-bit keys.
-
-    Partners agree on more segments than are spare. Each set leaves out as many as are spare, those that come first
-    in one order of all segments, the empty and short ones ahead; so neither leaves out the last they agree on.
-    """
-    with np.errstate(over="ignore"):
-        scrambled = shared.mix64(s ^ C3)
-        out = []
-        for band, k, spare in bands(len(s), percent):
-            seg = ((s >> U(32)) * U(k)) >> U(32)
-            first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-            sizes = np.diff(np.append(first, len(s)))
-            keys = shared.mix64(np.add.reduceat(scrambled, first) + seg[first] * C1 + U(band) * C2)
-            if len(keys) < k - spare:
-                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), seg[first])
-                keys = np.concatenate((shared.mix64(empty * C1 + U(band) * C2 + C3), keys))
-                sizes = np.concatenate((np.zeros(len(empty), dtype=sizes.dtype), sizes))
-            out.append(keys[np.lexsort((keys, sizes))[-(k - spare) :]])
-    return np.concatenate(out)
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Partners of n shingles or more share spare(n) of so many first ones: what comes after these is under the overlap."""
+    return n - overlap(n, percent) + spare(n, percent)
 
 
 class PrefixTree:
@@ -124,43 +103,30 @@ class PrefixTree:
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             self.common[r] = differ[0] if len(differ) else n
-        keys = [path_keys(s, percent) for s in sets]
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(k) for k in keys])
-        keys = np.concatenate(keys)
-        by = np.argsort(keys, kind="stable")
-        self.keys, self.owner = keys[by], owner[by]
-
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         most = max(2, min(4 * int(self.sizes.max()), COUNTS // len(sets)))
-        self.shift = U(64 - most.bit_length() + 1)
+        self.parts = U(most)
         self.counts = np.stack([self.counted(s) for s in sets])
 
     def counted(self, s: np.ndarray) -> np.ndarray:
-        """How many shingles of a set lie in each of equal parts of the order."""
-        return np.bincount((s >> self.shift).astype(np.int64), minlength=1 << (64 - int(self.shift))).astype(np.uint32)
-
-    def met(self, q: np.ndarray) -> list[int]:
-        """The sets that share a first path with q and could reach the threshold by what each part of the order holds."""
-        k = path_keys(q, self.percent)
-        left, right = np.searchsorted(self.keys, k, "left"), np.searchsorted(self.keys, k, "right")
-        share = np.zeros(len(self.sets), dtype=bool)
-        for a, b in zip(left.tolist(), right.tolist()):
-            share[self.owner[a:b]] = True
-        share = np.flatnonzero(share)
-        sizes = self.sizes[share]
-        near = (100 * sizes >= self.percent * len(q)) & (100 * len(q) >= self.percent * sizes)
-        share, sizes = share[near], sizes[near]
-        most = np.minimum(self.counts[share], self.counted(q)).sum(axis=1, dtype=np.int64)
-        return share[100 * most >= self.percent * (len(q) + sizes - most)].tolist()
-
-    def linked(self, q: np.ndarray, wanted: set[int]) -> list[int]:
-        """Those of wanted that share a path with q and reach the threshold.
+        """How many shingles of a set lie in each of the parts that their hashes are dealt to."""
+        return np.bincount((s % self.parts).astype(np.int64), minlength=int(self.parts)).astype(np.uint32)
+
+    def linked(self, q: np.ndarray, wanted: np.ndarray) -> list[int]:
+        """Those of wanted that reach the threshold with q.
 
         The overlap up to a depth is shared by all sequences below it; a subtree is left as soon as its overlap and
-        what can still come, by the lengths that remain, stay under what the threshold asks for.
+        what can still come, by the lengths that remain, stay under what the threshold asks for. Sequences whose
+        whole length, or whose counts in parts of the order, already rule them out are not walked to.
         """
         p, found = self.percent, []
-        ranks = sorted(int(self.rank[i]) for i in self.met(q) if i in wanted)
+        sizes = self.sizes[wanted]
+        near = (100 * sizes >= p * len(q)) & (100 * len(q) >= p * sizes)
+        wanted, sizes = wanted[near], sizes[near]
+        if not len(wanted):
+            return found
+        most = np.minimum(self.counts[wanted], self.counted(q)).sum(axis=1, dtype=np.int64)
+        ranks = np.sort(self.rank[wanted[100 * most >= p * (len(q) + sizes - most)]]).tolist()
         if not ranks:
             return found
         sizes = [len(self.sets[self.order[r]]) for r in ranks]
@@ -185,76 +151,180 @@ class PrefixTree:
                 found.append(self.order[r])
         return found
 
-    def components(self) -> list[int]:
-        """For each set the index of the first set of its component. A set is run only against those not yet joined."""
-        root, left = [-1] * len(self.sets), set(range(len(self.sets)))
-        for i in range(len(self.sets)):
-            if i not in left:
-                continue
-            left.discard(i)
-            root[i], todo = i, [i]
-            while todo and left:
-                for j in self.linked(self.sets[todo.pop()], left):
-                    left.discard(j)
-                    root[j] = i
-                    todo.append(j)
-        return root
-
 
 def signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def file_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, two halves of the set's signature, and its path keys."""
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0] + [len(a) for a in arrays], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, dtype=np.int64)])))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and a hash of both, by which a row is found again; rows that repeat both are alike."""
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+
+
+def file_sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """doc_id, row, n shingles, two halves of the set's signature, and the first shingles of the set in the order of hashes."""
 
-    def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             n, one, two, keys = [], [], [], []
             with np.errstate(over="ignore"):
-                for s in shingle_sets(pdf["text"].tolist(), words):
+                for s in shingle_sets(batch["text"].to_pylist(), words):
                     n.append(len(s))
                     one.append(shared.mix64(s ^ C1).sum(dtype=np.uint64) if len(s) else U(0))
                     two.append(shared.mix64(s ^ C2).sum(dtype=np.uint64) if len(s) else U(0))
-                    keys.append(signed(path_keys(s, percent)) if len(s) else np.zeros(0, dtype=np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "s1": signed(np.array(one, dtype=np.uint64)), "s2": signed(np.array(two, dtype=np.uint64)), "keys": keys})
-
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
-    return shared.written(rows.mapInPandas(filed, "doc_id long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4")
-
-
-def candidate_clusters(sets: DataFrame) -> DataFrame:
-    """s1, cluster: the sets that are connected through shared paths. Any two over the threshold are in one cluster."""
-    filed = sets.filter("n > 0").select("s1", F.explode("keys").alias("key"))
-    hubs = filed.groupBy("key").agg(F.min("s1").alias("hub"), F.max("s1").alias("other")).filter("hub <> other").select("key", "hub")
-    edges = filed.join(hubs, "key").select(F.col("s1").alias("a"), F.col("hub").alias("b")).filter("a <> b").distinct()
-    found = graph.components(edges)
-    return found.select(F.col("node").alias("s1"), F.col("root").alias("cluster")).unionByName(found.select(F.col("root").alias("s1"), F.col("root").alias("cluster")).distinct())
-
-
-def _tree_join(pdf: pd.DataFrame, percent: int, words: int) -> pd.DataFrame:
-    """Components of one block; linked says if a set is in that of the cluster's hub."""
-    pdf = pdf.sort_values("doc_id", ignore_index=True)
-    tree = PrefixTree(list(shingle_sets(pdf["text"].tolist(), words)), percent)
-    root = np.array(tree.components())
-    hubs = set(root[pdf["is_hub"].to_numpy()].tolist())
-    ids = pdf["doc_id"].to_numpy()
-    return pd.DataFrame({"cluster": pdf["cluster"], "block": pdf["block"], "blocks": pdf["blocks"], "doc_id": ids, "comp": ids[root], "linked": [r in hubs for r in root.tolist()]})
-
-
-def _cross_join(pdf: pd.DataFrame, percent: int, words: int) -> pd.DataFrame:
-    """Links of the asked sets with each component of a block's members: one for each component that has any."""
-    sets = list(shingle_sets(pdf["text"].tolist(), words))
-    asked = pdf["asked"].to_numpy()
-    members = np.flatnonzero(~asked)
-    ids, comp = pdf["doc_id"].to_numpy(), pdf["comp"].to_numpy()
-    out = []
-    if len(members):
-        tree = PrefixTree([sets[i] for i in members], percent)
-        every = set(range(len(members)))
-        for i in np.flatnonzero(asked):
-            out += [(ids[i], c) for c in {comp[members[j]] for j in tree.linked(sets[i], every)}]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    keys.append(signed(s[: prefix_length(len(s), percent)]))
+            # The ids are handed on as they are: through pandas a null among them would make them floating point numbers.
+            columns = [batch["doc_id"], batch["row"], pa.array(n, pa.int64()), pa.array(signed(np.array(one, dtype=np.uint64))), pa.array(signed(np.array(two, dtype=np.uint64))), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "s1", "s2", "keys"])
+
+    return shared.written(rows.mapInArrow(filed, "doc_id long, row long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4")
+
+
+def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """node, n, codes: the sets that may have a partner, in the order of rarity among them. node is the first half of the signature.
+
+    Partners share spare(...) of their first shingles in any order, so who shares fewer of them with others is left.
+    Counts are combined before they are shuffled, and a shingle that very many share is a skewed join that Spark splits.
+    """
+    filed = sets.select("s1", F.explode("keys").alias("key"))
+    often = shared.written(filed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "ngram-often")
+    shares = filed.join(often, "key").groupBy("s1").agg(F.count(F.lit(1)).alias("shares"))
+    # A class of equal sets counts its copies; each set of it files the same, so the sum is divided by them.
+    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    least = F.ceil(F.col("n") * percent / F.lit(100))
+    enough = F.col("shares") >= F.col("copies") * (1 + F.floor(least * (100 - percent) / F.lit(200)))
+    near = shared.written(classes.join(shares, "s1").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            with np.errstate(over="ignore"):
+                found = list(shingle_sets(batch["text"].to_pylist(), words))
+                signs = signed(np.array([shared.mix64(s ^ C1).sum(dtype=np.uint64) for s in found], dtype=np.uint64))
+            right = np.flatnonzero(signs == batch["node"].to_numpy()).tolist()  # another row may have the same hash
+            yield pa.RecordBatch.from_arrays([pa.array(signs[right], pa.int64()), _lists([signed(found[i]) for i in right])], ["node", "keys"])
+
+    texts = rows.select("row", "text").join(near.select("row", "node"), "row").select("node", "text")
+    every = shared.written(texts.mapInArrow(told, "node long, keys array<long>"), "ngram-whole", "lz4")
+    tokens = every.select("node", F.explode("keys").alias("key"))
+    counts = shared.written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-counts", "lz4")
+    level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(1)))), F.lit(31)).cast("long")
+    code = F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - HASH_BITS))
+    coded = tokens.join(counts, "key", "left").select("node", code.alias("code")).groupBy("node").agg(F.sort_array(F.array_distinct(F.collect_list("code"))).alias("codes"))
+    return shared.written(coded.select("node", F.size("codes").cast("long").alias("n"), "codes"), "ngram-sequences", "lz4")
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come sorted by some columns, one at a time."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        at = pdf[by].to_numpy()
+        cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+        if held and (held[-1][by].iloc[-1].to_numpy() != at[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        edges = [0, *cuts.tolist(), len(pdf)]
+        for a, b in zip(edges, edges[1:]):
+            if a:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+            held.append(pdf.iloc[a:b].reset_index(drop=True))
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _tree_links(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of a group: each asked set is run against the members that aren't in its component yet."""
+    sets = [np.sort(~np.asarray(c, dtype=np.int64).view(np.uint64)) for c in pdf["codes"]]
+    node, comp = pdf["node"].to_numpy(), pd.factorize(pdf["comp"])[0]
+    member = np.flatnonzero(pdf["member"].to_numpy())
+    if not len(member):
+        return []
+    tree, out = PrefixTree([sets[i] for i in member], percent), []
+    for i in np.flatnonzero(pdf["asked"].to_numpy()).tolist():
+        wanted = np.flatnonzero(comp[member] != comp[i])
+        for j in tree.linked(sets[i], wanted) if len(wanted) else ():
+            if comp[member[j]] != comp[i]:
+                out.append((int(node[i]), int(node[member[j]])))
+                comp[comp == comp[member[j]]] = comp[i]
+    return out
+
+
+def links(filed: DataFrame, sets: DataFrame, whole: bool, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """a, b: verified links between sets that meet under a key of filed(key, node, n, comp) and are of different components.
+
+    A key all of whose sets are in one component is done, and of keys with the same sets one is taken. A group larger
+    than a block is dealt out in blocks. With whole, those of it that aren't in the component of its hub, the least
+    set, are run against all blocks, so no pair is left out; without, each block has its own sets and the hub.
+    """
+    members = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")]
+    same = [F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sig"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sig2")]
+    met = filed.groupBy("key").agg(*members, *same, F.min(F.struct("node", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    alike = met.groupBy("m", "shingles", "sig", "sig2", "hub").agg(F.min("key").alias("key"))
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("shingles") / block_shingles)).cast("int")
+    keys = shared.written(alike.select("key", "m", blocks.alias("blocks"), F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "ngram-keys")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = filed.join(keys, "key").withColumn("loose", F.col("comp") != F.col("hub_comp"))
+
+    def place(b, c, member, asked) -> Column:
+        return F.struct(b.alias("block"), c.alias("chunk"), member.alias("member"), asked.alias("asked"))
+
+    zero, yes, no = F.lit(0), F.lit(True), F.lit(False)
+    every_block = F.sequence(zero, F.col("blocks") - 1)
+    if whole:
+        loose = rows.filter("blocks > 1").groupBy("key").agg(F.count_if("loose").alias("l"), F.first("m").alias("of"), F.first("blocks").alias("in"))
+        chunks = shared.written(loose.select("key", F.ceil(F.col("l") / F.col("of") * F.col("in")).cast("int").alias("chunks")), "ngram-chunks")
+        rows = rows.join(chunks, "key", "left")
+        own = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda c: place(mine, c, yes, no))
+        chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+        asks = F.when(F.col("loose"), F.transform(every_block, lambda b: place(b, chunk, no, yes))).otherwise(F.array().cast("array<struct<block:int,chunk:int,member:boolean,asked:boolean>>"))
+        many = F.concat(own, asks)
+        one = F.array(place(zero, zero, yes, F.col("loose")))
+    else:
+        many = F.when(F.col("node") == F.col("hub"), F.transform(every_block, lambda b: place(b, zero, yes, yes))).otherwise(F.array(place(mine, zero, yes, yes)))
+        one = F.array(place(zero, zero, yes, yes))
+    dealt = rows.select("key", "node", "comp", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)).alias("at")).select("key", "node", "comp", "at.*")
+    by = ["key", "block", "chunk"]
+    sent = dealt.join(sets.select("node", "codes"), "node").repartition(*by).sortWithinPartitions(*by)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple[int, int]] = []
+        for group in _groups(batches, by):
+            out += _tree_links(group, percent)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return shared.written(sent.mapInPandas(walk, "a long, b long"), "ngram-links")
+
+
+def linked_components(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, first: int = FIRST) -> DataFrame:
+    """node, root over verified links, for every node that isn't its own root."""
+    n = F.col("n")
+    prefix = F.slice("codes", F.lit(1), (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int"))
+    shown = F.filter(prefix, lambda c: c >= F.lit(1 << HASH_BITS))  # others are in this set only
+    filed = sets.select("node", "n", F.posexplode(shown).alias("at", "key"))
+    early = filed.filter(F.col("at") < first).select("key", "node", "n", F.col("node").alias("comp"))
+    found = links(early, sets, False, percent, block, block_shingles)
+    comps = graph.components(found)
+    rest = filed.join(comps, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+    more = links(shared.written(rest, "ngram-filed"), sets, True, percent, block, block_shingles)
+    return comps if more.isEmpty() else graph.components(comps.toDF("a", "b").unionByName(more))
+
+
+def _told(rows: DataFrame, percent: int, words: int, block: int, block_shingles: int) -> DataFrame:
+    """doc_id, row, n_shingles and root, the component, for every row; root is null without words."""
+    sets = file_sets(rows, percent, words)
+    comps = linked_components(sequences(rows, sets, percent, words), percent, block, block_shingles)
+    told = sets.join(comps, F.col("s1") == F.col("node"), "left")
+    return told.select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "s1")).alias("root"))
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -262,47 +332,27 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two documents are linked if 100 * shared >= percent * all distinct shingles of both; component_id is the least id
     that links reach. Texts that are null, empty or blank have no shingles and are linked with nothing. Equal sets
-    are one class from the start. Repeated rows are rows of one class. Empty tables give no rows. Null ids count as
-    the largest and stay null where nothing is linked to them. Other columns are not read.
-
-    A cluster larger than a block is dealt out over blocks, the cluster's hub in each of them. Sets that a block
-    leaves unlinked with the hub are then run against all blocks; the rest are joined through the hub.
+    are one class from the start, known by a 64-bit signature of the set, so rows without an id link others as well.
+    Repeated rows are rows of one class. Empty tables give no rows. Null ids count as the largest and stay null where
+    only such are linked. Other columns are not read.
     """
-    sets = file_sets(docs, id_col, text_col, percent, words)
-    classes = shared.written(sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "ngram-classes")
-    placed = classes.join(candidate_clusters(sets), "s1")
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.min("rep").alias("hub")).filter("size > 1")
-    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / block_shingles)).cast("int")
-    member = placed.join(sizes, "cluster").select("cluster", "rep", blocks.alias("blocks"), (F.col("rep") == F.col("hub")).alias("is_hub"))
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
-    held = texts.join(member, F.col("doc_id") == F.col("rep")).drop("rep")
-    own = F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = held.withColumn("block", F.explode(F.when(F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
-    joined = shared.written(
-        dealt.groupBy("cluster", "block").applyInPandas(lambda pdf: _tree_join(pdf, percent, words), "cluster long, block int, blocks int, doc_id long, comp long, linked boolean"), "ngram-blocks"
-    )
-    found = joined.filter("blocks = 1").select("doc_id", F.col("comp").alias("root"))
-    many = joined.filter("blocks > 1")
-    if not many.isEmpty():
-        loose = shared.written(many.filter("not linked").select("cluster", "block", "blocks", "doc_id", "comp"), "ngram-loose")
-        # A chunk of loose sets is as large as a block of all: their share of the cluster's blocks, at least one.
-        chunks = loose.groupBy("cluster", "blocks").agg(F.count(F.lit(1)).alias("m")).join(sizes.select("cluster", "size"), "cluster")
-        chunks = chunks.select("cluster", F.ceil(F.col("m") / F.col("size") * F.col("blocks")).cast("int").alias("chunks"))
-        asked = loose.join(chunks, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id", "comp", F.lit(True).alias("asked"))
-        members = many.join(chunks, "cluster").select("cluster", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "doc_id", "comp", F.lit(False).alias("asked"))
-        crossed = asked.unionByName(members).join(texts, "doc_id").groupBy("cluster", "block", "chunk").applyInPandas(lambda pdf: _cross_join(pdf, percent, words), "a long, b long")
-        edges = many.select(F.col("doc_id").alias("a"), F.col("comp").alias("b")).unionByName(crossed)
-        found = found.unionByName(graph.components(edges).select(F.col("node").alias("doc_id"), "root"))
-    roots = found.groupBy("doc_id").agg(F.min("root").alias("root"))
-    component = classes.join(roots, F.col("rep") == F.col("doc_id"), "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id"))
-    return sets.select("doc_id", "n", "s1", "s2").join(component, ["s1", "s2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    told = _told(_rows(docs, id_col, text_col), percent, words, block, block_shingles)
+    least = shared.written(told.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "ngram-least")
+    return told.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The documents that are the least of their component, with all their columns."""
-    stay = ngram_join(docs, id_col, text_col, percent, words).filter("component_id <=> doc_id").select(F.col("doc_id").alias("stay")).distinct()
-    rows = shared.carried(docs, doc_id=F.col(f"`{id_col}`").cast("long"))
-    return rows.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").select("_row.*")
+    """One row of each component, that of the least id, with all its columns; nulls count as the largest ids.
+
+    Of rows that repeat this id, one stays. Rows without words are linked with nothing and all stay. Empty tables
+    give no rows.
+    """
+    told = _told(_rows(docs, id_col, text_col), percent, words, BLOCK, BLOCK_SHINGLES)
+    first = told.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    stay = first.select(F.col("first.row").alias("stay"), F.lit(False).alias("every")).unionByName(told.filter("root is null").select(F.col("row").alias("stay"), F.lit(True).alias("every")).distinct())
+    rows = shared.carried(docs, row=F.xxhash64(F.col(f"`{id_col}`").cast("long"), shared.text_of(text_col)))
+    kept = rows.join(stay, F.col("row") == F.col("stay"))
+    return shared.first_of(kept, ["row"], "every").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

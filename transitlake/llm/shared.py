@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -58,6 +59,13 @@ def carried(docs: DataFrame, **needed: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(name) for name, c in needed.items()])
 
 
+def first_of(kept: DataFrame, by: list[str], every: str | None = None) -> DataFrame:
+    """One row of each that agree on by, the least by a hash of its columns in _row; all of those that every marks."""
+    plain = [f"_row.`{f.name}`" for f in kept.schema["_row"].dataType.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(*plain)))
+    return kept.withColumn("_number", number).filter(F.col("_number") == 1 if every is None else (F.col("_number") == 1) | F.col(every))
+
+
 U = np.uint64
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15
