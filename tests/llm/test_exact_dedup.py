@@ -25,7 +25,7 @@ def test_kept_rows_are_whole(odd_docs):
     assert kept.columns == odd_docs.columns
     rows = odd_docs.collect()
     last = {r.text or "": max(x.doc_id for x in rows if (x.text or "") == (r.text or "")) for r in rows}
-    assert Counter(kept.collect()) == Counter(r for r in rows if last[r.text or ""] == r.doc_id)
+    assert Counter(kept.collect()) == Counter({r for r in rows if last[r.text or ""] == r.doc_id})
 
 
 def test_null_ids_and_no_rows(spark, no_docs):
@@ -36,15 +36,33 @@ def test_null_ids_and_no_rows(spark, no_docs):
     assert exact_dedup.kept_documents(no_docs).count() == 0
 
 
-def test_directory_doubles_and_splits():
-    filled = {0: 50, 1: 1, (1 << 15) + 5: 30}
-    depth, slots = exact_dedup.directory(filled, bucket_keys=60)
-    assert depth == 1 and [(s, d) for s, _, d in slots] == [(0, 1), (1, 1)]
-    depth, slots = exact_dedup.directory(filled, bucket_keys=50)
-    assert depth == 16 and len(slots) == 1 << 16 and [s for s, _, _ in slots] == list(range(1 << 16))
-    local = {b: d for _, b, d in slots}
-    assert sum(2.0**-d for d in local.values()) == 1.0  # the buckets share out the whole key space
-    assert exact_dedup.directory({}) == (0, [(0, 0, 0)])
+def test_one_row_of_each_text_stays(spark):
+    big = 2**53 + 1
+    rows = [(1, "a"), (1, "a"), (big, "b"), (None, "b"), (None, "c"), (None, "c"), (0, None), (0, ""), (big, "d"), (big, "d")]
+    kept = exact_dedup.kept_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter([(1, "a"), (big, "b"), (None, "c"), (0, ""), (big, "d")])
+
+
+def test_directory_doubles_and_splits(spark):
+    even = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    depth, deeper = exact_dedup.directory(even, 1000, 0, bucket_keys=100)
+    fill = Counter(r[0] for r in even.select(exact_dedup.top_bits(F.col("key"), depth)).collect())
+    assert depth == 4 and {r.slot for r in deeper.collect()} == {s for s, n in fill.items() if n > 100}
+    crowded = spark.range(40).select((F.col("id") * (1 << 50)).alias("key"))  # all under one slot of a shallow directory
+    depth, deeper = exact_dedup.directory(crowded, 40, 0, bucket_keys=5)
+    for slot, local in deeper.collect():
+        held = Counter(r[0] for r in crowded.filter(exact_dedup.top_bits(F.col("key"), depth) == slot).select(exact_dedup.top_bits(F.col("key"), local)).collect())
+        assert max(held.values()) <= 5 and local > depth
+    assert deeper.count() >= 1
+    assert exact_dedup.directory(even.limit(0), 0, 0)[0] == 0
+
+
+def test_an_owner_holds_whole_buckets_in_key_order(odd_docs):
+    """Each bucket lies in one file; a file's keys are one range."""
+    _, index = exact_dedup.build_index(odd_docs, bucket_keys=4)
+    files = index.select("owner", "bucket", "local", F.input_file_name().alias("f")).distinct().collect()
+    assert len({f.owner for f in files}) > 1 and len({f.f for f in files}) == len({f.owner for f in files})
+    assert all(f.bucket >> (f.local - files_depth) == f.owner for files_depth in [min(x.local for x in files)] for f in files)
 
 
 def test_no_python_on_the_main_path(odd_docs):
