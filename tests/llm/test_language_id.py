@@ -79,6 +79,67 @@ def test_probabilities_sum_to_one_over_what_can_follow():
     assert model.langs == ["a", "b"]
 
 
+def plain_kneser_ney(words, order):
+    """P(c | context) of interpolated Kneser-Ney by its definition, with recursion and dictionaries only."""
+    from collections import Counter
+
+    grams = {order: Counter()}
+    for w, n in words.items():
+        s = " " * (order - 1) + w + " "
+        for i in range(len(w) + 1):
+            grams[order][s[i : i + order]] += n
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return language_id.UNSEEN
+        c = grams[k]
+        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        of = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        if not of:
+            return p(gram[1:])
+        total = sum(of.values())
+        return max(of.get(gram, 0) - d, 0) / total + d * len(of) / total * p(gram[1:])
+
+    return p
+
+
+def test_scores_are_those_of_plain_kneser_ney():
+    counts = {"a": {"abba": 3, "baab": 2, "ab": 5, "cab": 1}, "b": {"bbb": 4, "ba": 1, "zé": 1}}
+    model = language_id.KneserNey(counts)
+    words = ["ab", "abba", "zz", "bbbb", "cabab", "é", "qab"]
+    scores, n = model.log_probabilities(words)
+    for w, row in zip(words, scores):
+        s = " " * (language_id.ORDER - 1) + w + " "
+        for j, lang in enumerate(model.langs):
+            p = plain_kneser_ney(counts[lang], language_id.ORDER)
+            want = sum(np.log(p(s[i : i + language_id.ORDER])) for i in range(len(w) + 1))
+            assert np.isclose(row[j], want, rtol=1e-4)
+    assert n.tolist() == [len(w) + 1 for w in words]
+
+
+def test_wrong_labels_do_not_end_rejection():
+    model = language_id.KneserNey({"a": {"abba": 3}, "b": {"bbb": 4}})
+    rng = np.random.default_rng(2)
+    cross = np.stack([rng.normal(2, 0.1, 300), rng.normal(6, 0.1, 300)], axis=1)
+    cross[0] = [11.0, 2.0]  # one document of b under the label a
+    n = np.full(300, 10_000)
+    model.calibrate(cross, n, np.zeros(300, dtype=int))
+    assert model.limits[0] < 4
+    best, _, out = model.judge(np.array([[2.1, 6.0], [5.0, 6.0]]), np.array([10_000, 10_000]))
+    assert best.tolist() == [0, 0] and out.tolist() == [False, True]
+
+
+def test_rare_labels_give_way(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(i, "aba abab " * (9 - i % 3), f"l{i % 3}") for i in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["l0", "l1"]
+
+
 def test_long_texts_go_past_the_memo(monkeypatch, model):
     rng = random.Random(4)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(3000))

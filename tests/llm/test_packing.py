@@ -54,6 +54,62 @@ def test_never_dearer_than_one_size():
         assert joint <= sum(map(packing.cost, packing.best_fit(lengths, (64,))[1]))
 
 
+def naive(lengths, sizes, price):
+    """Best fit by looking at every open bin, for every range of the sizes that are opened."""
+    runs = []
+    for low, high in [(a, b) for a in sizes for b in sizes if a <= b]:
+        bins = []
+        for n in lengths:
+            fits = [b for b in bins if b[0] - sum(b[1]) >= n]
+            if fits:
+                best = min(fits, key=lambda b: (b[0] - sum(b[1])))
+            else:
+                fitting = [s for s in sizes if s >= n and low <= s <= high] or [min(s for s in sizes if s >= n)]
+                best = (min(fitting, key=lambda s: (price(s) / s, -s)), [])
+                bins.append(best)
+            best[1].append(n)
+        runs.append(sum(price(min(s for s in sizes if s >= sum(b[1]))) for b in bins))
+    return min(runs), runs
+
+
+@pytest.mark.parametrize("price", [packing.cost, lambda s: s, lambda s: 40 + s])
+def test_cost_is_that_of_plain_best_fit(price):
+    rng = random.Random(8)
+    differ = 0
+    for _ in range(60):
+        sizes = (512, 1024, 2048, 4096)
+        lengths = sorted((rng.choice([rng.randint(1, 400), rng.randint(300, 700), rng.randint(1, 4096)]) for _ in range(rng.randint(1, 60))), reverse=True)
+        where, cut = packing.best_fit(lengths, sizes, price)
+        best, runs = naive(lengths, sizes, price)
+        assert abs(sum(map(price, cut)) - best) < 1e-6
+        used = [sum(n for n, w in zip(lengths, where) if w == b) for b in range(len(cut))]
+        assert all(u <= c for u, c in zip(used, cut))
+        differ += len({round(r, 3) for r in runs}) > 2
+    assert differ > 10  # the limits really compete
+
+
+def test_large_ids_beside_null(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 3), (None, 4), (big + 2, 5)], "doc_id long, n int").coalesce(1)
+    assert {(r.doc_id, r.n_tokens) for r in packing.pack(df, F.col("n")).collect()} == {(big, 3), (None, 4), (big + 2, 5)}
+
+
+def test_sequences_hold_the_tokens(spark, odd_docs, no_docs):
+    from transitlake.llm import token_counts
+
+    tok = token_counts.counter(token_counts.default_tokenizer()).tokenizer
+    got = packing.pack_tokens(odd_docs, sizes=(64, 256)).collect()
+    want = sorted((tok.encode(r.text or "", add_special_tokens=False).ids for r in odd_docs.collect()), key=str)
+    pieces = defaultdict(list)
+    for r in got:
+        assert len(r.tokens) == r.n_tokens
+        if r.first_token == 0 and r.n_tokens < 256:
+            pieces["whole"].append(r.tokens)
+    assert sorted(pieces["whole"], key=str) == [w for w in want if 0 < len(w) < 256]
+    assert sum(r.n_tokens for r in got) == sum(map(len, want))
+    assert packing.pack_tokens(no_docs).count() == 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = packing.pack(odd_docs, mixing.word_count(shared.text_of()))
     want = odd_docs.agg(F.sum(mixing.word_count(shared.text_of()))).first()[0]

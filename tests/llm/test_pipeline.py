@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from transitlake.llm import shared  # noqa: E402
+from transitlake.llm import shared, token_counts  # noqa: E402
 
 from test_ngram_join import brute as near_brute  # noqa: E402
 
@@ -27,7 +27,7 @@ def test_stages_one_after_another(spark):
     assert not Counter(after) - Counter(before) and len(after) >= 0.99 * len(before)
     before, after = found["exact dedup"]
     last = {r.text: max(x.doc_id for x in before if x.text == r.text) for r in before}
-    assert Counter(after) == Counter(r for r in before if last[r.text] == r.doc_id)
+    assert Counter(after) == Counter({r for r in before if last[r.text] == r.doc_id})
     before, after = found["n-gram join"]
     roots = {d: c for d, _, c in near_brute([(r.doc_id, r.text) for r in before])}
     assert Counter(after) == Counter(r for r in before if roots[r.doc_id] == r.doc_id)
@@ -36,9 +36,10 @@ def test_stages_one_after_another(spark):
     tokens = lambda rows: sum(len((r.text or "").split()) for r in rows)
     assert 0.5 * tokens(before) <= tokens(after) <= tokens(before)  # each of many small leaves is short of a document at most
     before, after = found["packing"]
-    lengths = Counter()
+    tokenizer, lengths = token_counts.counter(token_counts.default_tokenizer()).tokenizer, Counter()
     for r in before:
-        lengths[r.doc_id] += len((r.text or "").split())
+        lengths[r.doc_id] += len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+    assert all(len(r.tokens) == r.n_tokens <= r.bin_size for r in after)
     assert sum(r.n_tokens for r in after) == sum(lengths.values())
     assert {r.doc_id for r in after} == set(lengths)
 

@@ -35,3 +35,9 @@ def test_the_memo_is_bounded(monkeypatch):
 
 def test_no_rows(no_docs):
     assert token_counts.token_counts(no_docs).count() == 0
+
+
+def test_large_ids_beside_null(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    assert {(r.doc_id, r.n_bytes) for r in token_counts.token_counts(df).collect()} == {(big, 3), (None, 1), (big + 2, 0)}

@@ -42,6 +42,15 @@ def test_round_trip(spark, monkeypatch, least, roll):
     assert sum(r.records for r in manifest.collect()) == pages.count()
 
 
+def test_large_ids_beside_null(spark):
+    big = 2**53 + 1
+    rows = [(big, None, "a"), (big + 2, None, "a"), (None, None, "a"), (big + 4, None, "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder = shared.shared_dir(spark, "warc")
+    got = warc.read_archives(warc.write_archives(pages, folder), folder).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(big, big + 2), (big + 2, None), (None, big + 2), (big + 4, None)}
+
+
 def test_no_pages(spark):
     folder = shared.shared_dir(spark, "warc")
     assert warc.read_archives(warc.write_archives(rows_of(spark).limit(0), folder), folder).count() == 0

@@ -17,14 +17,16 @@ from . import shared
 ORDER = 5
 #: The models are fitted on a sample of the labelled rows of about so many characters for each language, and in all.
 SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL = 3_000_000, 24_000_000
+#: Labels that get a model, those of most text; ties by name. Documents of rarer labels are given the likeliest of these.
 MAX_LANGUAGES = 500
 #: Probability of a character that no model has seen: one of 2**16.
 UNSEEN = 2.0**-16
 #: Words whose scores a task keeps at hand, and scores in all.
 MEMO, MEMO_SCORES = 400_000, 4_000_000
 UNKNOWN = "und"
-#: A document is rejected whose cross-entropy is over the highest of the calibration documents of its language by this much.
-SLACK = 1.0
+#: A document is rejected whose cross-entropy is over this quantile of the calibration documents of its language by so much;
+#: a few wrong labels among these so don't matter.
+QUANTILE, SLACK = 0.98, 1.0
 #: Allowance, in nats times the root of the length, for the spread of short texts.
 SHORT = 6.0
 WORDS = r"\p{L}[\p{L}\p{M}]*"
@@ -157,7 +159,7 @@ class KneserNey:
         over = own - SHORT / np.sqrt(n)
         for j in range(len(self.langs)):
             if (mine := over[truth == j]).size:
-                self.limits[j] = mine.max() + SLACK
+                self.limits[j] = np.quantile(mine, QUANTILE) + SLACK
 
 
 class Scorer:
@@ -216,9 +218,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = docs.filter(F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")
     )
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGUAGES).collect()
     each = min(SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL // max(1, len(sizes)))
     # The upper 53 bits of the hash choose, finely enough for any size of corpus; the others part fit from calibration.
     cuts = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, each / r.chars) * (1 << 53))) for r in sizes], "lang string, cut long")

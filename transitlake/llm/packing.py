@@ -7,16 +7,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from .mixing import word_count
+from .token_counts import counter, default_tokenizer
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Pieces that are packed together; a task holds the lengths of one block at a time.
 BLOCK = 100_000
+#: Texts that are encoded together.
+ENCODED = 64
 
 
 def cost(size: int) -> float:
@@ -24,18 +28,28 @@ def cost(size: int) -> float:
     return 32 + size + size * size / 16_384
 
 
+def openings(sizes: Sequence[int], price: Callable[[int], float]) -> list[tuple[int, ...]]:
+    """The size opened for pieces of up to each size, for every range of sizes, each choice once, the largest first."""
+    found = {}
+    for hi in reversed(range(len(sizes))):
+        for lo in reversed(range(hi + 1)):
+            found[tuple(min(sizes[max(lo, k) : hi + 1], key=lambda s: (price(s) / s, -s)) if k <= hi else sizes[k] for k in range(len(sizes)))] = None
+    return list(found)
+
+
 def best_fit(lengths: Sequence[int], sizes: Sequence[int], price: Callable[[int], float] = cost) -> tuple[list[int], list[int]]:
     """Bins of pieces in falling order of length: each piece's bin, and each bin's size.
 
     A piece goes to the open bin that it leaves least room in. If none fits, the bin opened is that of the permitted
-    size, of those that hold the piece, with the least cost a token. This is done for every upper limit on the
-    sizes opened; at the end each bin is cut down to the least size that holds its contents, and the packing of the
-    least total cost is returned, so that the sizes are chosen jointly. Ties: the larger limit.
+    size, of those that hold the piece, with the least cost a token. Small bins are cut down less, large ones are
+    filled up better, and which is cheaper depends on all pieces; so this is done for every range of sizes opened
+    that makes another choice. At the end each bin is cut down to the least size that holds its contents, and the
+    packing of the least total cost is returned: the sizes are chosen jointly. Ties: the larger size, the range of
+    the larger sizes.
     """
     sizes = sorted(sizes)
     best = None
-    for limit in reversed(range(len(sizes))):
-        allowed = sizes[: limit + 1]
+    for opened in openings(sizes, price):
         open_by_room: dict[int, list[int]] = {}
         rooms: list[int] = []
         used: list[int] = []
@@ -48,8 +62,7 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], price: Callable[[int]
                 if not open_by_room[room]:
                     del open_by_room[room], rooms[i]
             else:
-                fitting = [s for s in allowed if s >= n]
-                room = min(fitting, key=lambda s: (price(s) / s, -s)) if fitting else next(s for s in sizes if s >= n)
+                room = opened[bisect_left(sizes, n)]
                 b = len(used)
                 used.append(0)
             used[b] += n
@@ -72,7 +85,8 @@ def pack(docs: DataFrame, tokens: Column, sizes: Sequence[int] = SIZES, id_col:
     A document longer than the largest size is cut into pieces of that size and a rest. Documents with no tokens or a
     null count have no piece. Pieces are dealt out by their document, sorted, and packed a block at a time, so a task
     holds one block of lengths whatever the key; equal lengths are packed in order of id. Repeated rows are packed
-    each. No documents: no rows. Only ids and lengths are shuffled.
+    each. No documents: no rows. Only ids and lengths are shuffled. A block's last bins of each size aren't filled by
+    the next block; README has what that costs.
     """
     largest = max(sizes)
     n = F.coalesce(tokens.cast("long"), F.lit(0))
@@ -80,6 +94,8 @@ def pack(docs: DataFrame, tokens: Column, sizes: Sequence[int] = SIZES, id_col:
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(largest).cast("long")))
     pieces = lengths.select("doc_id", "n", first.alias("first_token")).select("doc_id", "first_token", F.least(F.lit(largest), F.col("n") - F.col("first_token")).cast("int").alias("n_tokens"))
     dealt = pieces.repartition("doc_id", "first_token").sortWithinPartitions("doc_id", "first_token", "n_tokens")
+    # Ids go through pandas as strings, as a null among numbers would make all of them floating point numbers.
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, number = TaskContext.get().partitionId(), 0
@@ -105,7 +121,31 @@ def pack(docs: DataFrame, tokens: Column, sizes: Sequence[int] = SIZES, id_col:
         if rows:
             yield flush()
 
-    return dealt.mapInPandas(packed, "doc_id long, piece int, first_token long, n_tokens int, bin string, bin_size int, bin_offset long")
+    out = dealt.mapInPandas(packed, "doc_id string, piece int, first_token long, n_tokens int, bin string, bin_size int, bin_offset long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def pack_tokens(docs: DataFrame, tokenizer: str | None = None, sizes: Sequence[int] = SIZES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """pack's rows with tokens, the ids of each piece, as a file of the tokenizers library gives them without special tokens.
+
+    A sequence is the tokens of its bin's pieces in the order of bin_offset. Null and empty texts have no piece.
+    """
+    path = tokenizer or default_tokenizer()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ENCODED):
+                part = batch.slice(at, ENCODED)
+                found = [np.array(x.ids, dtype=np.int32) for x in counter(path).tokenizer.encode_batch_fast(part["text"].to_pylist(), add_special_tokens=False)]
+                ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays([part["rid"], part["doc_id"], tokens], ["rid", "doc_id", "tokens"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
+    encoded = shared.written(rows.mapInArrow(encode, "rid long, doc_id long, tokens array<int>"), "packing-tokens")
+    pieces = pack(encoded.select("rid", F.size("tokens").alias("n")), F.col("n"), sizes, "rid", block).withColumnRenamed("doc_id", "rid")
+    own = F.slice("tokens", (F.col("first_token") + 1).cast("int"), F.col("n_tokens")).alias("tokens")
+    return pieces.join(encoded, "rid").select("doc_id", "piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset", own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,13 +14,15 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (tests on one machine) a local folder takes its place.
+    Only where that setting is missing and all runs on one machine, as in tests, a local folder takes its place.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
             spark.sparkContext.setCheckpointDir(base)

@@ -398,9 +398,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rest = b"".join([*kept, raw[at:]])
                     out.append((rest, len(raw), len(raw) - len(rest), b - a, hashlib.sha256(rest).hexdigest()))
                 done = pd.DataFrame(out, columns=["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-                yield done.assign(doc_id=part["doc_id"].astype("Int64").to_numpy())[["doc_id", *done.columns]]
+                yield done.assign(doc_id=part["doc_id"].to_numpy())[["doc_id", *done.columns]]
 
-    return texts.mapInPandas(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    # Ids go through pandas as strings, as a null among numbers would make all of them floating point numbers.
+    out = texts.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(cut, "doc_id string, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

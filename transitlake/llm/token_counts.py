@@ -114,8 +114,10 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": [count(t) for t in pdf["text"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(shared.text_of(text_col)).cast("long").alias("n_bytes"), shared.text_of(text_col).alias("text"))
-    return rows.mapInPandas(counted, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("doc_id"), F.octet_length(shared.text_of(text_col)).cast("long").alias("n_bytes"), shared.text_of(text_col).alias("text"))
+    # Ids go through pandas as strings, as a null among numbers would make all of them floating point numbers.
+    out = rows.mapInPandas(counted, "doc_id string, n_bytes long, n_tokens long")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

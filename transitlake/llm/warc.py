@@ -24,23 +24,23 @@ ROLL_BYTES = 16_000_000
 #: The table has no capture times, so records carry this date.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+#: Raw record bytes that a task reads back, in whole archives.
+READ_BYTES = 64_000_000
 
 
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
+def record_id(page_id: int | str | None) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
 
-def page_of(record: str) -> int | None:
-    found = record.removeprefix("<urn:x-page:").removesuffix(">")
-    return int(found) if found else None
+def page_of(record: str) -> str | None:
+    return record.removeprefix("<urn:x-page:").removesuffix(">") or None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None, revisit: bool) -> bytes:
     """One WARC/1.1 record; a revisit carries the HTTP head of the page without its payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -108,11 +108,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     those of attempts that succeeded, so a lost executor leaves no wrong archive.
     """
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
+        F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload")
     ).withColumns({"sha": F.unhex(F.sha2("payload", 256)), "n": F.octet_length("payload")})
-    owners = rows.groupBy("sha", "n").agg(F.max("page_id").alias("owner"))
-    placed = rows.join(owners, ["sha", "n"]).withColumn("revisit", (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner")))
-    slim = placed.select("page_id", "url", "payload", "owner", "revisit")
+    # Only payloads that repeat have an owner to look up. Few of them are broadcast, by their written size, and no payload is sent.
+    repeats = rows.groupBy("sha", "n").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    placed = rows.join(shared.written(repeats, "warc-repeats").withColumn("repeats", F.lit(True)), ["sha", "n"], "left")
+    revisit = F.col("repeats").isNotNull() & (F.col("n") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("owner"))
+    # Ids go through pandas as strings, as a null among numbers would make all of them floating point numbers.
+    slim = placed.select(F.col("page_id").cast("string").alias("page_id"), "url", "payload", F.col("owner").cast("string").alias("owner"), revisit.alias("revisit"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = shared.filesystem(folder)
@@ -129,9 +132,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
             return pd.DataFrame({"path": [path], "records": [len(waiting)], "raw_bytes": [size], "file_bytes": [len(data)]})
 
         for pdf in batches:
-            ids, owners_ = pdf["page_id"].astype(object).where(pdf["page_id"].notna(), None), pdf["owner"].astype(object).where(pdf["owner"].notna(), None)
-            for page_id, url, payload, owner, revisit in zip(ids, pdf["url"].astype(object).where(pdf["url"].notna(), None), pdf["payload"], owners_, pdf["revisit"]):
-                made = record(None if page_id is None else int(page_id), url, payload.encode(), None if owner is None else int(owner), bool(revisit))
+            ids, urls, owners = (pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("page_id", "url", "owner"))
+            for page_id, url, payload, owner, repeat in zip(ids, urls, pdf["payload"], owners, pdf["revisit"]):
+                made = record(page_id, url, payload.encode(), owner, bool(repeat))
                 waiting.append(made)
                 size += len(made)
                 if size >= ROLL_BYTES:
@@ -163,11 +166,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     if kind == "response" and (len(payload) != n or digest(payload) != found):
                         raise ValueError(f"{path}: a payload differs from its digest")
                     out.append((page_of(headers["WARC-Record-ID"]), n, found, kind, page_of(headers["WARC-Refers-To"]) if kind == "revisit" else None))
-                frame = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    files = manifest.select("path").repartition("path")
-    return files.mapInPandas(read, OUT)
+    size = manifest.agg(F.coalesce(F.sum("raw_bytes"), F.lit(0))).first()[0]
+    files = manifest.select("path").repartition(max(1, -(-size // READ_BYTES)))  # a number given is kept, however small the rows are
+    found = files.mapInPandas(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return found.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
