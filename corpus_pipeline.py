@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, n-gram join, mixing, packing. Each stage's rows are written and read again."""
+"""The corpus pipeline: language ID, exact dedup, n-gram join, mixing, packing. Each stage's rows are written and read again; an empty table gives an empty table."""
 
 from __future__ import annotations
 
@@ -9,30 +9,30 @@ from transitlake.llm import exact_dedup, language_id, mixing, ngram_join, packin
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the models don't reject; where lang is null, the language found takes its place."""
+    """The documents that the models don't reject; where lang is null, the language found takes its place. Null texts and those without letters go."""
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "lang"]
     found = language_id.identify(docs, language_id.train(docs)).filter("not rejected")
     return found.select(*columns, F.coalesce("lang", "lang_pred").alias("lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest id."""
+    """Of equal texts, one row of the largest id; nulls count as empty texts and as the least ids."""
     return exact_dedup.kept_documents(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that n-gram links connect, the document with the least id."""
+    """Of each group that n-gram links connect, one row of the least id, null ids last; texts without words all stay."""
     return ngram_join.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their leaf's budget takes them; one taken in several epochs has a row for each."""
+    """The documents as often as their leaf's budget takes them; one taken in several epochs has a row for each. Null levels are a leaf of their own; texts without words go."""
     return mixing.mixed_documents(docs, mixing.production_levels(), mixing.production_weight)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and the sequences that they are packed into."""
-    return packing.pack(docs, mixing.word_count(shared.text_of()))
+    """The pieces of the documents with their tokens, and the sequences that they are packed into. Texts without tokens have none."""
+    return packing.pack_tokens(docs)
 
 
 STAGES = [
