@@ -23,11 +23,11 @@ from . import graph, shared
 PERCENT = 80
 WORDS = 5
 #: Sets, and shingles in all, that a tree holds; a larger group is dealt out in blocks. Only a single set can be over.
-BLOCK, BLOCK_SHINGLES = 1_000, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
 #: The rarest shared shingles of each set that the first round takes; the second takes all, where they still part components.
 FIRST = 3
 #: Numbers that a tree's table of counts holds, over all its sets.
-COUNTS = 4_000_000
+COUNTS = 1_000_000
 #: Bytes of text that are hashed together.
 CHUNK = 250_000
 #: A shingle's place in the order: bits of the logarithm of its count above those of its hash.
@@ -182,7 +182,7 @@ def file_sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Da
             columns = [batch["doc_id"], batch["row"], pa.array(n, pa.int64()), pa.array(signed(np.array(one, dtype=np.uint64))), pa.array(signed(np.array(two, dtype=np.uint64))), _lists(keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "s1", "s2", "keys"])
 
-    return shared.written(rows.mapInArrow(filed, "doc_id long, row long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4")
+    return shared.written(rows.mapInArrow(filed, "doc_id long, row long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4", shared.BATCH_ROWS)
 
 
 def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -209,7 +209,7 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
             yield pa.RecordBatch.from_arrays([pa.array(signs[right], pa.int64()), _lists([signed(found[i]) for i in right])], ["node", "keys"])
 
     texts = rows.select("row", "text").join(near.select("row", "node"), "row").select("node", "text")
-    every = shared.written(texts.mapInArrow(told, "node long, keys array<long>"), "ngram-whole", "lz4")
+    every = shared.written(texts.mapInArrow(told, "node long, keys array<long>"), "ngram-whole", "lz4", shared.BATCH_ROWS)
     tokens = every.select("node", F.explode("keys").alias("key"))
     counts = shared.written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-counts", "lz4")
     level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(1)))), F.lit(31)).cast("long")
@@ -302,7 +302,7 @@ def links(filed: DataFrame, sets: DataFrame, whole: bool, percent: int = PERCENT
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return shared.written(sent.mapInPandas(walk, "a long, b long"), "ngram-links")
+    return shared.written(sent.mapInPandas(walk, "a long, b long"), "ngram-links", batch_rows=shared.BATCH_ROWS)
 
 
 def linked_components(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, first: int = FIRST) -> DataFrame:

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .mixing import word_count
-from .token_counts import counter, default_tokenizer
+from .token_counts import default_tokenizer
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Pieces that are packed together; a task holds the lengths of one block at a time.
 BLOCK = 100_000
 #: Texts that are encoded together.
-ENCODED = 64
+ENCODED = 16
 
 
 def cost(size: int) -> float:
@@ -133,16 +133,21 @@ def pack_tokens(docs: DataFrame, tokenizer: str | None = None, sizes: Sequence[i
     path = tokenizer or default_tokenizer()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODED):
                 part = batch.slice(at, ENCODED)
-                found = [np.array(x.ids, dtype=np.int32) for x in counter(path).tokenizer.encode_batch_fast(part["text"].to_pylist(), add_special_tokens=False)]
+                found = [np.array(x.ids, dtype=np.int32) for x in library.encode_batch_fast(part["text"].to_pylist(), add_special_tokens=False)]
                 ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
                 yield pa.RecordBatch.from_arrays([part["rid"], part["doc_id"], tokens], ["rid", "doc_id", "tokens"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
-    encoded = shared.written(rows.mapInArrow(encode, "rid long, doc_id long, tokens array<int>"), "packing-tokens")
+    encoded = shared.written(rows.mapInArrow(encode, "rid long, doc_id long, tokens array<int>"), "packing-tokens", batch_rows=shared.BATCH_ROWS)
     pieces = pack(encoded.select("rid", F.size("tokens").alias("n")), F.col("n"), sizes, "rid", block).withColumnRenamed("doc_id", "rid")
     own = F.slice("tokens", (F.col("first_token") + 1).cast("int"), F.col("n_tokens")).alias("tokens")
     return pieces.join(encoded, "rid").select("doc_id", "piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset", own)

@@ -29,11 +29,25 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """The rows of df, read back from the shared folder: lineage ends at files that outlive any executor."""
+#: Rows of whole texts or sets that go to a Python worker at once, which bounds what it and the JVM hold for it.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, what: str, compression: str = "zstd", batch_rows: int | None = None) -> DataFrame:
+    """The rows of df, read back from the shared folder: lineage ends at files that outlive any executor.
+
+    batch_rows: the rows that Python workers get at once while df is computed, if fewer than the session's.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows is not None:
+            spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
