@@ -110,6 +110,21 @@ def test_sequences_hold_the_tokens(spark, odd_docs, no_docs):
     assert packing.pack_tokens(no_docs).count() == 0
 
 
+def test_sequences_hold_the_texts(odd_docs, no_docs):
+    got = packing.pack_texts(odd_docs, sizes=(64, 256)).collect()
+    assert all(len(r.text.split()) == r.n_tokens for r in got)
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+    rows = odd_docs.collect()
+    once = {r.doc_id for r in rows if sum(x.doc_id == r.doc_id for x in rows) == 1}
+    for r in rows:
+        if r.doc_id in once:
+            mine = sorted(pieces[r.doc_id], key=lambda p: p.piece)
+            assert " ".join(p.text for p in mine).split() == (r.text or "").split()
+    assert packing.pack_texts(no_docs).count() == 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = packing.pack(odd_docs, mixing.word_count(shared.text_of()))
     want = odd_docs.agg(F.sum(mixing.word_count(shared.text_of()))).first()[0]

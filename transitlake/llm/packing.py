@@ -19,8 +19,6 @@ from .token_counts import default_tokenizer
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Pieces that are packed together; a task holds the lengths of one block at a time.
 BLOCK = 100_000
-#: Texts that are encoded together.
-ENCODED = 16
 
 
 def cost(size: int) -> float:
@@ -139,12 +137,10 @@ def pack_tokens(docs: DataFrame, tokenizer: str | None = None, sizes: Sequence[i
         library.no_truncation()
         library.no_padding()
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODED):
-                part = batch.slice(at, ENCODED)
-                found = [np.array(x.ids, dtype=np.int32) for x in library.encode_batch_fast(part["text"].to_pylist(), add_special_tokens=False)]
-                ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([part["rid"], part["doc_id"], tokens], ["rid", "doc_id", "tokens"])
+            found = [np.array(library.encode(t.as_py(), add_special_tokens=False).ids, dtype=np.int32) for t in batch["text"]]
+            ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)])))
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], tokens], ["rid", "doc_id", "tokens"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
     encoded = shared.written(rows.mapInArrow(encode, "rid long, doc_id long, tokens array<int>"), "packing-tokens", batch_rows=shared.BATCH_ROWS)
@@ -153,6 +149,20 @@ def pack_tokens(docs: DataFrame, tokenizer: str | None = None, sizes: Sequence[i
     return pieces.join(encoded, "rid").select("doc_id", "piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset", own)
 
 
+def pack_texts(docs: DataFrame, sizes: Sequence[int] = SIZES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """pack's rows by counts of words, with the text of each piece; a document in several pieces has its words set apart by blanks.
+
+    A sequence is the text of its bin's pieces in the order of bin_offset. Texts that are null or have no word have no piece.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
+    counted = shared.written(rows.withColumn("n", word_count(F.col("text"))), "packing-texts")
+    pieces = pack(counted.select("rid", "n"), F.col("n"), sizes, "rid", block).withColumnRenamed("doc_id", "rid")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col("first_token") + 1).cast("int"), F.col("n_tokens")), " ")
+    own = F.when(F.col("n_tokens") == F.col("n"), F.col("text")).otherwise(part).alias("text")
+    return pieces.join(counted, "rid").select("doc_id", "piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset", own)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(shared.table(spark, sf_dir, "documents"), word_count(shared.text_of()))
 
