@@ -31,8 +31,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their tokens, and the sequences that they are packed into. Texts without tokens have none."""
-    return packing.pack_tokens(docs)
+    """The pieces of the documents with their texts, and the sequences that they are packed into. Texts without words have none."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [
