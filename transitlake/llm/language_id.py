@@ -9,8 +9,10 @@ from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from . import shared
 
@@ -267,20 +269,22 @@ def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", t
     Columns of docs named lang_pred, score or rejected are replaced.
     """
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "rejected")])
-    rows = shared.carried(kept, text=shared.text_of(text_col))
     if model is None:
-        return rows.select("_row.*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+        return kept.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = kept.columns.index(text_col), [*kept.columns, "lang_pred", "score", "rejected"]
 
-    @F.pandas_udf("lang_pred string, score double, rejected boolean")
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer, names = Scorer(sent.value), np.array([*sent.value.langs, UNKNOWN], dtype=object)
-        for texts in batches:
-            cross, n = scorer.cross_entropies(list(texts))
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, langs = Scorer(sent.value), np.array([*sent.value.langs, UNKNOWN], dtype=object)
+        for batch in batches:
+            cross, n = scorer.cross_entropies([t or "" for t in batch.column(at).to_pylist()])
             best, share, out = sent.value.judge(cross, np.maximum(n, 1))
-            yield pd.DataFrame({"lang_pred": names[np.where(n > 0, best, -1)], "score": np.where(n > 0, share, 0.0), "rejected": out | (n == 0)})
+            added = [pa.array(langs[np.where(n > 0, best, -1)], pa.string()), pa.array(np.where(n > 0, share, 0.0)), pa.array(out | (n == 0))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names)
 
-    return rows.select("_row", judged("text").alias("judged")).select("_row.*", "judged.*")
+    # The same kind of worker as in training and other operators, so executors don't keep a second set of them.
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return kept.mapInArrow(judged, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
