@@ -39,8 +39,7 @@ def brute(rows, percent=80, words=5):
     return Counter((doc, len(s), least[find(i)]) for i, (doc, s) in enumerate(nodes))
 
 
-@pytest.mark.parametrize("block", [2000, 7])
-@pytest.mark.parametrize("percent,words", [(90, 3), (80, 5), (60, 3)])
+@pytest.mark.parametrize("percent,words,block", [(90, 3, 2000), (80, 5, 7), (60, 3, 7)])
 def test_components_of_odd_texts(odd_docs, block, percent, words):
     got = ngram_join.ngram_join(odd_docs, percent=percent, words=words, block=block)
     assert Counter(map(tuple, got.collect())) == brute([(r.doc_id, r.text) for r in odd_docs.collect()], percent, words)
@@ -57,7 +56,7 @@ def chain(rng):
     return out
 
 
-@pytest.mark.parametrize("block", [5, 11, 2000])
+@pytest.mark.parametrize("block", [5, 2000])
 def test_chains_across_blocks(spark, block):
     rng = random.Random(6)
     texts = chain(rng) + chain(rng) + [" ".join(f"w{rng.randrange(40)}" for _ in range(n)) for n in range(1, 25)]
@@ -116,7 +115,7 @@ def test_links_go_through_rows_without_id_and_large_ids_stay(spark):
     assert {r.doc_id for r in ngram_join.one_of_each(table(spark, rows)).collect()} == {big, None, big + 4}
 
 
-@pytest.mark.parametrize("share", [20, 60, 75])
+@pytest.mark.parametrize("share", [20, 70])
 def test_shared_boilerplate_links_nothing(spark, share):
     """Documents that have only a boilerplate in common don't even meet, however many they are."""
     rng = random.Random(share)
@@ -128,7 +127,7 @@ def test_shared_boilerplate_links_nothing(spark, share):
     assert Counter(map(tuple, ngram_join.ngram_join(docs).collect())) == brute(rows)
     sets = ngram_join.file_sets(ngram_join._rows(docs, "doc_id", "text"))
     found = ngram_join.sequences(ngram_join._rows(docs, "doc_id", "text"), sets).collect()
-    by_key = Counter(c for r in found for c in r.codes[: r.n - ngram_join.overlap(r.n) + 1] if c >> ngram_join.HASH_BITS)
+    by_key = Counter(c for r in found for c in r.codes[: max(0, len(r.codes) - ngram_join.overlap(r.n) + 1)])
     assert not by_key or max(by_key.values()) <= 2
 
 
@@ -137,7 +136,7 @@ def test_one_row_of_repeated_ones_stays(spark):
     assert Counter(ngram_join.one_of_each(table(spark, rows)).collect()) == Counter([(1, "a b c d e f g"), (3, None), (3, None)])
 
 
-@pytest.mark.parametrize("first", [0, 1, 50])
+@pytest.mark.parametrize("first", [0, 50])
 def test_rounds_agree(spark, first):
     """Whatever the first round takes, the second brings the same components."""
     rng = random.Random(3)

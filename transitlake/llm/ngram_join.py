@@ -24,8 +24,9 @@ PERCENT = 80
 WORDS = 5
 #: Sets, and shingles in all, that a tree holds; a larger group is dealt out in blocks. Only a single set can be over.
 BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
-#: The rarest shared shingles of each set that the first round takes; the second takes all, where they still part components.
-FIRST = 3
+#: The rarest shared shingles of each set that the first round takes; the others take all keys, in these shares of the last, where they still part components.
+FIRST = 2
+SHARES = (2, 16)
 #: Numbers that a tree's table of counts holds, over all its sets.
 COUNTS = 1_000_000
 #: Bytes of text that are hashed together.
@@ -92,7 +93,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 class PrefixTree:
     """Sorted sequences in lexical order; what neighbours have in common is a path of the tree."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT):
+    def __init__(self, sets: list[np.ndarray], percent: int = PERCENT, sizes: np.ndarray | None = None):
+        """sizes: of the whole sets, if sets have only what others have as well."""
         self.percent, self.sets = percent, sets
         self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.rank = np.empty(len(sets), dtype=np.int64)
@@ -103,7 +105,7 @@ class PrefixTree:
             n = min(len(a), len(b))
             differ = np.flatnonzero(a[:n] != b[:n])
             self.common[r] = differ[0] if len(differ) else n
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64) if sizes is None else sizes
         most = max(2, min(4 * int(self.sizes.max()), COUNTS // len(sets)))
         self.parts = U(most)
         self.counts = np.stack([self.counted(s) for s in sets])
@@ -112,28 +114,27 @@ class PrefixTree:
         """How many shingles of a set lie in each of the parts that their hashes are dealt to."""
         return np.bincount((s % self.parts).astype(np.int64), minlength=int(self.parts)).astype(np.uint32)
 
-    def linked(self, q: np.ndarray, wanted: np.ndarray) -> list[int]:
-        """Those of wanted that reach the threshold with q.
+    def linked(self, q: np.ndarray, wanted: np.ndarray, size: int | None = None) -> list[int]:
+        """Those of wanted that reach the threshold with q, a set of size shingles.
 
         The overlap up to a depth is shared by all sequences below it; a subtree is left as soon as its overlap and
         what can still come, by the lengths that remain, stay under what the threshold asks for. Sequences whose
-        whole length, or whose counts in parts of the order, already rule them out are not walked to.
+        whole size, or whose counts in parts of the order, already rule them out are not walked to.
         """
-        p, found = self.percent, []
+        p, found, size = self.percent, [], len(q) if size is None else size
         sizes = self.sizes[wanted]
-        near = (100 * sizes >= p * len(q)) & (100 * len(q) >= p * sizes)
+        near = (100 * sizes >= p * size) & (100 * size >= p * sizes)
         wanted, sizes = wanted[near], sizes[near]
         if not len(wanted):
             return found
         most = np.minimum(self.counts[wanted], self.counted(q)).sum(axis=1, dtype=np.int64)
-        ranks = np.sort(self.rank[wanted[100 * most >= p * (len(q) + sizes - most)]]).tolist()
-        if not ranks:
+        wanted = wanted[100 * most >= p * (size + sizes - most)]
+        if not len(wanted):
             return found
-        sizes = [len(self.sets[self.order[r]]) for r in ranks]
-        shortest, longest = min(sizes), max(sizes)
-        need = -(-p * (len(q) + shortest) // (100 + p))
+        longest = max(len(self.sets[i]) for i in wanted.tolist())
+        need = -(-p * (size + int(self.sizes[wanted].min())) // (100 + p))
         overlap, before, cut = np.zeros(1, dtype=np.int64), None, None
-        for r in ranks:
+        for r in np.sort(self.rank[wanted]).tolist():
             s = self.sets[self.order[r]]
             same = 0 if before is None else int(self.common[before + 1 : r + 1].min())
             if cut is not None and same >= cut:
@@ -147,7 +148,7 @@ class PrefixTree:
             short = np.flatnonzero(overlap[same + 1 :] + np.minimum(ahead, longest - depth) < need)
             cut = int(depth[short[0]]) if len(short) else None
             before = r
-            if cut is None and 100 * overlap[-1] >= p * (len(q) + len(s) - overlap[-1]):
+            if cut is None and 100 * overlap[-1] >= p * (size + self.sizes[self.order[r]] - overlap[-1]):
                 found.append(self.order[r])
         return found
 
@@ -186,7 +187,9 @@ def file_sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Da
 
 
 def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """node, n, codes: the sets that may have a partner, in the order of rarity among them. node is the first half of the signature.
+    """node, n, codes: the sets that may have a partner, and their shingles that others of these have, the rarest first.
+
+    node is the first half of the signature.
 
     Partners share spare(...) of their first shingles in any order, so who shares fewer of them with others is left.
     Counts are combined before they are shuffled, and a shingle that very many share is a skewed join that Spark splits.
@@ -215,7 +218,8 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
     level = F.least(F.floor(F.log2(F.coalesce("c", F.lit(1)))), F.lit(31)).cast("long")
     code = F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - HASH_BITS))
     coded = tokens.join(counts, "key", "left").select("node", code.alias("code")).groupBy("node").agg(F.sort_array(F.array_distinct(F.collect_list("code"))).alias("codes"))
-    return shared.written(coded.select("node", F.size("codes").cast("long").alias("n"), "codes"), "ngram-sequences", "lz4")
+    common = F.filter("codes", lambda c: c >= F.lit(1 << HASH_BITS))
+    return shared.written(coded.select("node", F.size("codes").cast("long").alias("n"), common.alias("codes")), "ngram-sequences", "lz4")
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -246,10 +250,11 @@ def _tree_links(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     member = np.flatnonzero(pdf["member"].to_numpy())
     if not len(member):
         return []
-    tree, out = PrefixTree([sets[i] for i in member], percent), []
+    size = pdf["n"].to_numpy()
+    tree, out = PrefixTree([sets[i] for i in member], percent, size[member]), []
     for i in np.flatnonzero(pdf["asked"].to_numpy()).tolist():
         wanted = np.flatnonzero(comp[member] != comp[i])
-        for j in tree.linked(sets[i], wanted) if len(wanted) else ():
+        for j in tree.linked(sets[i], wanted, int(size[i])) if len(wanted) else ():
             if comp[member[j]] != comp[i]:
                 out.append((int(node[i]), int(node[member[j]])))
                 comp[comp == comp[member[j]]] = comp[i]
@@ -289,7 +294,7 @@ def links(filed: DataFrame, sets: DataFrame, whole: bool, percent: int = PERCENT
     else:
         many = F.when(F.col("node") == F.col("hub"), F.transform(every_block, lambda b: place(b, zero, yes, yes))).otherwise(F.array(place(mine, zero, yes, yes)))
         one = F.array(place(zero, zero, yes, yes))
-    dealt = rows.select("key", "node", "comp", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)).alias("at")).select("key", "node", "comp", "at.*")
+    dealt = rows.select("key", "node", "n", "comp", F.explode(F.when(F.col("blocks") == 1, one).otherwise(many)).alias("at")).select("key", "node", "n", "comp", "at.*")
     by = ["key", "block", "chunk"]
     sent = dealt.join(sets.select("node", "codes"), "node").repartition(*by).sortWithinPartitions(*by)
 
@@ -308,15 +313,19 @@ def links(filed: DataFrame, sets: DataFrame, whole: bool, percent: int = PERCENT
 def linked_components(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, first: int = FIRST) -> DataFrame:
     """node, root over verified links, for every node that isn't its own root."""
     n = F.col("n")
-    prefix = F.slice("codes", F.lit(1), (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int"))
-    shown = F.filter(prefix, lambda c: c >= F.lit(1 << HASH_BITS))  # others are in this set only
-    filed = sets.select("node", "n", F.posexplode(shown).alias("at", "key"))
-    early = filed.filter(F.col("at") < first).select("key", "node", "n", F.col("node").alias("comp"))
-    found = links(early, sets, False, percent, block, block_shingles)
+    alone = n - F.size("codes")  # shingles of this set only come first in the order and meet none
+    prefix = F.slice("codes", F.lit(1), F.greatest(n - F.ceil(n * percent / F.lit(100)) + 1 - alone, F.lit(0)).cast("int"))
+    filed = shared.written(sets.select("node", "n", F.posexplode(prefix).alias("at", "key")), "ngram-filed", "lz4")
+    found = links(filed.filter(F.col("at") < first).select("key", "node", "n", F.col("node").alias("comp")), sets, False, percent, block, block_shingles)
+    # A key is worked on whole once; what the first shares of keys join, the later ones needn't be sent for.
+    share = F.pmod(F.xxhash64("key"), F.lit(SHARES[-1]))
     comps = graph.components(found)
-    rest = filed.join(comps, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
-    more = links(shared.written(rest, "ngram-filed"), sets, True, percent, block, block_shingles)
-    return comps if more.isEmpty() else graph.components(comps.toDF("a", "b").unionByName(more))
+    for low, high in zip((0, *SHARES), SHARES):
+        now = filed.filter((share >= low) & (share < high)).join(comps, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+        found = links(now, sets, True, percent, block, block_shingles)
+        if not found.isEmpty():
+            comps = graph.components(comps.toDF("a", "b").unionByName(found))
+    return comps
 
 
 def _told(rows: DataFrame, percent: int, words: int, block: int, block_shingles: int) -> DataFrame:
