@@ -151,19 +151,33 @@ def test_exact_front(spark, seed):
     assert {(r.time_s, r.fare) for r in got.collect()} == want
 
 
+def fares(spark, journeys_):
+    """journeys_: rides of (board_s, alight_s, km, base, free_km, mode, route) with early and taxi as further, optional fields."""
+    rows = [(name, i, *r[:7], *(r[7:] or (0.0, False))) for name, rides in journeys_.items() for i, r in enumerate(rides)]
+    df = spark.createDataFrame(rows, "journey string, pos int, board_s double, alight_s double, km double, base double, free_km double, mode string, route string, early double, taxi boolean")
+    return {r.journey: (r.fare, r.groups) for r in journeys.transfer_fares(df).collect()}
+
+
 def test_transfer_fares(spark):
-    rides = [
-        ("a", 0, 36000.0, 36600.0, 8.0, 1500.0, 10.0, False, "1"),
-        ("a", 1, 38400.0, 39000.0, 8.0, 1550.0, 10.0, True, "r"),  # 1,800 s after: one group of 16 km
-        ("b", 0, 36000.0, 36600.0, 8.0, 1500.0, 10.0, False, "1"),
-        ("b", 1, 38401.0, 39000.0, 8.0, 1550.0, 10.0, True, "r"),  # a second too late
-        ("c", 0, 36000.0, 36600.0, 1.0, 1500.0, 10.0, False, "1"),
-        ("c", 1, 36700.0, 37000.0, 1.0, 1500.0, 10.0, False, "1"),  # the same bus again
-        ("d", 0, 79000.0, 79600.0, 1.0, 1500.0, 10.0, False, "1"),
-        ("d", 1, 83000.0, 83600.0, 1.0, 1500.0, 10.0, False, "2"),  # at night an hour counts
-    ]
-    df = spark.createDataFrame(rides, "journey string, pos int, board_s double, alight_s double, km double, base double, free_km double, rail boolean, route string")
-    assert {r.journey: (r.fare, r.groups) for r in journeys.transfer_fares(df).collect()} == {"a": (1750.0, 1), "b": (3050.0, 2), "c": (3000.0, 2), "d": (1500.0, 1)}
+    bus, rail = (1500.0, 10.0, "flat"), (1550.0, 10.0, "rail", "r")
+    got = fares(spark, {
+        "in time": [(36000.0, 36600.0, 8.0, *bus, "1"), (38400.0, 39000.0, 8.0, *rail)],  # one group of 16 km
+        "a second late": [(36000.0, 36600.0, 8.0, *bus, "1"), (38401.0, 39000.0, 8.0, *rail)],
+        "same bus": [(36000.0, 36600.0, 1.0, *bus, "1"), (36700.0, 37000.0, 1.0, *bus, "1")],
+        "night": [(79000.0, 79600.0, 1.0, *bus, "1"), (83000.0, 83600.0, 1.0, *bus, "2")],
+        "gates": [(36000.0, 36600.0, 8.0, *rail), (36700.0, 37000.0, 4.0, *rail)],  # one ride of 12 km
+        "taxi between": [(36000.0, 36600.0, 8.0, *rail), (36700.0, 37000.0, 4.0, *rail, 0.0, True)],
+        "early": [(20000.0, 20600.0, 5.0, *rail, 310.0, False)],
+        "early, second group": [(36000.0 - 14000, 22600.0, 5.0, *rail, 310.0, False), (100000.0, 100600.0, 5.0, *rail, 310.0, True)],
+        "capped bus": [(36000.0, 36600.0, 60.0, 1650.0, 10.0, "bus", "1")],
+        "far rail": [(36000.0, 36600.0, 82.0, *rail)],
+        "flat alone": [(36000.0, 36600.0, 60.0, *bus, "1")],
+        "never refunded": [(36000.0, 36600.0, 16.0, 1650.0, 10.0, "bus", "1"), (36700.0, 37000.0, 1.0, 3200.0, 30.0, "flat", "2")],
+    })
+    assert got == {
+        "in time": (1750.0, 1), "a second late": (3050.0, 2), "same bus": (3000.0, 2), "night": (1500.0, 1), "gates": (1650.0, 1), "taxi between": (3100.0, 2), "early": (1240.0, 1), "early, second group": (2790.0, 2),
+        "capped bus": (2350.0, 1), "far rail": (2750.0, 1), "flat alone": (1500.0, 1), "never refunded": (3400.0, 1),
+    }
 
 
 def test_verification_shares_queries_and_prunes(spark):
@@ -190,6 +204,22 @@ def test_assign_in_order(spark):
     assert sorted((r.stop, r.along) for r in journeys.assign_in_order(df, "k").collect()) == [(0, 0.0), (1, 500.0), (2, 800.0), (3, 760.0)]
 
 
+def test_assign_in_order_is_best_of_all_choices(spark):
+    """Every choice of at most one option a stop is tried."""
+    import itertools
+
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(25):
+        options = [[(float(rng.randrange(0, 400)), float(rng.randrange(1, 50))) for _ in range(rng.randint(0, 3))] for _ in range(4)]
+        rows += [(str(k), stop, a, s) for stop, many in enumerate(options) for a, s in many]
+        totals = [sum(s for _, s in pick) for chosen in itertools.product(*[[None, *many] for many in options]) for pick in [[c for c in chosen if c]] if all(x[0] <= y[0] + 50 for x, y in zip(pick, pick[1:]))]
+        want[str(k)] = max(totals)
+    got = {}
+    for r in journeys.assign_in_order(spark.createDataFrame(rows, "k string, stop int, along double, score double"), "k").collect():
+        got[r.k] = got.get(r.k, 0.0) + r.score
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_passes(spark):
     path = spark.createDataFrame([("p", i, float(d)) for i, d in enumerate([10, 20, 500, 500, 30, 5, 600])], "path_id string, seg long, away double")
     points = spark.createDataFrame([("p", "x")], "path_id string, point_id string")

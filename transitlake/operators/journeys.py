@@ -2,54 +2,88 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Fixed values of the fare rules.
 MAX_BOARDINGS = 5
 INTERVAL_M = 5_000.0
+RAIL_FREE_M, RAIL_NEAR_M, RAIL_FAR_M = 10_000.0, 50_000.0, 8_000.0
+BUS_CAP = 700.0
+EARLY_S = 6.5 * 3600
+
+
+def _distance_won(metres: Column, free_m: Column, each: float = INTERVAL_M) -> Column:
+    return 100.0 * F.ceil(F.round(F.greatest(F.lit(0.0), metres - free_m) / each, 9))
+
+
+def _single_fare(ride: Column) -> Column:
+    """What a ride costs by itself: rail by 5 km up to 50 km and by 8 km beyond, buses by 5 km up to a cap, or flat."""
+    m = ride["m"]
+    rail = _distance_won(F.least(m, F.lit(RAIL_NEAR_M)), F.lit(RAIL_FREE_M)) + _distance_won(m, F.lit(RAIL_NEAR_M), RAIL_FAR_M)
+    bus = F.least(F.lit(BUS_CAP), _distance_won(m, ride["free_m"]))
+    return ride["base"] + F.when(ride["mode"] == "rail", rail).when(ride["mode"] == "bus", bus).otherwise(0.0)
 
 
 def transfer_fares(rides: DataFrame, key: str = "journey") -> DataFrame:
-    """fare and groups of journeys of rides(key, pos, board_s, alight_s, km, base, free_km, rail, route).
+    """fare and groups of journeys of rides(key, pos, board_s, alight_s, km, base, free_km, mode, early, taxi, route).
 
-    Rides within the transfer window of the last form a group of up to five, but not two in a row on one bus route;
-    rail after rail goes on within the gates as one ride. A group pays its dearest base and 100 won for each 5 km
-    begun beyond its longest free distance, but not more than its rides would singly.
+    mode is rail, bus or flat; early is the discount of a journey begun before 6:30; taxi says if one was taken since
+    the ride before. Rides within the transfer window of the last form a group of up to five, but not two in a row on
+    one bus route. Rail after rail without a taxi goes on within the gates as the same ride, at the base it began with.
+    A group pays its dearest base and 100 won for each 5 km begun beyond its longest free distance, but not more than
+    its rides would singly. What is paid is never given back: a dearer base is paid on top of it.
     """
-    ride = F.struct("pos", "board_s", "alight_s", "km", "base", "free_km", "rail", "route")
-    journeys = rides.groupBy(key).agg(F.array_sort(F.collect_list(ride)).alias("rides"))
-    extra = lambda km, free: 100 * F.ceil(F.round(F.greatest(F.lit(0.0), km - free) * 1000 / INTERVAL_M, 9)).cast("double")
-    none = F.struct(
-        F.lit(0.0).alias("paid"), F.lit(0).alias("groups"), F.lit(0).alias("n"), F.lit(0.0).alias("base"), F.lit(0.0).alias("free"), F.lit(0.0).alias("km"), F.lit(0.0).alias("single"),
-        F.lit(-1e18).alias("last"), F.lit(False).alias("rail"), F.lit("").alias("route"),
-    )
-
-    def owed(g):
-        return F.when(g["n"] == 0, F.lit(0.0)).otherwise(F.least(g["base"] + extra(g["km"], g["free"]), g["single"]))
-
-    def take(g, r):
+    columns = [F.col("pos"), F.col("board_s"), F.col("alight_s"), (F.col("km") * 1000).alias("m"), F.col("base"), (F.col("free_km") * 1000).alias("free_m"), F.col("mode"), F.col("early"), F.col("taxi"), F.col("route")]
+    journeys = rides.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rides"))
+
+    def ride(m, base, free_m, mode) -> Column:
+        return F.struct(m.alias("m"), base.alias("base"), free_m.alias("free_m"), mode.alias("mode"))
+
+    def fields(**named: Column) -> Column:
+        return F.struct(*[c.alias(name) for name, c in named.items()])
+
+    zero = F.lit(0.0)
+    none = fields(closed=zero, groups=F.lit(0), n=F.lit(0), base=zero, free_m=zero, m=zero, before=zero, last=ride(zero, zero, zero, F.lit("")), off=zero, paid=zero, until=zero, route=F.lit(""))
+
+    def take(g: Column, r: Column) -> Column:
         hour = F.pmod(F.floor(r["board_s"] / 3600), F.lit(24))
-        window = F.when((hour >= 21) | (hour < 7), 3600.0).otherwise(1800.0)
-        inside = (g["n"] > 0) & g["rail"] & r["rail"]
-        onward = (g["n"] > 0) & (g["n"] < MAX_BOARDINGS) & (r["board_s"] - g["last"] <= window) & ~(g["rail"] & r["rail"]) & ((g["route"] != r["route"]) | r["rail"])
-        joins = inside | onward
-        alone = r["base"] + extra(r["km"], r["free_km"])
-        return F.struct(
-            F.when(joins, g["paid"]).otherwise(g["paid"] + owed(g)).alias("paid"),
-            (g["groups"] + F.when(joins, 0).otherwise(1)).alias("groups"),
-            F.when(inside, g["n"]).when(joins, g["n"] + 1).otherwise(1).alias("n"),
-            F.when(joins, F.greatest(g["base"], r["base"])).otherwise(r["base"]).alias("base"),
-            F.when(joins, F.greatest(g["free"], r["free_km"])).otherwise(r["free_km"]).alias("free"),
-            F.when(joins, g["km"] + r["km"]).otherwise(r["km"]).alias("km"),
-            F.when(joins, g["single"] + alone).otherwise(alone).alias("single"),
-            r["alight_s"].alias("last"),
-            r["rail"].alias("rail"),
-            r["route"].alias("route"),
+        in_time = r["board_s"] - g["until"] <= F.when((hour >= 21) | (hour < 7), 3600.0).otherwise(1800.0)
+        both_rail = (g["last"]["mode"] == "rail") & (r["mode"] == "rail")
+        inside = (g["n"] > 0) & both_rail & ~r["taxi"]
+        changes = (g["n"] > 0) & (g["n"] < MAX_BOARDINGS) & in_time & ~both_rail & ((g["route"] != r["route"]) | (r["mode"] == "rail"))
+        early = F.pmod(r["board_s"], F.lit(86400.0)) < EARLY_S
+        grown = ride(g["last"]["m"] + r["m"], g["last"]["base"], g["last"]["free_m"], g["last"]["mode"])
+        joins = inside | changes
+        # What the group then is; its fare follows from that in a second step.
+        now = fields(
+            joins=joins,
+            n=F.when(inside, g["n"]).when(joins, g["n"] + 1).otherwise(1),
+            base=F.when(inside, g["base"]).when(joins, F.greatest(g["base"], r["base"])).otherwise(r["base"]),
+            free_m=F.when(inside, g["free_m"]).when(joins, F.greatest(g["free_m"], r["free_m"])).otherwise(r["free_m"]),
+            m=F.when(joins, g["m"] + r["m"]).otherwise(r["m"]),
+            before=F.when(inside, g["before"]).when(joins, g["before"] + _single_fare(g["last"])).otherwise(0.0),
+            last=F.when(inside, grown).otherwise(ride(r["m"], r["base"], r["free_m"], r["mode"])),
+            off=F.when(joins, g["off"]).when((g["groups"] == 0) & early, r["early"]).otherwise(0.0),
         )
 
-    return journeys.withColumn("g", F.aggregate("rides", none, take)).select(key, (F.col("g.paid") + owed(F.col("g"))).alias("fare"), F.col("g.groups").alias("groups"))
+        def settle(x: Column) -> Column:
+            alone = x["before"] + _single_fare(x["last"])
+            owed = F.when(x["n"] == 1, alone).otherwise(F.least(x["base"] + _distance_won(x["m"], x["free_m"]), alone)) - x["off"]
+            least = F.when(x["joins"], g["paid"] + F.greatest(F.lit(0.0), x["base"] - g["base"])).otherwise(0.0)
+            return fields(
+                closed=F.when(x["joins"], g["closed"]).otherwise(g["closed"] + g["paid"]),
+                groups=g["groups"] + F.when(x["joins"], 0).otherwise(1),
+                n=x["n"], base=x["base"], free_m=x["free_m"], m=x["m"], before=x["before"], last=x["last"], off=x["off"],
+                paid=F.greatest(least, owed), until=r["alight_s"], route=r["route"],
+            )
+
+        return F.transform(F.array(now), settle)[0]
+
+    return journeys.withColumn("g", F.aggregate("rides", none, take)).select(key, (F.col("g.closed") + F.col("g.paid")).alias("fare"), F.col("g.groups").alias("groups"))
 
 
 def verify_within_budget(candidates: DataFrame, budget: int, key: str = "request") -> DataFrame:
@@ -108,13 +142,14 @@ def distinct_cards(cards: DataFrame, key: str, near_m: float = 200.0) -> DataFra
     """
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[int] = []
         pdf = pdf.sort_values("pos", ignore_index=True)
-        for i, r in enumerate(pdf.itertuples()):
-            same = (pdf.iloc[j] for j in out)
-            if not any(s.minutes == r.minutes and s.fare == r.fare and (s.x0 - r.x0) ** 2 + (s.y0 - r.y0) ** 2 < near_m**2 and (s.x1 - r.x1) ** 2 + (s.y1 - r.y1) ** 2 < near_m**2 for s in same):
-                out.append(i)
-        return pdf.iloc[out]
+        ends = pdf[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float)
+        alike = pdf.groupby(["minutes", "fare"], sort=False, dropna=False).ngroup().to_numpy()
+        kept = np.zeros(len(pdf), dtype=bool)
+        for i in range(len(pdf)):
+            far = (ends[kept & (alike == alike[i])] - ends[i]) ** 2
+            kept[i] = not ((far[:, 0] + far[:, 1] < near_m**2) & (far[:, 2] + far[:, 3] < near_m**2)).any()
+        return pdf[kept]
 
     return cards.groupBy(key).applyInPandas(keep, cards.schema)
 
@@ -122,22 +157,35 @@ def distinct_cards(cards: DataFrame, key: str, near_m: float = 200.0) -> DataFra
 def assign_in_order(options: DataFrame, key: str, slack: float = 50.0) -> DataFrame:
     """For each key one option of each stop at most, so that along rises with the stops, give or take slack, and score is largest.
 
-    options(key, stop, along, score). A key is one step of a journey.
+    options(key, stop, along, score). A key is one step of a journey. Each option looks up, among those of earlier
+    stops whose along is at most slack more than its own, the chain of the largest score: these are kept by along,
+    with the running maximum of their scores, and a stop's options enter together once all of them are scored.
     """
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["stop", "along"], ignore_index=True)
-        rows = list(pdf.itertuples())
-        total, prev = [r.score for r in rows], [-1] * len(rows)
-        for i, r in enumerate(rows):
-            for j in range(i):
-                if rows[j].stop < r.stop and rows[j].along <= r.along + slack and total[j] + r.score > total[i]:
-                    total[i], prev[i] = total[j] + r.score, j
-        at, out = max(range(len(rows)), key=lambda i: (total[i], -i), default=-1), []
-        while at >= 0:
-            out.append(at)
-            at = prev[at]
-        return pdf.iloc[sorted(out)]
+        along, score = pdf["along"].to_numpy(dtype=float), pdf["score"].to_numpy(dtype=float)
+        chain, link = score.copy(), np.full(len(pdf), -1)
+        known = np.zeros(0, dtype=int)  # options of the stops so far, by along
+        for _, group in pdf.groupby("stop", sort=True).groups.items():
+            mine = np.asarray(group)
+            if len(known):
+                upto = np.searchsorted(along[known], along[mine] + slack, side="right")
+                running = np.maximum.accumulate(chain[known])
+                leader = known[np.maximum.accumulate(np.where(chain[known] == running, np.arange(len(known)), 0))]
+                reached = np.maximum(upto - 1, 0)
+                gains = (upto > 0) & (running[reached] > 0)
+                chain[mine[gains]] += running[reached[gains]]
+                link[mine[gains]] = leader[reached[gains]]
+            known = np.concatenate([known, mine])
+            known = known[np.argsort(along[known], kind="stable")]
+        if not len(pdf):
+            return pdf
+        taken, last = [], int(chain.argmax())
+        while last >= 0:
+            taken.append(last)
+            last = int(link[last])
+        return pdf.iloc[taken[::-1]]
 
     return options.groupBy(key).applyInPandas(best, options.schema)
 
