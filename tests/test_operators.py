@@ -276,3 +276,18 @@ def test_freshness(spark):
     df = spark.createDataFrame([("a", "2023-01-05"), ("a", "2024.02.01"), ("a", "1900-01-00"), ("a", "")], "k string, d string")
     r = registry.freshness(df, "k", times.parse_date(F.col("d")), "2024-01-01").first()
     assert (str(r["first"]), str(r["last"]), r.stale, r.missing) == ("2023-01-05", "2024-02-01", 1, 2)
+
+
+def test_brackets_of_any_depth_go(spark):
+    rows = [("가나(다(라(마(바(사)))))역",), ("a(b)(c(d))",), ("open(only",), ("plain",), (None,)]
+    got = spark.createDataFrame(rows, "n string").select(names.name_key(F.col("n")).alias("k"))
+    assert [r.k for r in got.collect()] == ["가나역", "a", "open(only", "plain", None]
+
+
+def test_points_that_cells_cannot_hold_are_refused(spark):
+    far = spark.createDataFrame([(1, 10.0, 80.0)], "a int, lon double, lat double")
+    other = spark.createDataFrame([(2, 10.1, 80.0)], "b int, lon2 double, lat2 double")
+    with pytest.raises(Exception, match="latitude"):
+        spatial.grid_join(far, other, 5000.0).collect()
+    with pytest.raises(Exception, match="meridian"):
+        spatial.grid_join(far.withColumns({"lat": F.lit(10.0), "lon": F.lit(179.999)}), other.withColumn("lat2", F.lit(10.0)), 5000.0).collect()

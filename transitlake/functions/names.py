@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 SEPARATORS = "·ㆍ∙•‧･"
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 PLAIN = "".join(chr(c) for c in range(0x21, 0x7F))
-#: Nested brackets that name_key takes away.
-BRACKET_DEPTH = 3
+_INNERMOST = r"\([^()]*\)"
 
 
 def name_norm(name: Column) -> Column:
@@ -23,9 +22,10 @@ def name_norm(name: Column) -> Column:
 
 def name_key(name: Column, station: bool = False) -> Column:
     """The key that names are matched by: no bracketed parts, no dots, lower case, and no final 역 of a station's longer name."""
-    key = name_norm(name)
-    for _ in range(BRACKET_DEPTH):
-        key = F.regexp_replace(key, r"\([^()]*\)", "")
+    key = F.regexp_replace(name_norm(name), _INNERMOST, "")
+    # Nested brackets go from the inside out, as often as there are opening ones left.
+    left = F.sequence(F.lit(1), F.length(F.regexp_replace(key, r"[^(]", "")))
+    key = F.when(F.contains(key, F.lit("(")), F.aggregate(left, key, lambda k, _: F.regexp_replace(k, _INNERMOST, ""))).otherwise(key)
     key = F.lower(F.regexp_replace(key, r"\.", ""))
     if station:
         key = F.when((F.length(key) >= 3) & key.endswith("역"), F.regexp_replace(key, "역$", "")).otherwise(key)

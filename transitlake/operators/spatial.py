@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from transitlake.functions import geo
 
-#: Latitude beyond which cells would be too narrow; the service area lies well below.
+#: Cells are wide enough up to this latitude; points beyond it, or whose neighbours lie across the 180th meridian, are refused.
 HIGHEST_LAT = 60.0
 
 
@@ -25,13 +25,19 @@ def grid_join(left: DataFrame, right: DataFrame, radius_m: float, lon: tuple[str
     """All pairs within radius_m, with dist_m: an equi-join on cells, the right side standing in its cell and all around.
 
     Rows with a null or NaN coordinate have no pairs. on: columns of both sides in which a pair agrees; all others
-    must differ in name.
+    must differ in name. A point beyond HIGHEST_LAT or within a cell of the 180th meridian is an error, as its pairs
+    would be missed.
     """
     wide, high = cells_for(radius_m)
+
+    def column(x: str, y: str) -> Column:
+        far = (F.abs(F.col(y)) > HIGHEST_LAT) | (F.abs(F.col(x)) > 180 - wide)
+        return F.when(far, F.raise_error(F.lit(f"grid_join: a point beyond {HIGHEST_LAT:g} degrees of latitude or next to the 180th meridian"))).otherwise(geo.cell(F.col(x), wide))
+
     ok = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b)
-    mine = left.filter(ok(*lon)).withColumns({"_cx": geo.cell(F.col(lon[0]), wide), "_cy": geo.cell(F.col(lon[1]), high)})
+    mine = left.filter(ok(*lon)).withColumns({"_cx": column(*lon), "_cy": geo.cell(F.col(lon[1]), high)})
     around = F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    theirs = right.filter(ok(*other)).withColumn("_d", F.explode(around)).withColumns({"_cx": geo.cell(F.col(other[0]), wide) + F.col("_d.x"), "_cy": geo.cell(F.col(other[1]), high) + F.col("_d.y")}).drop("_d")
+    theirs = right.filter(ok(*other)).withColumn("_d", F.explode(around)).withColumns({"_cx": column(*other) + F.col("_d.x"), "_cy": geo.cell(F.col(other[1]), high) + F.col("_d.y")}).drop("_d")
     dist = geo.haversine_m(F.col(lon[0]), F.col(lon[1]), F.col(other[0]), F.col(other[1]))
     return mine.join(theirs, ["_cx", "_cy", *on]).withColumn("dist_m", dist).filter(F.col("dist_m") <= radius_m).drop("_cx", "_cy")
 

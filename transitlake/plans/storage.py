@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only where that is not set."""
+    """A fresh folder under spark.checkpoint.dir; a local one only where that is not set and all runs on one machine."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
             spark.sparkContext.setCheckpointDir(base)
