@@ -32,22 +32,27 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 #: Rows of whole texts or sets that go to a Python worker at once, which bounds what it and the JVM hold for it.
 BATCH_ROWS = 1_000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark drops a query's shuffle files as it ends; without it they stay until the driver happens to collect garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, what: str, compression: str = "zstd", batch_rows: int | None = None) -> DataFrame:
     """The rows of df, read back from the shared folder: lineage ends at files that outlive any executor.
 
+    The shuffle files of the write go with its end, as nothing reads them again.
     batch_rows: the rows that Python workers get at once while df is computed, if fewer than the session's.
     """
     spark = df.sparkSession
     path = shared_dir(spark, what)
-    before = spark.conf.get(_BATCH)
+    before, cleanup = spark.conf.get(_BATCH), spark.conf.get(_CLEANUP)
     try:
+        spark.conf.set(_CLEANUP, "true")
         if batch_rows is not None:
             spark.conf.set(_BATCH, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
+        spark.conf.set(_CLEANUP, cleanup)
     return spark.read.schema(df.schema).parquet(path)
 
 
