@@ -193,11 +193,12 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
 
     Partners share spare(...) of their first shingles in any order, so who shares fewer of them with other sets is left;
     what only copies of one set have is shared with none. Shingles that one set alone has count in n and aren't kept.
+    Shared shingles and their counts grow with the corpus, so these joins shuffle at every size and broadcast nothing.
     Counts are combined before they are shuffled, and a shingle that very many share is a skewed join that Spark splits.
     """
     filed = sets.select("s1", F.explode("keys").alias("key"))
     often = shared.written(filed.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("key"), "ngram-often")
-    shares = filed.join(often, "key").groupBy("s1").agg(F.count(F.lit(1)).alias("shares"))
+    shares = filed.join(often.hint("merge"), "key").groupBy("s1").agg(F.count(F.lit(1)).alias("shares"))
     # A class of equal sets counts its copies; each set of it files the same, so the sum is divided by them.
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
     least = F.ceil(F.col("n") * percent / F.lit(100))
@@ -218,7 +219,7 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
     counts = shared.written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-counts", "lz4")
     level = F.least(F.floor(F.log2("c")), F.lit(31)).cast("long")
     code = F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - HASH_BITS))
-    coded = tokens.join(counts, "key").select("node", code.alias("code")).groupBy("node").agg(F.sort_array(F.array_distinct(F.collect_list("code"))).alias("codes"))
+    coded = tokens.join(counts.hint("merge"), "key").select("node", code.alias("code")).groupBy("node").agg(F.sort_array(F.array_distinct(F.collect_list("code"))).alias("codes"))
     return shared.written(coded.join(near.select("node", "n"), "node").select("node", "n", "codes"), "ngram-sequences", "lz4")
 
 
