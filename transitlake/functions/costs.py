@@ -18,6 +18,14 @@ VALUE_OF_TIME = {"time": 456, "balance": 300, "fare": 150}
 MIN_SAVING_S = 300
 DEFAULT_WAIT_S = 900
 
+# Surcharges from 22 or 23 to 4 o'clock, kilometres an hour of buses by kind and of trains by line, and what a train's stop costs.
+NIGHT_SEOUL, NIGHT_ELSEWHERE = (22, 1.2), (23, 1.3)
+NIGHT_END = 4
+BUS_KMH = {"마을": 10.0, "순환": 10.0, "지선": 12.0, "일반": 13.0, "간선": 13.0, "심야": 15.0, "광역": 17.0, "직행": 17.0, "시외": 21.0, "공항": 21.0}
+BUS_KMH_DEFAULT = 13.0
+RAIL_KMH = {"GTX-A": 90.0, "1호선": 46.0, "경의중앙선": 44.0, "신분당선": 38.0, "8호선": 38.0, "수인분당선": 36.0, "4호선": 34.0, "3호선": 34.0, "7호선": 33.0, "2호선": 31.0, "5호선": 30.0, "6호선": 30.0, "9호선": 30.0}
+RAIL_KMH_DEFAULT, RAIL_CONNECT_S = 34.0, 120
+
 
 def walk_s(metres: Column) -> Column:
     return metres * (WALK_DETOUR / WALK_MPS)
@@ -94,3 +102,37 @@ def first_wait_s(arrivals: Column, walk: Column, headway_s: Column) -> Column:
     last = F.array_max(known)
     later = last + F.ceil((walk - last) / headway_s) * headway_s
     return F.coalesce(caught, F.when(headway_s > 0, later)) - walk
+
+
+def night_factor(seoul: Column, hour: Column) -> Column:
+    """The night surcharge by where and when a taxi is boarded; 1 at an unknown hour, outside Seoul if the place isn't known."""
+    inside = F.coalesce(seoul, F.lit(False))
+    start, factor = (F.when(inside, a).otherwise(b) for a, b in zip(NIGHT_SEOUL, NIGHT_ELSEWHERE))
+    return F.when((hour >= start) | (hour < NIGHT_END), factor).otherwise(1.0)
+
+
+def taxi_plan_s(eta_s: Column, connect: Column) -> Column:
+    """Seconds to plan for a taxi: the call, the ride, and a buffer if something is boarded after it."""
+    return TAXI_PICKUP_S + F.coalesce(eta_s, F.lit(0)) + F.when(connect, TAXI_CONNECT_S).otherwise(0)
+
+
+def _looked_up(kmh: dict[str, float], key: Column, default: float) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in kmh.items() for x in pair]), key), F.lit(default))
+
+
+def bus_kmh(kind: Column) -> Column:
+    return _looked_up(BUS_KMH, kind, BUS_KMH_DEFAULT)
+
+
+def rail_kmh(line: Column) -> Column:
+    return _looked_up(RAIL_KMH, line, RAIL_KMH_DEFAULT)
+
+
+def rest_s(metres: Column, band: Column) -> Column:
+    """The least time that is left over a straight distance: by taxi, or by train with one connection."""
+    return F.least(taxi_s(metres, band), metres * 3.6 / RAIL_KMH_DEFAULT + RAIL_CONNECT_S)
+
+
+def fare_of(value: Column, least: Column) -> Column:
+    """The fare, or the least that is possible where it isn't known."""
+    return F.coalesce(value, least)

@@ -104,3 +104,8 @@ def last_category(group: Column, path: Column) -> Column:
 def tolerant_number(s: Column, kind: str = "double") -> Column:
     """Blank or unreadable text is null."""
     return F.nullif(F.trim(s), F.lit("")).try_cast(kind)
+
+
+def headsign_next(sign: Column) -> Column:
+    """The next stop of a sign 'A행 - B방면', which is B; null where what follows the last hyphen isn't of this form."""
+    return F.trim(F.regexp_extract(F.when(sign.rlike(r"-[^-]*방면\s*$"), sign), r"-([^-]*)방면\s*$", 1))

@@ -66,3 +66,24 @@ def skewed_directions(counts: DataFrame, key: str, direction: str, n: str) -> Da
 
 def served(rows: DataFrame, minute: Column, first: Column, last: Column) -> DataFrame:
     return rows.filter(times.in_service(first, last, minute))
+
+
+def trips_by_direction(stop_times: DataFrame, group: str, direction: str, trip: str) -> DataFrame:
+    """trips, how many different ones each group has in each direction."""
+    return stop_times.groupBy(group, direction).agg(F.count_distinct(trip).alias("trips"))
+
+
+def peak_median(hours: DataFrame, key: str, headway: str, hour: int = 8) -> DataFrame:
+    """peak_m, the median headway of a key at one hour; keys without it have no row."""
+    return hours.filter((F.col("hour") == hour) & F.col(headway).isNotNull()).groupBy(key).agg(F.median(headway).alias("peak_m"))
+
+
+def merged_directions(hours: DataFrame, keys: Sequence[str], headway: str) -> DataFrame:
+    """The mean headway of all directions of the keys and hour; unknown ones don't count."""
+    return hours.groupBy(*keys, "hour").agg(F.avg(headway).alias(headway))
+
+
+def reason_counts(pairs: DataFrame, reasons: Mapping[str, Column]) -> DataFrame:
+    """n pairs by the first of the reasons that holds against them; those that none holds against have null."""
+    first = F.coalesce(*[F.when(holds, name) for name, holds in reasons.items()])
+    return pairs.groupBy(first.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

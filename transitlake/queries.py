@@ -379,6 +379,74 @@ def running_clock(spark, sf_dir):
     return out.select("route", F.round("arrive_m", 6).alias("arrive_m"), F.round("wait_m", 6).alias("wait_m"))
 
 
+@query("""
+SELECT l_suppkey, l_linestatus, count(DISTINCT l_orderkey) AS trips FROM lineitem GROUP BY 1, 2""")
+def trips_by_direction(spark, sf_dir):
+    return service.trips_by_direction(t(spark, sf_dir, "lineitem"), "l_suppkey", "l_linestatus", "l_orderkey")
+
+
+_DIRECTIONS = """WITH h AS (SELECT l_suppkey, l_linestatus AS direction, (l_orderkey % 24)::INTEGER AS hour, count(*) AS n FROM lineitem GROUP BY 1, 2, 3),
+m AS (SELECT *, round(60.0::DOUBLE / n, 4) AS headway_m FROM h)"""
+
+
+def direction_headways(spark, sf_dir):
+    hours = t(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_linestatus").alias("direction"), (F.col("l_orderkey") % 24).cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.withColumn("headway_m", F.round(F.lit(60.0) / F.col("n"), 4))
+
+
+@query(_DIRECTIONS + "SELECT l_suppkey, median(headway_m) AS peak_m FROM m WHERE hour = 8 GROUP BY 1")
+def peak_headway_median(spark, sf_dir):
+    return service.peak_median(direction_headways(spark, sf_dir), "l_suppkey", "headway_m")
+
+
+@query(_DIRECTIONS + "SELECT l_suppkey, hour, round(avg(headway_m), 6) AS headway_m FROM m GROUP BY 1, 2")
+def merged_direction_headway(spark, sf_dir):
+    return service.merged_directions(direction_headways(spark, sf_dir), ["l_suppkey"], "headway_m").withColumn("headway_m", F.round("headway_m", 6))
+
+
+@query("""
+SELECT CASE WHEN l_partkey % 40 < 3 THEN 'too_close' WHEN l_partkey % 40 > 30 THEN 'too_far' WHEN l_quantity < 10 THEN 'no_saving' WHEN l_suppkey % 5 = 0 THEN 'off_band' END AS reason,
+count(*) AS n FROM lineitem GROUP BY 1""")
+def discard_reasons(spark, sf_dir):
+    km = F.col("l_partkey") % 40
+    reasons = {"too_close": km < 3, "too_far": km > 30, "no_saving": F.col("l_quantity") < 10, "off_band": F.col("l_suppkey") % 5 == 0}
+    return service.reason_counts(t(spark, sf_dir, "lineitem"), reasons)
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_custkey % 3 = 0 AS seoul, CASE WHEN o_orderkey % 25 < 24 THEN o_orderkey % 25 END AS hour, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 900 END AS eta FROM orders)
+SELECT o_orderkey, CASE WHEN seoul AND (hour >= 22 OR hour < 4) THEN 1.2::DOUBLE WHEN NOT seoul AND (hour >= 23 OR hour < 4) THEN 1.3::DOUBLE ELSE 1.0::DOUBLE END AS night,
+90 + coalesce(eta, 0) + CASE WHEN o_orderkey % 2 = 0 THEN 60 ELSE 0 END AS plan_s FROM o""")
+def taxi_plan(spark, sf_dir):
+    key = F.col("o_orderkey")
+    night = costs.night_factor(F.col("o_custkey") % 3 == 0, F.when(key % 25 < 24, key % 25))
+    return t(spark, sf_dir, "orders").select("o_orderkey", night.alias("night"), costs.taxi_plan_s(F.when(key % 7 > 0, key % 900), key % 2 == 0).alias("plan_s"))
+
+
+_KINDS = ["마을", "순환", "지선", "일반", "간선", "심야", "광역", "직행", "시외", "공항", "관광"]
+
+
+@query("""
+WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_partkey % 30000)::DOUBLE AS m, (l_suppkey % 11)::INTEGER AS i FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, ([10, 10, 12, 13, 13, 15, 17, 17, 21, 21, 13])[i + 1]::DOUBLE AS kmh,
+round(least(370 * pow(m / 1000, 0.7), m * 3.6 / 34 + 120), 4) AS rest_s FROM k""")
+def ride_speeds(spark, sf_dir):
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("l_suppkey") % 11 + 1).cast("int"))
+    rest = costs.rest_s((F.col("l_partkey") % 30000).cast("double"), F.lit("normal"))
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", costs.bus_kmh(kind).alias("kmh"), F.round(rest, 4).alias("rest_s"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name || '행 - ' || n_name || '방면' WHEN 1 THEN s_name || '행 - ' || n_name ELSE replace(s_name, '#', '-') || '방면 ' END AS sign
+FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s_suppkey, CASE WHEN regexp_matches(sign, '-[^-]*방면\\s*$') THEN trim(regexp_extract(sign, '-([^-]*)방면\\s*$', 1)) END AS next_stop FROM s""")
+def headsigns(spark, sf_dir):
+    rows = t(spark, sf_dir, "supplier").join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    to = F.concat("s_name", F.lit("행 - "), "n_name")
+    sign = F.when(F.col("s_suppkey") % 3 == 0, F.concat(to, F.lit("방면"))).when(F.col("s_suppkey") % 3 == 1, to).otherwise(F.concat(F.replace("s_name", F.lit("#"), F.lit("-")), F.lit("방면 ")))
+    return rows.select("s_suppkey", names.headsign_next(sign).alias("next_stop"))
+
+
 # --- aggregates and statistics ----------------------------------------------------------------------------------
 
 
