@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, suffix_dedup, token_counts, url_filter, warc
+from . import exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, suffix_dedup, token_counts, token_ids, url_filter, warc
 
 MODULES = {
     "op1_best_fit_packing": packing,
@@ -19,6 +19,7 @@ MODULES = {
     "op8_url_filters": url_filter,
     "op9_language_id": language_id,
     "op10_warc": warc,
+    "op11_token_ids": token_ids,
 }
 
 
