@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, suffix_dedup, token_counts, token_ids, url_filter, warc
+from . import collocations, exact_dedup, hamming_search, language_id, mixing, ngram_join, packing, suffix_dedup, token_counts, token_ids, url_filter, vector_codes, warc
 
 MODULES = {
     "op1_best_fit_packing": packing,
@@ -21,6 +21,7 @@ MODULES = {
     "op10_warc": warc,
     "op11_token_ids": token_ids,
     "op12_collocations": collocations,
+    "op13_vector_codes": vector_codes,
 }
 
 
