@@ -193,17 +193,16 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
 
     Partners share spare(...) of their first shingles in any order, so who shares fewer of them with other sets is left;
     what only copies of one set have is shared with none. Shingles that one set alone has count in n and aren't kept.
-    Shared shingles and their counts grow with the corpus, so these joins shuffle at every size and broadcast nothing.
-    Counts are combined before they are shuffled, and a shingle that very many share is a skewed join that Spark splits.
+    Counts are combined before they are shuffled, and grow with the corpus, so their join shuffles at every size; a
+    shingle that very many share is a skewed join that Spark splits.
     """
     filed = sets.select("s1", F.explode("keys").alias("key"))
-    often = shared.written(filed.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").select("key"), "ngram-often")
-    shares = filed.join(often.hint("merge"), "key").groupBy("s1").agg(F.count(F.lit(1)).alias("shares"))
-    # A class of equal sets counts its copies; each set of it files the same, so the sum is divided by them.
-    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies"))
+    # A key that one set alone files is that set's own; what a set files besides its own is shared. Nothing is joined back to the keys.
+    own = filed.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo = hi").groupBy(F.col("lo").alias("s1")).agg(F.count(F.lit(1)).alias("own"))
+    classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.max(F.size("keys")).alias("filed"))
     least = F.ceil(F.col("n") * percent / F.lit(100))
-    enough = F.col("shares") >= F.col("copies") * (1 + F.floor(least * (100 - percent) / F.lit(200)))
-    near = shared.written(classes.join(shares, "s1").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
+    enough = F.col("filed") - F.coalesce("own", F.lit(0)) >= 1 + F.floor(least * (100 - percent) / F.lit(200))
+    near = shared.written(classes.join(own, "s1", "left").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
