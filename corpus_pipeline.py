@@ -26,13 +26,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as their leaf's budget takes them; one taken in several epochs has a row for each. Null levels are a leaf of their own; texts without words go."""
+    """The documents as often as their leaf's budget takes them; one taken in several epochs has a row for each, and the last of a leaf keeps the tokens that the budget has left. Null levels are a leaf of their own; texts without tokens go."""
     return mixing.mixed_documents(docs, mixing.production_levels(), mixing.production_weight)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their texts, and the sequences that they are packed into. Texts without words have none."""
-    return packing.pack_texts(docs)
+    """The pieces of the documents with their token ids, and the sequences that they are packed into. Empty texts have none."""
+    return packing.pack_tokens(docs)
 
 
 STAGES = [

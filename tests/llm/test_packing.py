@@ -1,11 +1,10 @@
 import random
-import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from transitlake.llm import mixing, packing, shared
+from transitlake.llm import packing
 
 
 def check(rows, lengths, sizes):
@@ -96,40 +95,45 @@ def test_large_ids_beside_null(spark):
 
 
 def test_sequences_hold_the_tokens(spark, odd_docs, no_docs):
-    from transitlake.llm import token_counts
+    from tokenizers import Tokenizer
 
-    tok = token_counts.counter(token_counts.default_tokenizer()).tokenizer
+    from transitlake.llm import token_ids
+
+    library = Tokenizer.from_file(token_ids.default_tokenizer())
+    rows = odd_docs.collect()
+    want = Counter(r.doc_id for r in rows)
+    texts = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids for r in rows}
     got = packing.pack_tokens(odd_docs, sizes=(64, 256)).collect()
-    want = sorted((tok.encode(r.text or "", add_special_tokens=False).ids for r in odd_docs.collect()), key=str)
     pieces = defaultdict(list)
     for r in got:
-        assert len(r.tokens) == r.n_tokens
-        if r.first_token == 0 and r.n_tokens < 256:
-            pieces["whole"].append(r.tokens)
-    assert sorted(pieces["whole"], key=str) == [w for w in want if 0 < len(w) < 256]
-    assert sum(r.n_tokens for r in got) == sum(map(len, want))
+        assert len(r.tokens) == r.n_tokens <= 256
+        pieces[r.doc_id].append(r)
+    for doc, ids in texts.items():
+        if want[doc] == 1:
+            mine = sorted(pieces[doc], key=lambda r: r.piece)
+            assert [t for r in mine for t in r.tokens] == ids and [r.first_token for r in mine] == [256 * i for i in range(len(mine))]
+    assert sum(r.n_tokens for r in got) == sum(len(texts[r.doc_id]) for r in rows)
+    bins = defaultdict(int)
+    for r in got:
+        bins[r.bin, r.bin_size] += r.n_tokens
+    assert all(size == min(s for s in (64, 256) if s >= used) for (_, size), used in bins.items())
     assert packing.pack_tokens(no_docs).count() == 0
 
 
-def test_sequences_hold_the_texts(odd_docs, no_docs):
-    got = packing.pack_texts(odd_docs, sizes=(64, 256)).collect()
-    words = re.compile(r"[^ \t\n\x0b\f\r]+").findall
-    assert all(len(words(r.text)) == r.n_tokens for r in got)
-    pieces = defaultdict(list)
-    for r in got:
-        pieces[r.doc_id].append(r)
-    rows = odd_docs.collect()
-    once = {r.doc_id for r in rows if sum(x.doc_id == r.doc_id for x in rows) == 1}
-    for r in rows:
-        if r.doc_id in once:
-            mine = sorted(pieces[r.doc_id], key=lambda p: p.piece)
-            assert words(" ".join(p.text for p in mine)) == words(r.text or "")
-    assert packing.pack_texts(no_docs).count() == 0
+@pytest.mark.parametrize("letter", ["x", "漢"])
+def test_a_text_without_blanks_is_cut(spark, letter):
+    docs = spark.createDataFrame([(1, letter * 300_000), (2, "a b c")], "doc_id long, text string")
+    got = packing.pack_tokens(docs).collect()
+    assert max(r.bin_size for r in got) == 8192 and all(r.n_tokens <= 8192 for r in got)
+    assert sum(r.doc_id == 1 for r in got) == -(-sum(r.n_tokens for r in got if r.doc_id == 1) // 8192) > 3
+
+
+def word_count(text="text"):
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
 def test_odd_rows(odd_docs, no_docs):
-    got = packing.pack(odd_docs, mixing.word_count(shared.text_of()))
-    want = odd_docs.agg(F.sum(mixing.word_count(shared.text_of()))).first()[0]
-    assert got.agg(F.sum("n_tokens")).first()[0] == want
-    assert packing.pack(no_docs, mixing.word_count(shared.text_of())).count() == 0
+    got = packing.pack(odd_docs, word_count())
+    assert got.agg(F.sum("n_tokens")).first()[0] == odd_docs.agg(F.sum(word_count())).first()[0]
+    assert packing.pack(no_docs, word_count()).count() == 0
     assert packing.pack(odd_docs, F.lit(None)).count() == 0

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import shared
+from . import shared, token_ids
 
 #: Weights among siblings; nodes without one count 1.
 WEIGHTS: dict[tuple[str, ...], float] = {}
@@ -22,12 +21,6 @@ BUDGET_SHARE = 1.0
 SEED = 20_240_607
 #: Documents that share a bucket of a leaf's order; only the bucket at a leaf's boundary is sorted.
 BUCKET_DOCS = 4_096
-#: The plan has a row per leaf and is broadcast; more leaves than this are refused.
-MAX_LEAVES = 1_000_000
-
-
-def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
 
 
 def domain_of(source: Column) -> Column:
@@ -36,50 +29,54 @@ def domain_of(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("domain"), (number % 4).cast("string")), F.lit("other"))
 
 
-def budgets(leaves: Mapping[tuple[str, ...], int], budget: float, weight, max_epochs: int = MAX_EPOCHS) -> dict[tuple[str, ...], int]:
-    """The tokens that each leaf gives. leaves: tokens by path; weight(path): weight among siblings.
+def shares(children: DataFrame) -> DataFrame:
+    """children(parent, node, w, cap, amount) with share: the amount of the parent dealt over its children by weight.
 
-    A node's budget is split over its children by weight. A child never gets more than max_epochs times what lies
-    below it; what it falls short of goes to its siblings by weight, and only what all children of a node can't take
-    goes back to the node's own siblings, as the node's capacity is their sum.
+    No child gets more than its cap. In each round those that would are filled and the rest is dealt anew among the
+    others, for all parents at once, until none is filled; so what one falls short of goes to its siblings by weight.
     """
-    children, capacity = defaultdict(set), defaultdict(int)
-    for path, tokens in leaves.items():
-        for i in range(len(path)):
-            children[path[:i]].add(path[: i + 1])
-        for i in range(len(path) + 1):
-            capacity[path[:i]] += tokens * max_epochs
-    given: dict[tuple[str, ...], int] = {}
-    todo = [((), min(float(budget), float(capacity[()])))]
-    while todo:
-        node, amount = todo.pop()
-        if node not in children:
-            given[node] = math.floor(amount + 1e-6)
-            continue
-        open_, left, share = sorted(children[node]), amount, {}
-        while open_:
-            total = sum(weight(c) for c in open_)
-            full = [c for c in open_ if total <= 0 or left * weight(c) / total >= capacity[c]]
-            if total <= 0:
-                share |= dict.fromkeys(open_, 0.0)
-                break
-            if not full:
-                share |= {c: left * weight(c) / total for c in open_}
-                break
-            for c in full:
-                share[c] = float(capacity[c])
-                left -= capacity[c]
-            left = max(left, 0.0)
-            open_ = [c for c in open_ if c not in share]
-        todo += share.items()
-    return given
+    state = children.withColumn("full", F.lit(False))
+    while True:
+        sums = state.groupBy("parent").agg(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).alias("gone"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).alias("open"))
+        rate = F.when(F.col("open") > 0, F.greatest(F.col("amount") - F.col("gone"), F.lit(0.0)) / F.col("open"))
+        met = state.join(sums, "parent").withColumn("rate", rate)
+        filled = ~F.col("full") & F.coalesce(F.col("rate") * F.col("w") >= F.col("cap"), F.lit(False))
+        state = shared.written(met.withColumn("filled", filled), "mixing-shares")
+        if state.filter("filled").isEmpty():
+            break
+        state = state.withColumn("full", F.col("full") | F.col("filled")).drop("gone", "open", "rate", "filled")
+    return state.select("node", F.when(F.col("full"), F.col("cap")).otherwise(F.coalesce(F.col("rate") * F.col("w"), F.lit(0.0))).alias("amount"))
+
+
+def budgets(leaves: DataFrame, levels: int, weight: Callable[[tuple[str, ...]], float], budget: float, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """leaf, quota: the tokens that each leaf gives. leaves: level0, level1 and so on, and tokens; leaf is its path as JSON.
+
+    A node's budget is split over its children by weight(path). A child never gets more than max_epochs times what lies
+    below it; only what all children of a node can't take goes back to the node's own siblings, as the node's capacity
+    is their sum. The tree is gone down a level at a time, all nodes of a level at once; nothing is collected.
+    """
+    names = [f"level{i}" for i in range(levels)]
+    path = lambda n: F.to_json(F.array(*names[:n]) if n else F.array().cast("array<string>"))
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(w=[float(weight(tuple(p))) for p in pdf["path"]]).drop(columns="path")
+
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    amounts = leaves.sparkSession.createDataFrame([("[]", min(float(budget), float(total) * max_epochs))], "parent string, amount double")
+    for n in range(1, levels + 1):
+        nodes = leaves.groupBy(*names[:n]).agg((F.sum("tokens") * max_epochs).cast("double").alias("cap"))
+        nodes = nodes.select(path(n - 1).alias("parent"), path(n).alias("node"), "cap", F.array(*names[:n]).alias("path"))
+        nodes = nodes.mapInPandas(weighed, "parent string, node string, cap double, w double")
+        amounts = shares(nodes.join(amounts, "parent")).withColumnRenamed("node", "parent")
+    return amounts.select(F.col("parent").alias("leaf"), F.floor(F.col("amount") + 1e-6).alias("quota"))
 
 
 def _place(docs: DataFrame, levels: Mapping[str, Column], id_col: str, text_col: str) -> DataFrame:
-    """Each row in _row, with its doc_id, text, levels and leaf."""
+    """Each row in _row, with its doc_id, text, a hash of both by which it is found again, its levels and its leaf."""
     named = {f"level{i}": F.coalesce(c.cast("string"), F.lit("")) for i, c in enumerate(levels.values())}
     out = shared.carried(docs, doc_id=F.col(f"`{id_col}`"), text=shared.text_of(text_col), **named)
-    return out.withColumn("leaf", F.to_json(F.array(*named)))
+    return out.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("leaf", F.to_json(F.array(*named)))
 
 
 def _order(epoch: Column) -> Column:
@@ -92,31 +89,25 @@ def _bucket(h: Column, bits: Column) -> Column:
     return F.call_function("shiftrightunsigned", shifted, (F.lit(63) - bits).cast("int"))
 
 
-def plan(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = BUCKET_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = BUCKET_DOCS, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """measured, leaves, edge.
 
-    measured: doc_id, n_tokens and leaf of every document with tokens. leaves: for each leaf the full epochs, what is
-    left for the next, the bits of its buckets, and the bucket at the boundary. edge: the documents of those buckets
-    that are still within the leaf's budget.
+    measured: doc_id, row, n_tokens and leaf of every document with tokens. leaves: for each leaf the full epochs, what
+    is left for the next, the bits of its buckets, and the bucket at the boundary. edge: the documents of those buckets
+    that the budget reaches, and how many of its first tokens each gives: all, but for the last.
     """
     placed = _place(docs, levels, id_col, text_col)
     level = [f"level{i}" for i in range(len(levels))]
-    measured = shared.written(
-        placed.select("doc_id", *level, "leaf", word_count(F.col("text")).alias("n_tokens")).filter("n_tokens > 0"),
-        "mixing-measured",
-    )
-    stats = measured.groupBy("leaf", *level).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).limit(MAX_LEAVES + 1).collect()
-    if len(stats) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} leaves")
-    tokens = {tuple(r[c] for c in level): r.tokens for r in stats}
-    given = budgets(tokens, budget_share * sum(tokens.values()), weight, max_epochs)
-    rows = []
-    for r in stats:
-        quota = given[tuple(r[c] for c in level)]
-        rows.append((r.leaf, quota // r.tokens, quota % r.tokens, max(0, math.ceil(math.log2(max(1, r.docs / bucket_docs))))))
-    spark = docs.sparkSession
-    quotas = spark.createDataFrame(rows, "leaf string, full long, rest long, bits int")
-    part = measured.join(F.broadcast(quotas), "leaf").filter("rest > 0").withColumn("h", _order(F.col("full")))
+    lengths = token_ids.with_lengths(placed.select("doc_id", "row", *level, "leaf", "text"), tokenizer)
+    measured = shared.written(lengths, "mixing-measured", batch_rows=shared.BATCH_ROWS).filter("n_tokens > 0")
+    stats = shared.written(measured.groupBy("leaf", *level).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-leaves")
+    total = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    given = budgets(stats.select(*level, "tokens"), len(level), weight, budget_share * total, max_epochs)
+    bits = F.greatest(F.ceil(F.log2(F.greatest(F.col("docs") / bucket_docs, F.lit(1.0)))), F.lit(0)).cast("int")
+    quota, tokens = F.col("quota"), F.col("tokens")
+    quotas = stats.join(given, "leaf").select("leaf", F.floor(quota / tokens).alias("full"), (quota % tokens).alias("rest"), bits.alias("bits"))
+    quotas = shared.written(quotas, "mixing-quotas")
+    part = measured.join(shared.few(quotas), "leaf").filter("rest > 0").withColumn("h", _order(F.col("full")))
     part = part.withColumn("bucket", _bucket(F.col("h"), F.col("bits")))
     sums = part.groupBy("leaf", "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
     running = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("leaf").orderBy("bucket")))
@@ -124,48 +115,62 @@ def plan(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: fl
         running.filter("upto > rest").groupBy("leaf").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("b")).select("leaf", "b.*"), "mixing-bounds"
     )
     leaves = quotas.join(bounds, "leaf", "left")
-    last = part.join(F.broadcast(bounds), ["leaf", "bucket"])
-    inside = Window.partitionBy("leaf").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    edge = last.withColumn("upto", F.col("before") + F.sum("n_tokens").over(inside)).filter("upto <= rest").select("leaf", "doc_id", "n_tokens")
-    return measured, leaves, shared.written(edge, "mixing-edge")
+    last = part.join(shared.few(bounds), ["leaf", "bucket"])
+    inside = Window.partitionBy("leaf").orderBy("h", "doc_id", "n_tokens", "row").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens")
+    edge = last.withColumn("at", before).filter("at < rest").select("leaf", "doc_id", "row", "n_tokens", F.least("n_tokens", F.col("rest") - F.col("at")).alias("taken"))
+    return measured, shared.written(leaves, "mixing-plan"), shared.written(edge, "mixing-edge")
 
 
 def _taken(placed: DataFrame, leaves: DataFrame) -> DataFrame:
     """placed with epochs, how many take a document whole, and edge, if the bucket at the boundary holds it."""
-    met = placed.join(F.broadcast(leaves), "leaf").withColumn("h", _order(F.col("full")))
+    met = placed.join(shared.few(leaves), "leaf").withColumn("h", _order(F.col("full")))
     at = _bucket(F.col("h"), F.col("bits"))
     before = (F.col("rest") > 0) & (F.col("bucket").isNull() | (at < F.col("bucket")))
     return met.withColumns({"epochs": F.col("full") + F.when(before, 1).otherwise(0), "edge": F.coalesce((F.col("rest") > 0) & (at == F.col("bucket")), F.lit(False))})
 
 
-def mix(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = BUCKET_DOCS) -> DataFrame:
-    """One row per document and epoch that takes it: doc_id, the levels, n_tokens, epoch.
+def mix(docs: DataFrame, levels: Mapping[str, Column], weight, budget_share: float = BUDGET_SHARE, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", bucket_docs: int = BUCKET_DOCS, tokenizer: str | None = None) -> DataFrame:
+    """One row per document and epoch that takes it: doc_id, the levels, n_tokens, epoch, taken.
 
-    A leaf's budget is met by whole epochs and then the longest prefix of the next epoch's order, by a hash of seed,
-    epoch and id, whose tokens stay within what is left; so a leaf is under its budget by less than one document.
-    Null levels count as the empty string; documents without words are never taken; repeated rows are taken each, in
-    a fixed order. Empty tables give no rows.
+    Tokens are those of a file of the tokenizers library. A leaf's budget is met to the token by whole epochs and then
+    the prefix of the next epoch's tokens, documents coming in the order of a hash of seed, epoch and id; the document
+    at its end gives its first tokens only, taken of n_tokens. Null levels count as the empty string; documents without
+    tokens are never taken; repeated rows are taken each, in a fixed order. Empty tables give no rows.
     """
-    measured, leaves, edge = plan(docs, levels, weight, budget_share, max_epochs, id_col, text_col, bucket_docs)
-    taken = _taken(measured, leaves)
-    whole = taken.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-    part = edge.join(F.broadcast(leaves.select("leaf", F.col("full").alias("epoch"))), "leaf")
+    measured, leaves, edge = plan(docs, levels, weight, budget_share, max_epochs, id_col, text_col, bucket_docs, tokenizer)
+    whole = _taken(measured, leaves).filter("epochs > 0").withColumns({"epoch": F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)), "taken": F.col("n_tokens")})
+    part = edge.join(shared.few(leaves.select("leaf", F.col("full").alias("epoch"))), "leaf")
     level = [F.from_json("leaf", "array<string>")[i].alias(name) for i, name in enumerate(levels)]
-    pick = lambda df: df.select("doc_id", *level, "n_tokens", "epoch")
+    pick = lambda df: df.select("doc_id", *level, "n_tokens", "epoch", "taken")
     return pick(whole).unionByName(pick(part))
 
 
-def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], weight, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of docs, each as often as epochs take it. Only the documents of boundary buckets are shuffled."""
-    _, leaves, edge = plan(docs, levels, weight, id_col=id_col, text_col=text_col, **more)
-    taken = _taken(_place(docs, levels, id_col, text_col).filter(F.col("text").rlike(r"\S")), leaves)
+def mixed_documents(docs: DataFrame, levels: Mapping[str, Column], weight, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, **more) -> DataFrame:
+    """The rows of docs, each as often as epochs take it. Only the documents of boundary buckets are shuffled.
+
+    The last document of a leaf that gives a part of its tokens has the beginning of its text that they stand for;
+    other columns, such as a length, stay as they are.
+    """
+    _, leaves, edge = plan(docs, levels, weight, id_col=id_col, text_col=text_col, tokenizer=tokenizer, **more)
+    taken = _taken(_place(docs, levels, id_col, text_col).filter(F.col("text").rlike(r"[^\p{IsWhite_Space}]")), leaves)
     whole = taken.filter("epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs")))).select("_row.*")
-    # Of rows that repeat an id, as many stay as the edge has; only boundary buckets are sorted for that.
-    ids = edge.groupBy(F.col("leaf").alias("of"), F.col("doc_id").alias("id"), F.col("n_tokens").alias("n")).agg(F.count(F.lit(1)).alias("times"))
-    met = (F.col("leaf") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tokens") == F.col("n"))
-    same = Window.partitionBy("leaf", "doc_id", "tokens").orderBy("h")
-    part = taken.filter("edge").withColumn("tokens", word_count(F.col("text"))).join(ids, met).withColumn("which", F.row_number().over(same)).filter("which <= times").select("_row.*")
-    return whole.unionByName(part)
+    # Of rows that repeat id and text, as many stay as the edge has, one of them cut where the edge has it cut.
+    number = lambda *by: F.row_number().over(Window.partitionBy("leaf", "row").orderBy(*by))
+    wanted = edge.select("leaf", "row", "n_tokens", "taken", number(F.desc("taken")).alias("which"))
+    met = taken.filter("edge").withColumn("which", number("h")).join(wanted, ["leaf", "row", "which"])
+    path, columns = tokenizer or token_ids.default_tokenizer(), docs.columns
+
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = token_ids.encoder(path).head
+        for pdf in batches:
+            yield pd.DataFrame({"leaf": pdf["leaf"], "text": [first(t, int(n)) for t, n in zip(pdf["text"], pdf["taken"])]})
+
+    # At most one row a leaf is cut.
+    cut = met.filter("taken < n_tokens")
+    texts = shared.written(cut.select("leaf", "text", "taken").mapInPandas(head, "leaf string, text string"), "mixing-cut").withColumnRenamed("text", "_head")
+    short = cut.join(texts, "leaf").select(*[F.col("_head").alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in columns])
+    return whole.unionByName(met.filter("taken = n_tokens").select("_row.*")).unionByName(short)
 
 
 def production_levels() -> dict[str, Column]:

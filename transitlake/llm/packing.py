@@ -8,17 +8,19 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shared
-from .mixing import word_count
-from .token_counts import default_tokenizer
+from . import shared, token_ids
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 #: Pieces that are packed together; a task holds the lengths of one block at a time.
 BLOCK = 100_000
+#: Tokens of pieces that a worker gives back at once.
+SENT_TOKENS = 1_000_000
+PIECE = ("piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset")
 
 
 def cost(size: int) -> float:
@@ -126,45 +128,52 @@ def pack(docs: DataFrame, tokens: Column, sizes: Sequence[int] = SIZES, id_col:
 def pack_tokens(docs: DataFrame, tokenizer: str | None = None, sizes: Sequence[int] = SIZES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """pack's rows with tokens, the ids of each piece, as a file of the tokenizers library gives them without special tokens.
 
-    A sequence is the tokens of its bin's pieces in the order of bin_offset. Null and empty texts have no piece.
+    A sequence is the tokens of its bin's pieces in the order of bin_offset. Null and empty texts have no piece; a text
+    without blanks is cut at the largest size like any other. Texts are encoded once; their ids wait, compressed, in
+    shared files, while only row numbers and lengths are packed, and meet their pieces, listed a document, in one join.
     """
-    path = tokenizer or default_tokenizer()
+    path, largest = tokenizer or token_ids.default_tokenizer(), max(sizes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_file(path)
-        library.no_truncation()
-        library.no_padding()
+        encoder, compress = token_ids.encoder(path).encode, zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            found = [np.array(library.encode(t.as_py(), add_special_tokens=False).ids, dtype=np.int32) for t in batch["text"]]
-            ends = np.cumsum([0] + [len(x) for x in found], dtype=np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int32)])))
-            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], tokens], ["rid", "doc_id", "tokens"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
-    encoded = shared.written(rows.mapInArrow(encode, "rid long, doc_id long, tokens array<int>"), "packing-tokens", batch_rows=shared.BATCH_ROWS)
-    pieces = pack(encoded.select("rid", F.size("tokens").alias("n")), F.col("n"), sizes, "rid", block).withColumnRenamed("doc_id", "rid")
-    own = F.slice("tokens", (F.col("first_token") + 1).cast("int"), F.col("n_tokens")).alias("tokens")
-    return pieces.join(encoded, "rid").select("doc_id", "piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset", own)
-
-
-def pack_texts(docs: DataFrame, sizes: Sequence[int] = SIZES, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """pack's rows by counts of words, with the text of each piece; a document in several pieces has its words set apart by blanks.
+            n, ids = [], []
+            for text in batch["text"]:
+                data = encoder(text.as_py())
+                n.append(len(data) // 4)
+                ids.append(compress(data))
+            yield pa.RecordBatch.from_arrays([batch["rid"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["rid", "doc_id", "n", "ids"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
+        held, size = [], 0
+        for batch in batches:
+            # A row of a long document has many pieces; what is put out at once is bounded by tokens.
+            for at in range(len(batch)):
+                ids = np.frombuffer(decompress(batch["ids"][at].as_py()), "<u4").astype(np.int32)
+                own = batch["pieces"][at].values
+                first, n = own.field("first_token").to_numpy(), own.field("n_tokens").to_numpy()
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                tokens = np.concatenate([ids[a : a + k] for a, k in zip(first.tolist(), n.tolist())])
+                columns = [pa.repeat(batch["doc_id"][at], len(n)), *[own.field(c) for c in PIECE], pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens))]
+                held.append(pa.RecordBatch.from_arrays(columns, ["doc_id", *PIECE, "tokens"]))
+                size += len(tokens)
+                if size >= SENT_TOKENS:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    A sequence is the text of its bin's pieces in the order of bin_offset. Texts that are null or have no word have no piece.
-    """
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), shared.text_of(text_col).alias("text"))
-    counted = shared.written(rows.withColumn("n", word_count(F.col("text"))), "packing-texts")
-    pieces = pack(counted.select("rid", "n"), F.col("n"), sizes, "rid", block).withColumnRenamed("doc_id", "rid")
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    part = F.array_join(F.slice(words, (F.col("first_token") + 1).cast("int"), F.col("n_tokens")), " ")
-    own = F.when(F.col("n_tokens") == F.col("n"), F.col("text")).otherwise(part).alias("text")
-    return pieces.join(counted, "rid").select("doc_id", "piece", "first_token", "n_tokens", "bin", "bin_size", "bin_offset", own)
+    encoded = shared.written(rows.mapInArrow(encode, "rid long, doc_id long, n long, ids binary"), "packing-tokens", batch_rows=shared.BATCH_ROWS)
+    pieces = pack(encoded.select("rid", "n"), F.col("n"), sizes, "rid", block).withColumnRenamed("doc_id", "rid")
+    listed = pieces.groupBy("rid").agg(F.collect_list(F.struct(*PIECE)).alias("pieces"))
+    met = listed.join(encoded.filter("n > 0").select("rid", "doc_id", "ids"), "rid").select("doc_id", "pieces", "ids")
+    return met.mapInArrow(cut, "doc_id long, piece int, first_token long, n_tokens int, bin string, bin_size int, bin_offset long, tokens array<int>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(shared.table(spark, sf_dir, "documents"), word_count(shared.text_of()))
+    return pack_tokens(shared.table(spark, sf_dir, "documents"))
 
 
 SQL = None

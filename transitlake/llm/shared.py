@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +88,22 @@ def first_of(kept: DataFrame, by: list[str], every: str | None = None) -> DataFr
     return kept.withColumn("_number", number).filter(F.col("_number") == 1 if every is None else (F.col("_number") == 1) | F.col(every))
 
 
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df to be broadcast if it was counted to have at most so many rows; else as it is, so its join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(name: tuple, make: Callable[[], object]):
+    """What a worker keeps from task to task, one thing at a time: workers are shared by all operators, and their memory would add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 U = np.uint64
 _POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15

@@ -86,13 +86,8 @@ class WholeTokenCounter:
         return len(parts) - 1 + sum(self.plain(p) for p in parts if p)
 
 
-_COUNTERS: dict[str, WholeTokenCounter] = {}
-
-
 def counter(path: str) -> WholeTokenCounter:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = WholeTokenCounter(path)
-    return _COUNTERS[path]
+    return shared.held(("token counts", path), lambda: WholeTokenCounter(path))
 
 
 def default_tokenizer() -> str:

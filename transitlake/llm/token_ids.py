@@ -16,9 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shared
 
@@ -105,13 +107,28 @@ class TokenEncoder:
         return b"".join([known(w) or word(w) for w in _WORDS.findall(text.lower())])
 
 
-_ENCODERS: dict[str, TokenEncoder] = {}
+    def head(self, text: str, n: int) -> str:
+        """The beginning of a text that its first n tokens stand for."""
+        ends = [end for _, end in self.tokenizer.encode(text, add_special_tokens=False).offsets]
+        return text if n >= len(ends) else text[: ends[n - 1]] if n > 0 else ""
 
 
 def encoder(path: str) -> TokenEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TokenEncoder(path)
-    return _ENCODERS[path]
+    return shared.held(("token ids", path), lambda: TokenEncoder(path))
+
+
+def with_lengths(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The rows with n_tokens in place of their column text; every other column is handed on as it is."""
+    path, names = tokenizer or default_tokenizer(), [c for c in rows.columns if c != "text"]
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode
+        for batch in batches:
+            n = pa.array([len(encode(t.as_py() or "")) // 4 for t in batch["text"]], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], n], [*names, "n_tokens"])
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_tokens", T.LongType())])
+    return rows.mapInArrow(measured, schema)
 
 
 def default_tokenizer() -> str:
