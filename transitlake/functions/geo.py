@@ -11,9 +11,10 @@ DEGREE_M = EARTH_M * 3.141592653589793 / 180
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle metres; NaN where a coordinate is NaN."""
+    """Great-circle metres; null where a coordinate is null, NaN where one is NaN."""
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return F.when(F.isnan(half), F.lit(float("nan"))).otherwise(2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), half))))
+    # least() passes over null and NaN, so both are asked for first.
+    return F.when(F.isnan(half), F.lit(float("nan"))).when(half.isNotNull(), 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), half))))
 
 
 def local_xy(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:

@@ -60,7 +60,7 @@ def _pt(k: str) -> tuple[str, str]:
 
 
 def _hav(a: str, b: str, c: str, d: str) -> str:
-    return f"(2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2)))))"
+    return f"(CASE WHEN {a} + {b} + {c} + {d} IS NOT NULL THEN 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({d} - {b}) / 2), 2) + cos(radians({b})) * cos(radians({d})) * pow(sin(radians({c} - {a}) / 2), 2)))) END)"
 
 
 _CX, _CY = _pt("c_custkey")
@@ -841,3 +841,6 @@ def stream_dedupe(spark, sf_dir):
 @query("SELECT strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, event_type AS kind, count(*) AS used, greatest(0, CASE event_type WHEN 'view' THEN 500 ELSE 60 END - count(*)) AS \"left\" FROM events GROUP BY 1, 2")
 def daily_quota(spark, sf_dir):
     return arrivals.daily_quota(t(spark, sf_dir, "events"), "ts", "event_type", {"view": 500}, 60).withColumn("day", F.col("day").cast("string"))
+
+
+from transitlake import journey_queries  # noqa: E402, F401  registers more of them
