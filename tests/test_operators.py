@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitlake.functions import costs, geo, names, times
-from transitlake.operators import graphs, journeys, registry, sequences, service, skyline, spatial
+from transitlake.operators import fares, graphs, journeys, registry, sequences, service, skyline, spatial
 
 
 def one(spark, column, **values):
@@ -155,7 +155,7 @@ def fares(spark, journeys_):
     """journeys_: rides of (board_s, alight_s, km, base, free_km, mode, route) with early and taxi as further, optional fields."""
     rows = [(name, i, *r[:7], *(r[7:] or (0.0, False))) for name, rides in journeys_.items() for i, r in enumerate(rides)]
     df = spark.createDataFrame(rows, "journey string, pos int, board_s double, alight_s double, km double, base double, free_km double, mode string, route string, early double, taxi boolean")
-    return {r.journey: (r.fare, r.groups) for r in journeys.transfer_fares(df).collect()}
+    return {r.journey: (r.fare, r.groups) for r in fares.transfer_fares(df).collect()}
 
 
 def test_transfer_fares(spark):
@@ -164,6 +164,7 @@ def test_transfer_fares(spark):
         "in time": [(36000.0, 36600.0, 8.0, *bus, "1"), (38400.0, 39000.0, 8.0, *rail)],  # one group of 16 km
         "a second late": [(36000.0, 36600.0, 8.0, *bus, "1"), (38401.0, 39000.0, 8.0, *rail)],
         "same bus": [(36000.0, 36600.0, 1.0, *bus, "1"), (36700.0, 37000.0, 1.0, *bus, "1")],
+        "train and bus of one name": [(36000.0, 36600.0, 1.0, 1550.0, 10.0, "rail", "1"), (36700.0, 37000.0, 1.0, *bus, "1")],
         "night": [(79000.0, 79600.0, 1.0, *bus, "1"), (83000.0, 83600.0, 1.0, *bus, "2")],
         "gates": [(36000.0, 36600.0, 8.0, *rail), (36700.0, 37000.0, 4.0, *rail)],  # one ride of 12 km
         "taxi between": [(36000.0, 36600.0, 8.0, *rail), (36700.0, 37000.0, 4.0, *rail, 0.0, True)],
@@ -175,7 +176,7 @@ def test_transfer_fares(spark):
         "never refunded": [(36000.0, 36600.0, 16.0, 1650.0, 10.0, "bus", "1"), (36700.0, 37000.0, 1.0, 3200.0, 30.0, "flat", "2")],
     })
     assert got == {
-        "in time": (1750.0, 1), "a second late": (3050.0, 2), "same bus": (3000.0, 2), "night": (1500.0, 1), "gates": (1650.0, 1), "taxi between": (3100.0, 2), "early": (1240.0, 1), "early, second group": (2790.0, 2),
+        "in time": (1750.0, 1), "a second late": (3050.0, 2), "same bus": (3000.0, 2), "train and bus of one name": (1550.0, 1), "night": (1500.0, 1), "gates": (1650.0, 1), "taxi between": (3100.0, 2), "early": (1240.0, 1), "early, second group": (2790.0, 2),
         "capped bus": (2350.0, 1), "far rail": (2750.0, 1), "flat alone": (1500.0, 1), "never refunded": (3400.0, 1),
     }
 

@@ -51,6 +51,20 @@ def taxi_reach_m(seconds: Column, band: Column) -> Column:
     return 1000 * F.pow(seconds / (TAXI_COEFFICIENT * band_factor(band)), F.lit(1 / TAXI_POWER))
 
 
+def walk_equal_m() -> float:
+    """The straight distance at which walking takes as long as calling, riding and leaving a taxi by day.
+
+    Walking grows in proportion and the taxi by a lesser power, so a step x -> (calls + taxi(x)) * speed closes in on it.
+    """
+    x = 0.0
+    while True:
+        taxi = TAXI_PICKUP_S + TAXI_CONNECT_S + TAXI_COEFFICIENT * (x / 1000) ** TAXI_POWER
+        nearer = taxi * WALK_MPS / WALK_DETOUR
+        if abs(nearer - x) < 1e-9:
+            return nearer
+        x = nearer
+
+
 def taxi_fare(metres: Column, kind: Column, factor: Column) -> Column:
     """The base fare and the steps beyond its distance, times the surcharges, in hundreds of won upward."""
     km = metres * TAXI_DETOUR / 1000

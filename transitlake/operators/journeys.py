@@ -1,4 +1,4 @@
-"""Fares of journeys with transfers, budgeted verification of candidates, and cards that look alike."""
+"""Budgeted verification of candidates, and cards that look alike."""
 
 from __future__ import annotations
 
@@ -8,84 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Fixed values of the fare rules.
-MAX_BOARDINGS = 5
-INTERVAL_M = 5_000.0
-RAIL_FREE_M, RAIL_NEAR_M, RAIL_FAR_M = 10_000.0, 50_000.0, 8_000.0
-BUS_CAP = 700.0
-EARLY_S = 6.5 * 3600
-
-
-def _distance_won(metres: Column, free_m: Column, each: float = INTERVAL_M) -> Column:
-    return 100.0 * F.ceil(F.round(F.greatest(F.lit(0.0), metres - free_m) / each, 9))
-
-
-def _single_fare(ride: Column) -> Column:
-    """What a ride costs by itself: rail by 5 km up to 50 km and by 8 km beyond, buses by 5 km up to a cap, or flat."""
-    m = ride["m"]
-    rail = _distance_won(F.least(m, F.lit(RAIL_NEAR_M)), F.lit(RAIL_FREE_M)) + _distance_won(m, F.lit(RAIL_NEAR_M), RAIL_FAR_M)
-    bus = F.least(F.lit(BUS_CAP), _distance_won(m, ride["free_m"]))
-    return ride["base"] + F.when(ride["mode"] == "rail", rail).when(ride["mode"] == "bus", bus).otherwise(0.0)
-
-
-def transfer_fares(rides: DataFrame, key: str = "journey") -> DataFrame:
-    """fare and groups of journeys of rides(key, pos, board_s, alight_s, km, base, free_km, mode, early, taxi, route).
-
-    mode is rail, bus or flat; early is the discount of a journey begun before 6:30; taxi says if one was taken since
-    the ride before. Rides within the transfer window of the last form a group of up to five, but not two in a row on
-    one bus route. Rail after rail without a taxi goes on within the gates as the same ride, at the base it began with.
-    A group pays its dearest base and 100 won for each 5 km begun beyond its longest free distance, but not more than
-    its rides would singly. What is paid is never given back: a dearer base is paid on top of it.
-    """
-    columns = [F.col("pos"), F.col("board_s"), F.col("alight_s"), (F.col("km") * 1000).alias("m"), F.col("base"), (F.col("free_km") * 1000).alias("free_m"), F.col("mode"), F.col("early"), F.col("taxi"), F.col("route")]
-    journeys = rides.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rides"))
-
-    def ride(m, base, free_m, mode) -> Column:
-        return F.struct(m.alias("m"), base.alias("base"), free_m.alias("free_m"), mode.alias("mode"))
-
-    def fields(**named: Column) -> Column:
-        return F.struct(*[c.alias(name) for name, c in named.items()])
-
-    zero = F.lit(0.0)
-    none = fields(closed=zero, groups=F.lit(0), n=F.lit(0), base=zero, free_m=zero, m=zero, before=zero, last=ride(zero, zero, zero, F.lit("")), off=zero, paid=zero, until=zero, route=F.lit(""))
-
-    def take(g: Column, r: Column) -> Column:
-        hour = F.pmod(F.floor(r["board_s"] / 3600), F.lit(24))
-        in_time = r["board_s"] - g["until"] <= F.when((hour >= 21) | (hour < 7), 3600.0).otherwise(1800.0)
-        both_rail = (g["last"]["mode"] == "rail") & (r["mode"] == "rail")
-        inside = (g["n"] > 0) & both_rail & ~r["taxi"]
-        changes = (g["n"] > 0) & (g["n"] < MAX_BOARDINGS) & in_time & ~both_rail & ((g["route"] != r["route"]) | (r["mode"] == "rail"))
-        early = F.pmod(r["board_s"], F.lit(86400.0)) < EARLY_S
-        grown = ride(g["last"]["m"] + r["m"], g["last"]["base"], g["last"]["free_m"], g["last"]["mode"])
-        joins = inside | changes
-        # What the group then is; its fare follows from that in a second step.
-        now = fields(
-            joins=joins,
-            n=F.when(inside, g["n"]).when(joins, g["n"] + 1).otherwise(1),
-            base=F.when(inside, g["base"]).when(joins, F.greatest(g["base"], r["base"])).otherwise(r["base"]),
-            free_m=F.when(inside, g["free_m"]).when(joins, F.greatest(g["free_m"], r["free_m"])).otherwise(r["free_m"]),
-            m=F.when(joins, g["m"] + r["m"]).otherwise(r["m"]),
-            before=F.when(inside, g["before"]).when(joins, g["before"] + _single_fare(g["last"])).otherwise(0.0),
-            last=F.when(inside, grown).otherwise(ride(r["m"], r["base"], r["free_m"], r["mode"])),
-            off=F.when(joins, g["off"]).when((g["groups"] == 0) & early, r["early"]).otherwise(0.0),
-        )
-
-        def settle(x: Column) -> Column:
-            alone = x["before"] + _single_fare(x["last"])
-            owed = F.when(x["n"] == 1, alone).otherwise(F.least(x["base"] + _distance_won(x["m"], x["free_m"]), alone)) - x["off"]
-            least = F.when(x["joins"], g["paid"] + F.greatest(F.lit(0.0), x["base"] - g["base"])).otherwise(0.0)
-            return fields(
-                closed=F.when(x["joins"], g["closed"]).otherwise(g["closed"] + g["paid"]),
-                groups=g["groups"] + F.when(x["joins"], 0).otherwise(1),
-                n=x["n"], base=x["base"], free_m=x["free_m"], m=x["m"], before=x["before"], last=x["last"], off=x["off"],
-                paid=F.greatest(least, owed), until=r["alight_s"], route=r["route"],
-            )
-
-        return F.transform(F.array(now), settle)[0]
-
-    return journeys.withColumn("g", F.aggregate("rides", none, take)).select(key, (F.col("g.closed") + F.col("g.paid")).alias("fare"), F.col("g.groups").alias("groups"))
-
-
 def verify_within_budget(candidates: DataFrame, budget: int, key: str = "request") -> DataFrame:
     """Which candidates a budget of queries verifies, and the front of the verified.
 

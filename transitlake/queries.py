@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from transitlake.functions import costs, geo, names, times
-from transitlake.operators import graphs, journeys, registry, resolve, sequences, service, skyline, spatial
+from transitlake.operators import fares, graphs, journeys, registry, resolve, sequences, service, skyline, spatial
 from transitlake.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -614,18 +614,17 @@ def _single_sql(m: str, base: str, free: str, mode: str) -> str:
 _BOARD = "(route * 61 % 86400 + pos * (600 + stop * 31 % 2400))::DOUBLE"
 
 
-@query(f"""
-WITH RECURSIVE {_ROUTES},
-rides AS (SELECT route AS journey, pos, {_BOARD} AS board, {_BOARD} + 500 AS alight, (stop % 61 + 0.5) * 1000.0::DOUBLE AS m, CASE stop % 4 WHEN 0 THEN 'rail' WHEN 1 THEN 'flat' WHEN 2 THEN 'rail' ELSE 'bus' END AS mode,
-  CASE stop % 4 WHEN 1 THEN 1500.0 WHEN 3 THEN 3200.0 ELSE 1550.0 END AS base, CASE stop % 4 WHEN 3 THEN 30000.0 ELSE 10000.0 END AS free, CASE stop % 4 WHEN 1 THEN 300.0 WHEN 3 THEN 400.0 ELSE 310.0 END AS early, stop % 5 = 0 AS taxi, (stop % 7)::VARCHAR AS line FROM routes),
+def fold_sql(rides: str) -> str:
+    """RECURSIVE CTEs: f has the state after each ride of rides(journey, pos, board, alight, m, mode, base, free, early, taxi, line); rows that share a position are choices."""
+    return f"""{rides},
 f AS (
   SELECT journey, pos, 0.0::DOUBLE AS closed, 1 AS groups, 1 AS n, base::DOUBLE AS base, free::DOUBLE AS free, m::DOUBLE AS m, 0.0::DOUBLE AS before, base::DOUBLE AS lbase, free::DOUBLE AS lfree, mode, m::DOUBLE AS lm, CASE WHEN board % 86400 < 23400 THEN early ELSE 0.0 END::DOUBLE AS off_,
-    ({_single_sql('m', 'base', 'free', 'mode')} - CASE WHEN board % 86400 < 23400 THEN early ELSE 0.0 END)::DOUBLE AS paid, alight AS until_, line FROM rides WHERE pos = 0
+    ({_single_sql('m', 'base', 'free', 'mode')} - CASE WHEN board % 86400 < 23400 THEN early ELSE 0.0 END)::DOUBLE AS paid, alight AS until_, line, NULL::BOOLEAN AS kept FROM rides WHERE pos = 0
   UNION ALL
   SELECT journey, pos, CASE WHEN joins THEN closed ELSE closed + paid END, groups + CASE WHEN joins THEN 0 ELSE 1 END, n2, base2, free2, m2, before2, lbase2, lfree2, mode2, lm2, off2,
-    greatest(CASE WHEN joins THEN paid + greatest(0.0, base2 - base) ELSE 0.0 END, (CASE WHEN n2 = 1 THEN alone ELSE least(base2 + 100 * ceil(greatest(0.0, m2 - free2) / 5000), alone) END) - off2), until2, line2
+    greatest(CASE WHEN joins THEN paid + greatest(0.0, base2 - base) ELSE 0.0 END, (CASE WHEN n2 = 1 THEN alone ELSE least(base2 + 100 * ceil(greatest(0.0, m2 - free2) / 5000), alone) END) - off2), until2, line2, CASE WHEN rtaxi THEN joins ELSE kept END
   FROM (SELECT *, before2 + {_single_sql('lm2', 'lbase2', 'lfree2', 'mode2')} AS alone FROM (
-    SELECT r.journey, r.pos, joins, closed, groups, paid, base, alight AS until2, r.rline AS line2,
+    SELECT r.journey, r.pos, joins, closed, groups, paid, base, alight AS until2, r.rline AS line2, kept, rtaxi,
       CASE WHEN inside THEN n WHEN joins THEN n + 1 ELSE 1 END AS n2,
       CASE WHEN inside THEN base WHEN joins THEN greatest(base, rbase) ELSE rbase END AS base2,
       CASE WHEN inside THEN free WHEN joins THEN greatest(free, rfree) ELSE rfree END AS free2,
@@ -633,10 +632,18 @@ f AS (
       CASE WHEN inside THEN before WHEN joins THEN before + {_single_sql('lm', 'lbase', 'lfree', 'mode')} ELSE 0.0 END AS before2,
       CASE WHEN inside THEN lbase ELSE rbase END AS lbase2, CASE WHEN inside THEN lfree ELSE rfree END AS lfree2, CASE WHEN inside THEN mode ELSE rmode END AS mode2, CASE WHEN inside THEN lm + rm ELSE rm END AS lm2,
       CASE WHEN joins THEN off_ ELSE 0.0 END AS off2
-    FROM (SELECT *, inside OR (n < 5 AND board - until_ <= CASE WHEN floor(board / 3600) % 24 >= 21 OR floor(board / 3600) % 24 < 7 THEN 3600 ELSE 1800 END AND NOT (mode = 'rail' AND rmode = 'rail') AND (line <> rline OR rmode = 'rail')) AS joins
-      FROM (SELECT f.* EXCLUDE (journey, pos), r.journey, r.pos, r.board, r.alight, r.m::DOUBLE AS rm, r.base::DOUBLE AS rbase, r.free::DOUBLE AS rfree, r.mode AS rmode, r.line AS rline, f.mode = 'rail' AND r.mode = 'rail' AND NOT r.taxi AS inside
+    FROM (SELECT *, inside OR (n < 5 AND board - until_ <= CASE WHEN floor(board / 3600) % 24 >= 21 OR floor(board / 3600) % 24 < 7 THEN 3600 ELSE 1800 END AND NOT (mode = 'rail' AND rmode = 'rail') AND (line <> rline OR mode = 'rail' OR rmode = 'rail')) AS joins
+      FROM (SELECT f.* EXCLUDE (journey, pos), r.journey, r.pos, r.board, r.alight, r.m::DOUBLE AS rm, r.base::DOUBLE AS rbase, r.free::DOUBLE AS rfree, r.mode AS rmode, r.line AS rline, r.taxi AS rtaxi, f.mode = 'rail' AND r.mode = 'rail' AND NOT r.taxi AS inside
         FROM f JOIN rides r ON r.journey = f.journey AND r.pos = f.pos + 1)) r))
-)
+)"""
+
+
+_FOLD_RIDES = f"""{_ROUTES},
+rides AS (SELECT route AS journey, pos, {_BOARD} AS board, {_BOARD} + 500 AS alight, (stop % 61 + 0.5) * 1000.0::DOUBLE AS m, CASE stop % 4 WHEN 0 THEN 'rail' WHEN 1 THEN 'flat' WHEN 2 THEN 'rail' ELSE 'bus' END AS mode,
+  CASE stop % 4 WHEN 1 THEN 1500.0 WHEN 3 THEN 3200.0 ELSE 1550.0 END AS base, CASE stop % 4 WHEN 3 THEN 30000.0 ELSE 10000.0 END AS free, CASE stop % 4 WHEN 1 THEN 300.0 WHEN 3 THEN 400.0 ELSE 310.0 END AS early, stop % 5 = 0 AS taxi, (stop % 7)::VARCHAR AS line FROM routes)"""
+
+
+@query(f"""WITH RECURSIVE {fold_sql(_FOLD_RIDES)}
 SELECT journey, closed + paid AS fare, groups FROM f QUALIFY row_number() OVER (PARTITION BY journey ORDER BY pos DESC) = 1""")
 def transfer_fare_fold(spark, sf_dir):
     r = routes(spark, sf_dir)
@@ -647,7 +654,7 @@ def transfer_fare_fold(spark, sf_dir):
         F.col("route").alias("journey"), "pos", at.alias("board_s"), (at + 500).alias("alight_s"), (F.col("stop") % 61 + 0.5).cast("double").alias("km"), by_kind(1500.0, 3200.0, 1550.0).alias("base"), by_kind(10.0, 30.0, 10.0).alias("free_km"),
         by_kind("flat", "bus", "rail").alias("mode"), by_kind(300.0, 400.0, 310.0).alias("early"), (F.col("stop") % 5 == 0).alias("taxi"), (F.col("stop") % 7).cast("string").alias("route"),
     )
-    return journeys.transfer_fares(rides)
+    return fares.transfer_fares(rides)
 
 
 @query("""
