@@ -181,18 +181,6 @@ def test_transfer_fares(spark):
     }
 
 
-def test_verification_shares_queries_and_prunes(spark):
-    rows = [
-        ("q", "a", 600.0, 3000.0, 500.0, 2500.0, ["1", "2"], 620.0, 3100.0),
-        ("q", "b", 700.0, 3500.0, 650.0, 3200.0, ["3"], 710.0, 3600.0),  # its bound is beaten
-        ("q", "c", 900.0, 1000.0, 800.0, 900.0, ["1"], 950.0, 1100.0),  # its query is paid with a
-        ("q", "d", 650.0, 900.0, 600.0, 800.0, ["4"], None, None),  # fails, but costs
-    ]
-    df = spark.createDataFrame(rows, "request string, id string, est_s double, est_fare double, low_s double, low_fare double, queries array<string>, real_s double, real_fare double")
-    got = {r.id: (r.state, r.on_front) for r in journeys.verify_within_budget(df, 3).collect()}
-    assert got == {"a": ("verified", True), "b": ("pruned", False), "c": ("verified", True), "d": ("failed", False)}
-
-
 def test_distinct_cards_keep_the_first(spark):
     rows = [("q", 0, 30, 5000, 0.0, 0.0, 9.0, 9.0), ("q", 1, 30, 5000, 150.0, 0.0, 9.0, 9.0), ("q", 2, 30, 5000, 300.0, 0.0, 9.0, 9.0), ("q", 3, 31, 5000, 0.0, 0.0, 9.0, 9.0)]
     df = spark.createDataFrame(rows, "k string, pos int, minutes int, fare int, x0 double, y0 double, x1 double, y1 double")

@@ -1,4 +1,4 @@
-"""Budgeted verification of candidates, and cards that look alike."""
+"""Cards that look alike, and places in order."""
 
 from __future__ import annotations
 
@@ -8,55 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-def verify_within_budget(candidates: DataFrame, budget: int, key: str = "request") -> DataFrame:
-    """Which candidates a budget of queries verifies, and the front of the verified.
-
-    candidates(key, id, est_s, est_fare, low_s, low_fare, queries array<string>, real_s, real_fare): real costs are
-    null where a query fails, and count only once all of a candidate's queries are paid; paid queries are shared.
-    In turn the candidate is tried that gains most over the front for each new query, ties by estimate and id; one whose
-    lower bound the front beats in both costs is passed over for good. Requests are independent and each has a
-    bounded pool.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = {r.id: r for r in pdf.sort_values("id").itertuples()}
-        paid: set[str] = set()
-        front: list[tuple[float, float, str]] = []
-        state: dict[str, str] = {}
-        while True:
-            for i, r in pool.items():
-                if i not in state and any(t <= r.low_s and f <= r.low_fare for t, f, _ in front):
-                    state[i] = "pruned"
-            open_ = [r for i, r in pool.items() if i not in state]
-            if not open_:
-                break
-
-            def gain(r):
-                area = min([max(t - r.est_s, 0) / 60 + max(f - r.est_fare, 0) / 100 for t, f, _ in front], default=r.est_s * 0 + 1e9)
-                new = len(set(r.queries) - paid)
-                return (-area / max(new, 1) if front else r.est_s / 60 + r.est_fare / 100, r.est_s + r.est_fare, r.id)
-
-            fitting = [r for r in open_ if len(paid | set(r.queries)) <= budget]
-            if not fitting:
-                break
-            r = min(fitting, key=gain)
-            paid |= set(r.queries)
-            for other in open_:
-                if set(other.queries) <= paid:
-                    if pd.isna(other.real_s):
-                        state[other.id] = "failed"
-                        continue
-                    state[other.id] = "verified"
-                    cost = (other.real_s, other.real_fare, other.id)
-                    if not any(t <= cost[0] and f <= cost[1] for t, f, _ in front):
-                        front = [x for x in front if not (cost[0] <= x[0] and cost[1] <= x[1])] + [cost]
-        on = {i for _, _, i in front}
-        return pd.DataFrame({key: pdf[key].iloc[0], "id": list(pool), "state": [state.get(i, "open") for i in pool], "on_front": [i in on for i in pool], "paid": len(paid)})
-
-    kind = candidates.schema[key].dataType.simpleString()
-    return candidates.groupBy(key).applyInPandas(run, f"{key} {kind}, id string, state string, on_front boolean, paid long")
-
-
 def distinct_cards(cards: DataFrame, key: str, near_m: float = 200.0) -> DataFrame:
     """Keeps, in order of pos, each card unless one kept before has the same minutes and fare and both ends within near_m.
 

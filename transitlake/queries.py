@@ -758,18 +758,6 @@ def exact_pareto_journeys(spark, sf_dir):
     return graphs.exact_front(edges, "A", "E").select("time_s", "fare")
 
 
-@query()
-def budgeted_verification(spark, sf_dir):
-    o = order_costs(spark, sf_dir)
-    k = F.col("o_orderkey")
-    pool = o.select(
-        F.col("o_custkey").alias("request"), F.lpad(k.cast("string"), 12, "0").alias("id"), F.col("time_s").cast("double").alias("est_s"), F.col("fare").alias("est_fare"),
-        (F.col("time_s") * 0.8).alias("low_s"), (F.col("fare") * 0.8).alias("low_fare"), F.array((k % 5).cast("string"), (k % 7 + 10).cast("string")).alias("queries"),
-        F.when(k % 9 != 0, F.col("time_s") * 0.9 + 1).alias("real_s"), F.when(k % 9 != 0, F.col("fare") * 0.95).alias("real_fare"),
-    )
-    return journeys.verify_within_budget(pool, 6)
-
-
 # --- names, numbers and nested values ---------------------------------------------------------------------------
 
 
