@@ -10,6 +10,7 @@ stored in a tree that each is run against. Only links that this verifies join do
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,23 +187,35 @@ def file_sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Da
     return shared.written(rows.mapInArrow(filed, "doc_id long, row long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4", shared.BATCH_ROWS)
 
 
+def even(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(-2).cast("long"))
+
+
 def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """node, n, codes: the sets that may have a partner, and their shingles that others of these have, the rarest first.
 
     node is the first half of the signature.
 
-    Partners share spare(...) of their first shingles in any order, so who shares fewer of them with other sets is left;
-    what only copies of one set have is shared with none. Shingles that one set alone has count in n and aren't kept.
+    Partners share spare(...) of their first shingles in any order, so who shares fewer of them with other sets of a size
+    that a partner can have is left; what only copies of one set have is shared with none. Shingles that one set alone has count in n and aren't kept.
     Counts are combined before they are shuffled, and grow with the corpus, so their join shuffles at every size; a
     shingle that very many share is a skewed join that Spark splits.
     """
-    filed = sets.select("s1", F.explode("keys").alias("key"))
-    # A key that one set alone files is that set's own; what a set files besides its own is shared. Nothing is joined back to the keys.
-    own = filed.groupBy("key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo = hi").groupBy(F.col("lo").alias("s1")).agg(F.count(F.lit(1)).alias("own"))
+    # Partners' sizes lie in one band or in two neighbours, so each set files its keys in the two pairs that hold its own
+    # band, told apart by the last bit of its name. A key that one set alone files in a pair is that set's own there,
+    # what it files besides is shared; nothing is joined back to the keys.
+    width = max(1.0001 * math.log(100 / percent), 1e-6)
+    pair = F.explode(F.array(F.col("band") - 1, F.col("band")))
+    filed = sets.select("s1", F.floor(F.ln("n") / width).alias("band"), F.explode("keys").alias("key")).select("s1", "key", pair.alias("pair"))
+    filed = filed.select(F.xxhash64("key", "pair").alias("key"), even(F.col("s1")).bitwiseOR(F.col("pair").bitwiseAND(F.lit(1))).alias("by"))
+    alone = filed.groupBy("key").agg(F.min("by").alias("lo"), F.max("by").alias("hi")).filter("lo = hi")
+    odd = F.col("lo").bitwiseAND(F.lit(1)) == 1
+    own = alone.groupBy(even(F.col("lo")).alias("even")).agg(F.count_if(odd).alias("own1"), F.count_if(~odd).alias("own0"))
     classes = sets.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("row").alias("row"), F.max(F.size("keys")).alias("filed"))
     least = F.ceil(F.col("n") * percent / F.lit(100))
-    enough = F.col("filed") - F.coalesce("own", F.lit(0)) >= 1 + F.floor(least * (100 - percent) / F.lit(200))
-    near = shared.written(classes.join(own, "s1", "left").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
+    shared_keys = F.col("filed") - F.least(F.coalesce("own0", F.lit(0)), F.coalesce("own1", F.lit(0)))
+    enough = shared_keys >= 1 + F.floor(least * (100 - percent) / F.lit(200))
+    near = shared.written(classes.join(own, even(F.col("s1")) == F.col("even"), "left").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
