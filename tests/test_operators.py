@@ -84,29 +84,6 @@ def test_grid_join_equals_all_pairs(spark):
     assert {(r.id, r.id2) for r in spatial.grid_join(a, b, 7000).select("id", "id2").collect()} == want
 
 
-def square(w, s, size=0.1):
-    return [(w, s), (w + size, s), (w + size, s + size), (w, s + size)]
-
-
-def test_regions(spark):
-    regions = spark.createDataFrame(
-        [(1, "A", True, square(127.0, 37.0)), (2, "B", True, square(127.05, 37.0)), (3, "C", False, square(127.3, 37.0))],
-        "rank int, region string, in_scope boolean, ring array<struct<lon: double, lat: double>>",
-    )
-    points = spark.createDataFrame(
-        [(1, 127.02, 37.05), (2, 127.07, 37.05), (3, 127.16, 37.05), (4, 127.35, 37.05), (5, 127.295, 37.05), (6, 128.0, 38.0), (7, float("nan"), 37.0), (8, None, 37.0)],
-        "point_id int, lon double, lat double",
-    )
-    got = {r.point_id: (r.region, r.method, r.tied) for r in spatial.assign_regions(points, regions).collect()}
-    assert got[1] == ("A", "contain", False)
-    assert got[2] == ("A", "contain", True)
-    assert got[3] == ("B", "snap", False)
-    assert got[4] == ("C", "outside", False)
-    assert got[5] == (None, "far", False)
-    assert got[6] == (None, "far", False)
-    assert got[7][1] == got[8][1] == "invalid"
-
-
 def test_fronts(spark):
     rng = random.Random(5)
     rows = [(rng.randrange(4), i, rng.randrange(12), float(rng.randrange(12))) for i in range(300)]

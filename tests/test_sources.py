@@ -28,10 +28,10 @@ def test_record_marks(spark, tmp_path):
 
 def test_geojson(spark, tmp_path):
     ring = [[127, 37], [128, 37], [128, 38], [127, 37]]
-    features = [{"properties": {"sgg": "11"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"sgg": "12"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}]
+    features = [{"properties": {"sgg": "11"}, "geometry": {"type": "Polygon", "coordinates": [ring]}}, {"properties": {"sgg": "12"}, "geometry": {"type": "MultiPolygon", "coordinates": [[ring, ring], [ring]]}}]
     (tmp_path / "g.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
     rows = {r.sgg: r.rings for r in readers.read_geojson(spark, f"file://{tmp_path}/g.json", ["sgg"]).collect()}
-    assert [len(rows["11"]), len(rows["12"])] == [1, 2] and rows["11"][0][1].lon == 128.0
+    assert [len(rows["11"]), len(rows["12"])] == [1, 3] and rows["11"][0][1].lon == 128.0
 
 
 def test_stop_times(spark, tmp_path):

@@ -1,4 +1,4 @@
-"""Radius, nearest and budget joins over grid cells, and points in regions."""
+"""Radius, nearest and budget joins over grid cells."""
 
 from __future__ import annotations
 
@@ -58,54 +58,6 @@ def nearest(pairs: DataFrame, keys: Sequence[str], tie: str) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.min(ordered).alias("_n")).select(*keys, "_n.*")
 
 
-def ring_contains(lon: Column, lat: Column, ring: Column) -> Column:
-    """Whether a closed ring of (lon, lat) structs holds a point, by the crossings of a ray; the last vertex may be left out."""
-    n = F.size(ring)
-    cross = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: (
-            lambda a, b: ((a["lat"] > lat) != (b["lat"] > lat)) & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"])
-        )(F.get(ring, i), F.get(ring, F.pmod(i + 1, n))),
-    )
-    return F.size(F.filter(cross, lambda x: F.coalesce(x, F.lit(False)))) % 2 == 1
-
-
-def ring_m(lon: Column, lat: Column, ring: Column) -> Column:
-    """Metres to a ring's nearest side."""
-    return geo.polyline_m(lon, lat, F.concat(ring, F.slice(ring, 1, 1)))
-
-
-def assign_regions(points: DataFrame, regions: DataFrame, snap_m: float = 2_000.0, cell_deg: float = 0.05) -> DataFrame:
-    """points(point_id, lon, lat) with region, method and snap_m.
-
-    regions(rank, region, in_scope, ring). A point inside several goes to the one of least rank; method is contain if
-    that is in scope and outside if not. A point in none snaps to its nearest region if that is in scope and within
-    snap_m; else method is far. Coordinates that can't be are invalid. Rings meet points in the cells of their boxes,
-    so only neighbours are tried.
-    """
-    pad = snap_m / geo.DEGREE_M
-    wide = pad / math.cos(math.radians(HIGHEST_LAT))
-    bounds = [f(F.col(f"ring.{k}")) for k in ("lon", "lat") for f in (F.array_min, F.array_max)]
-    boxed = regions.select("rank", "region", "in_scope", "ring", *[b.alias(n) for b, n in zip(bounds, ("w", "e", "s", "n"))])
-    cells = boxed.withColumn("cx", F.explode(F.sequence(geo.cell(F.col("w") - wide, cell_deg), geo.cell(F.col("e") + wide, cell_deg)))).withColumn("cy", F.explode(F.sequence(geo.cell(F.col("s") - pad, cell_deg), geo.cell(F.col("n") + pad, cell_deg))))
-    valid = geo.in_box(F.col("lon"), F.col("lat"))
-    placed = points.withColumns({"cx": F.when(valid, geo.cell(F.col("lon"), cell_deg)), "cy": F.when(valid, geo.cell(F.col("lat"), cell_deg))})
-    met = placed.join(cells, ["cx", "cy"], "left")
-    inside = ring_contains(F.col("lon"), F.col("lat"), F.col("ring"))
-    away = F.when(~inside, ring_m(F.col("lon"), F.col("lat"), F.col("ring")))
-    judged = met.withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("away", away)
-    best = judged.groupBy("point_id", "lon", "lat").agg(
-        F.min(F.when(F.col("inside"), F.struct("rank", "region", "in_scope"))).alias("home"),
-        F.count_if("inside").alias("hits"),
-        F.min(F.when(F.col("away") <= snap_m, F.struct("away", "rank", "region", "in_scope"))).alias("near"),
-    )
-    snaps = F.coalesce(F.col("near.in_scope"), F.lit(False))
-    method = F.when(~geo.in_box(F.col("lon"), F.col("lat")), "invalid").when(F.col("home").isNotNull(), F.when(F.col("home.in_scope"), "contain").otherwise("outside")).when(snaps, "snap").otherwise("far")
-    return best.withColumn("method", method).select(
-        "point_id", F.when(F.col("method") == "snap", F.col("near.region")).when(F.col("method").isin("contain", "outside"), F.col("home.region")).alias("region"), "method", F.when(F.col("method") == "snap", F.col("near.away")).alias("snap_m"), (F.col("hits") > 1).alias("tied")
-    )
-
-
 def budget_join(heads: DataFrame, tails: DataFrame, reach_m: float, limit_s: float, least_m: float, seconds: Column) -> DataFrame:
     """Pairs of heads(head_id, lon, lat, at_s) and tails(tail_id, lon2, lat2, rest_s) that a ride joins within limit_s.
 

@@ -6,6 +6,7 @@ and routes, events give departures and reports.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from transitlake.functions import costs, geo, names, times
-from transitlake.operators import fares, graphs, journeys, registry, resolve, sequences, service, skyline, spatial
+from transitlake.operators import fares, graphs, journeys, regions, registry, resolve, sequences, service, skyline, spatial
 from transitlake.streaming import arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +116,37 @@ def same_key_twins(spark, sf_dir):
     return spatial.grid_join(a, b, 6_000).filter("name_a = name_b and part_a < part_b").select("part_a", "part_b", F.round("dist_m", 3).alias("dist_m"))
 
 
-_LONG = "126.5::DOUBLE + (c_custkey * 37 % 1000) / 1000::DOUBLE"
+# Nations are squares, every third with a square hole; customers lie in them, on their sides, near them and far off.
+_SQUARE = """
+sq AS (SELECT n_nationkey AS k, n_name AS region, n_regionkey <> 0 AS in_scope, 126.5 + (n_nationkey % 5) * 0.1875 AS w, 37.0 + (n_nationkey // 5) * 0.1875 AS s FROM nation),
+rings AS (SELECT region, w, s, w + 0.125 AS e, s + 0.125 AS n FROM sq UNION ALL SELECT region, w + 0.03125, s + 0.03125, w + 0.0625, s + 0.0625 FROM sq WHERE k % 3 = 0),
+sides AS (SELECT region, w AS x0, w AS x1, s AS y0, n AS y1 FROM rings UNION ALL SELECT region, e, e, s, n FROM rings UNION ALL SELECT region, w, e, s, s FROM rings UNION ALL SELECT region, w, e, n, n FROM rings),
+p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 51 = 0 THEN 190.0 ELSE 126.4375 + c_custkey * 37 % 1024 / 1024::DOUBLE + CASE WHEN c_custkey % 4 = 0 THEN 0.0003 ELSE 0 END END AS lon, 36.96875 + c_custkey * 91 % 1024 / 1024::DOUBLE AS lat FROM customer)"""
+_BOX = max(regions.BOX_DEG, math.degrees(2000 / geo.EARTH_M) / math.cos(math.radians(39)))
+_METRES = f"sqrt(pow(radians(greatest(greatest(x0, lon - {_BOX}), least(lon, least(x1, lon + {_BOX}))) - lon) * cos(radians(lat)) * {geo.EARTH_M}, 2) + pow(radians(greatest(greatest(y0, lat - {_BOX}), least(lat, least(y1, lat + {_BOX}))) - lat) * {geo.EARTH_M}, 2))"
+
+
+@query(f"""WITH {_SQUARE},
+ok AS (SELECT * FROM p WHERE lon BETWEEN 124 AND 132 AND lat BETWEEN 33 AND 39),
+held AS (SELECT id, region FROM ok JOIN sides ON true GROUP BY id, region HAVING count(*) FILTER (WHERE x0 = x1 AND x0 > lon AND (y0 > lat) <> (y1 > lat)) % 2 = 1 OR count(*) FILTER (WHERE lon BETWEEN x0 AND x1 AND lat BETWEEN y0 AND y1) > 0),
+home AS (SELECT id, arg_min(region, (NOT in_scope, region)) AS region, bool_or(in_scope) AS in_scope, 'tie:' || string_agg(region, ',' ORDER BY NOT in_scope, region) AS tie, count(*) AS n FROM held JOIN sq USING (region) GROUP BY id),
+away AS (SELECT id, region, min({_METRES}) AS m FROM ok JOIN sides ON x0 <= lon + {_BOX} AND x1 >= lon - {_BOX} AND y0 <= lat + {_BOX} AND y1 >= lat - {_BOX} WHERE id NOT IN (SELECT id FROM home) GROUP BY id, region),
+near AS (SELECT id, region, in_scope, m FROM away JOIN sq USING (region) QUALIFY row_number() OVER (PARTITION BY id ORDER BY m, NOT in_scope, region) = 1)
+SELECT p.id AS point_id, CASE WHEN home.in_scope THEN home.region WHEN near.in_scope AND near.m <= 2000 THEN near.region END AS region,
+  CASE WHEN home.in_scope THEN 'contain' WHEN near.in_scope AND near.m <= 2000 THEN 'snap' ELSE '' END AS method, CASE WHEN near.in_scope AND near.m <= 2000 THEN round(near.m, 1) END AS snap_dist_m,
+  CASE WHEN ok.id IS NULL THEN 'invalid_coord' WHEN home.in_scope OR (near.in_scope AND near.m <= 2000) THEN '' ELSE 'outside_region' END AS drop_reason,
+  CASE WHEN ok.id IS NULL THEN '' WHEN home.in_scope THEN CASE WHEN home.n > 1 THEN tie ELSE '' END WHEN home.id IS NOT NULL THEN 'contained:' || home.region WHEN near.id IS NULL THEN 'far' WHEN near.in_scope AND near.m <= 2000 THEN '' ELSE 'nearest:' || near.region || ' ' || round(near.m)::BIGINT || ' m' END AS detail
+FROM p LEFT JOIN ok USING (id) LEFT JOIN home USING (id) LEFT JOIN near USING (id)""")
+def region_assign(spark, sf_dir):
+    k, c = F.col("n_nationkey"), F.col("c_custkey")
+    w, s = F.lit(126.5) + (k % 5) * 0.1875, F.lit(37.0) + F.floor(k / 5) * 0.1875
+    corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    square = lambda a, b: F.array(corner(w + a, s + a), corner(w + b, s + a), corner(w + b, s + b), corner(w + a, s + b))
+    rings = F.when(k % 3 == 0, F.array(square(0.0, 0.125), square(0.03125, 0.0625))).otherwise(F.array(square(0.0, 0.125)))
+    places = t(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), F.col("n_name").alias("name"), (F.col("n_regionkey") != 0).alias("in_scope"), rings.alias("rings"))
+    x = F.when(c % 50 == 0, None).when(c % 51 == 0, 190.0).otherwise(F.lit(126.4375) + c * 37 % 1024 / 1024 + F.when(c % 4 == 0, 0.0003).otherwise(0.0))
+    at = t(spark, sf_dir, "customer").select(c.alias("point_id"), x.alias("lon"), (F.lit(36.96875) + c * 91 % 1024 / 1024).alias("lat"))
+    return regions.assign_regions(at, places)
 
 
 @query(f"""
@@ -125,22 +156,26 @@ p AS (SELECT c_custkey AS point_id, {_CX} + 0.0003 AS lon, {_CY} + 0.0003 AS lat
 h AS (SELECT p.point_id, r.* FROM p JOIN r ON lon >= w AND lon < e AND lat >= s AND lat < n)
 SELECT p.point_id, h.region, CASE WHEN h.in_scope THEN 'contain' ELSE 'outside' END AS method FROM p JOIN h ON p.point_id = h.point_id""")
 def region_contains(spark, sf_dir):
-    return _regions(spark, sf_dir).filter("method in ('contain', 'outside')").select("point_id", "region", "method")
-
-
-def _regions(spark, sf_dir):
     k = F.col("n_nationkey")
     w, s = F.lit(126.5) + (k % 5) * 0.18, F.lit(37.0) + F.floor(k / 5) * 0.18
     corner = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
     ring = F.array(corner(w, s), corner(w + 0.15, s), corner(w + 0.15, s + 0.15), corner(w, s + 0.15))
-    regions = t(spark, sf_dir, "nation").select(k.alias("rank"), F.col("n_name").alias("region"), (F.col("n_regionkey") != 0).alias("in_scope"), ring.alias("ring"))
+    sides = regions.edges(t(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), F.array(ring).alias("rings")), ["region"])
     at = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("point_id"), (lon(F.col("c_custkey")) + 0.0003).alias("lon"), (lat(F.col("c_custkey")) + 0.0003).alias("lat"))
-    return spatial.assign_regions(at, regions)
+    scope = t(spark, sf_dir, "nation").select(F.col("n_name").alias("region"), F.when(F.col("n_regionkey") != 0, "contain").otherwise("outside").alias("method"))
+    return regions.containing(at, sides, "region").join(scope, "region").select("point_id", "region", "method")
 
 
-@query()
-def region_assign(spark, sf_dir):
-    return _regions(spark, sf_dir).select("point_id", "region", "method", F.round("snap_m", 3).alias("snap_m"), "tied")
+# Parts are districts of 0.01 degrees square, those of one size a region: its boundary is what its districts don't share.
+@query("""
+WITH d AS (SELECT DISTINCT p_size AS region, p_partkey % 37 AS x, p_partkey % 41 AS y FROM part),
+s AS (SELECT region, x AS ax, y AS ay, x + 1 AS bx, y AS "by" FROM d UNION ALL SELECT region, x, y + 1, x + 1, y + 1 FROM d UNION ALL SELECT region, x, y, x, y + 1 FROM d UNION ALL SELECT region, x + 1, y, x + 1, y + 1 FROM d)
+SELECT region, ax::DOUBLE AS ax, ay::DOUBLE AS ay, bx::DOUBLE AS bx, "by"::DOUBLE AS "by" FROM s GROUP BY region, ax, ay, bx, "by" HAVING count(*) = 1""")
+def dissolved_boundary(spark, sf_dir):
+    k = F.col("p_partkey")
+    corner = lambda x, y: F.struct((k % 37 + x).cast("double").alias("lon"), (k % 41 + y).cast("double").alias("lat"))
+    districts = t(spark, sf_dir, "part").select(F.col("p_size").alias("region"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings")).distinct()
+    return regions.dissolved(regions.edges(districts, ["region"]), ["region"])
 
 
 @query(f"""

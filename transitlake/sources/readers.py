@@ -39,16 +39,16 @@ def read_records(spark: SparkSession, path: str, columns: Sequence[str], record:
 
 
 def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """A row per feature: its properties as text and its outer rings."""
+    """A row per feature: its properties as text and all its rings, outer ones and holes, of every polygon."""
     place = "struct<type: string, coordinates: variant>"
     schema = f"features array<struct<properties: map<string, string>, geometry: {place}>>"
     one = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     c = F.col("f.geometry.coordinates")
     polygon = F.variant_get(c, "$", "array<array<array<double>>>")
     many = F.variant_get(c, "$", "array<array<array<array<double>>>>")
-    outer = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.get(polygon, 0))).when(F.col("f.geometry.type") == "MultiPolygon", F.transform(many, lambda p: F.get(p, 0)))
+    every = F.when(F.col("f.geometry.type") == "Polygon", polygon).when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(many))
     ring = lambda r: F.transform(r, lambda p: F.struct(F.get(p, 0).alias("lon"), F.get(p, 1).alias("lat")))
-    return one.select(*[F.col("f.properties")[p].alias(p) for p in properties], F.transform(outer, ring).alias("rings"))
+    return one.select(*[F.col("f.properties")[p].alias(p) for p in properties], F.transform(every, ring).alias("rings"))
 
 
 STOP_TIMES = ("trip_id", "arrival_time", "departure_time", "stop_id", "stop_sequence", "pickup_type", "drop_off_type")
