@@ -32,7 +32,7 @@ def part_table(folder, where):
 
 def test_merges_reach_any_id(spark, tmp_path):
     part_table(tmp_path, "i % 1000 < 3 OR i % 400 = 7")
-    rows = gives_its_sql(spark, tmp_path, "merge_decision_all", "part")
+    rows = gives_its_sql(spark, tmp_path, "merge_decision", "part")
     got = {(r.part_a, r.part_b): r.decision for r in rows}
     assert got[1, 5001] == "merged_near"  # one place, ids far apart
     assert (1, 6001) not in got  # of another type
@@ -42,7 +42,7 @@ def test_merges_reach_any_id(spark, tmp_path):
 
 def test_natural_ranks_take_all_parts(spark, tmp_path):
     part_table(tmp_path, "i < 3000")
-    rows = gives_its_sql(spark, tmp_path, "natural_sort_all", "part")
+    rows = gives_its_sql(spark, tmp_path, "natural_sort", "part")
     assert sorted(r["rank"] for r in rows) == list(range(1, 3000))
 
 
@@ -74,7 +74,7 @@ def route_tables(folder):
 
 def test_one_round_starts_from_all(spark, tmp_path):
     route_tables(tmp_path)
-    rows = gives_its_sql(spark, tmp_path, "reach_one_round_all", "supplier", "lineitem")
+    rows = gives_its_sql(spark, tmp_path, "reach_one_round", "supplier", "lineitem")
     assert 2700 in {r.node for r in rows}  # only one late id leads there
 
 

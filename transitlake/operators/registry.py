@@ -93,8 +93,12 @@ def fallback_join(df: DataFrame, key: str, tables: Sequence[tuple[DataFrame, str
     return out.withColumn(value, F.coalesce(*[F.col(f"_f{i}") for i in range(len(tables))])).drop(*[f"_f{i}" for i in range(len(tables))])
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
-    return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)
+def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str], other: str | None = None) -> DataFrame:
+    """Counts by row of the values of a column; with other, all else, null included, in a column of that name."""
+    if other is None:
+        return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)
+    kept = F.when(F.col(column).isin(*values), F.col(column)).otherwise(other)
+    return df.select(row, kept.alias("_kept")).groupBy(row).pivot("_kept", [*values, other]).count().na.fill(0)
 
 
 def live_names(stations: DataFrame, live: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -39,6 +39,11 @@ def with_previous(seq: DataFrame, key: str, columns: Sequence[str]) -> DataFrame
     return seq.withColumns({f"prev_{c}": F.lag(c).over(w) for c in columns})
 
 
+def with_next(seq: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    w = Window.partitionBy(key).orderBy("pos")
+    return seq.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns})
+
+
 def running(seq: DataFrame, key: str, value: Column, name: str) -> DataFrame:
     """The sum of value from the start of the sequence up to each position."""
     return seq.withColumn(name, F.sum(F.coalesce(value, F.lit(0.0))).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))

@@ -190,25 +190,13 @@ def head_tail_budget_join(spark, sf_dir):
 # --- registries -------------------------------------------------------------------------------------------------
 
 
-@query(f"""
-WITH p AS (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, {_hav(*_PA, *_PB)} AS d, replace(lower(a.p_name), ' ', '') AS ka, replace(lower(b.p_name), ' ', '') AS kb
-  FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND b.p_partkey <= a.p_partkey + 1000)
-SELECT part_a, part_b, CASE WHEN d <= 50 THEN 'merged_near' WHEN d <= 300 AND (ka = kb OR (length(kb) >= 3 AND starts_with(ka, kb)) OR (length(ka) >= 3 AND starts_with(kb, ka))) THEN 'merged_far' ELSE 'split' END AS decision FROM p""")
-def merge_decision(spark, sf_dir):
-    side = lambda x: t(spark, sf_dir, "part").select("p_type", "p_brand", F.col("p_partkey").alias(f"part_{x}"), names.name_key(F.col("p_name")).alias(f"k{x}"), lon(F.col("p_partkey")).alias(f"lon_{x}"), lat(F.col("p_partkey")).alias(f"lat_{x}"))
-    met = side("a").join(side("b"), ["p_type", "p_brand"]).filter("part_a < part_b and part_b <= part_a + 1000")
-    dist = geo.haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
-    return met.select("part_a", "part_b", registry.decision(dist, F.col("ka"), F.col("kb")).alias("decision"))
-
-
-# merge_decision keeps to the pairs of its SQL, whose ids lie up to 1000 apart; here all parts are judged.
 @query(f"""
 WITH p AS (SELECT a.p_partkey AS part_a, b.p_partkey AS part_b, {_hav(*_PA, *_PB)} AS d, replace(lower(a.p_name), ' ', '') AS ka, replace(lower(b.p_name), ' ', '') AS kb
   FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey),
 m AS (SELECT part_a, part_b, CASE WHEN d <= 50 THEN 'merged_near' ELSE 'merged_far' END AS decision FROM p
   WHERE d <= 50 OR (d <= 300 AND (ka = kb OR (length(kb) >= 3 AND starts_with(ka, kb)) OR (length(ka) >= 3 AND starts_with(kb, ka)))))
 SELECT * FROM m UNION ALL SELECT p_partkey, NULL, 'split' FROM part WHERE p_partkey NOT IN (SELECT part_a FROM m UNION ALL SELECT part_b FROM m)""")
-def merge_decision_all(spark, sf_dir):
+def merge_decision(spark, sf_dir):
     k = F.col("p_partkey")
     parts = t(spark, sf_dir, "part").select("p_type", "p_brand", k.alias("id"), names.name_key(F.col("p_name")).alias("key"), lon(k).alias("lon"), lat(k).alias("lat"))
     return registry.merges(parts, ["p_type", "p_brand"]).withColumnsRenamed({"id_a": "part_a", "id_b": "part_b"})
@@ -246,10 +234,10 @@ def registry_refresh(spark, sf_dir):
     return registry.refreshed(old, new, "k", ["v"], F.col("k") % 2 == 0)
 
 
-@query("""SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS "1-URGENT", count(*) FILTER (o_orderpriority = '2-HIGH') AS "2-HIGH",
-count(*) FILTER (o_orderpriority = '5-LOW') AS "5-LOW" FROM orders GROUP BY 1""")
+@query("""SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS "1-URGENT", count(*) FILTER (o_orderpriority = '2-HIGH') AS "2-HIGH", count(*) FILTER (o_orderpriority = '5-LOW') AS "5-LOW",
+count(*) FILTER (o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW')) AS other FROM orders GROUP BY 1""")
 def crosstab_pivot(spark, sf_dir):
-    return registry.crosstab(t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"])
+    return registry.crosstab(t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"], "other")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -257,9 +245,10 @@ def duplicate_keys(spark, sf_dir):
     return registry.duplicates(t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def lost_keys(spark, sf_dir):
-    return registry.lost(t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    waiting = t(spark, sf_dir, "orders").filter("o_orderstatus = 'P'")
+    return registry.lost(t(spark, sf_dir, "customer"), waiting.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("SELECT s_suppkey, s_nationkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -742,16 +731,6 @@ def components(spark, sf_dir):
     return graphs.components(a.select(F.col("a").alias("id")), edges)
 
 
-@query(f"""
-WITH {_PREV}, c AS (SELECT route AS pattern, stop AS node, pos, sum(coalesce({_GAP}, 0) / 6.0) OVER (PARTITION BY route ORDER BY pos) AS cum_s, (route % 7 * 60)::DOUBLE AS wait_s FROM g),
-s AS (SELECT *, CASE WHEN node <= 20 THEN node * 30.0 + wait_s - cum_s END AS start FROM c),
-a AS (SELECT node, pattern, min(start) OVER (PARTITION BY pattern ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + cum_s AS arrive FROM s)
-SELECT node, round(min(arrive), 3)::DOUBLE AS at_s FROM a WHERE arrive <= 20000 GROUP BY 1""")
-def reach_one_round(spark, sf_dir):
-    start = t(spark, sf_dir, "supplier").filter("s_suppkey <= 20").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") * 30.0).alias("at_s"))
-    return graphs.reach_round(start, _ridden(spark, sf_dir), 20_000).select("node", F.round("at_s", 3).alias("at_s"))
-
-
 def _ridden(spark, sf_dir):
     return patterns(spark, sf_dir).select(F.col("route").alias("pattern"), "pos", F.col("stop").alias("node"), "cum_s", (F.col("route") % 7 * 60).cast("double").alias("wait_s"))
 
@@ -761,13 +740,12 @@ def _starts(spark, sf_dir):
     return t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), (F.col("s_suppkey") * 30 % 18000).cast("double").alias("at_s"))
 
 
-# reach_one_round starts where its SQL does, from ids up to 20; here all suppliers are origins.
 @query(f"""
 WITH {_PREV}, c AS (SELECT route AS pattern, stop AS node, pos, sum(coalesce({_GAP}, 0) / 6.0) OVER (PARTITION BY route ORDER BY pos) AS cum_s, (route % 7 * 60)::DOUBLE AS wait_s FROM g),
 s AS (SELECT c.*, s_suppkey * 30 % 18000 + wait_s - cum_s AS start FROM c LEFT JOIN supplier ON node = s_suppkey),
 a AS (SELECT node, pattern, min(start) OVER (PARTITION BY pattern ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + cum_s AS arrive FROM s)
 SELECT node, round(min(arrive), 3)::DOUBLE AS at_s FROM a WHERE arrive <= 20000 GROUP BY 1""")
-def reach_one_round_all(spark, sf_dir):
+def reach_one_round(spark, sf_dir):
     return graphs.reach_round(_starts(spark, sf_dir), _ridden(spark, sf_dir), 20_000).select("node", F.round("at_s", 3).alias("at_s"))
 
 
@@ -779,18 +757,25 @@ def reach_two_rides(spark, sf_dir):
     return graphs.reach(_starts(spark, sf_dir), _ridden(spark, sf_dir), walks, 2, 30_000).select("node", F.round("at_s", 3).alias("at_s"), "rides")
 
 
-_EDGE_ROWS = [("A", "B", "walk", 600, 0), ("A", "C", "taxi", 300, 5000), ("B", "C", "transit", 900, 1500), ("B", "D", "transit", 1500, 1400), ("C", "D", "transit", 400, 1500), ("C", "D", "taxi", 150, 4800), ("A", "D", "taxi", 1100, 9000), ("D", "E", "walk", 120, 0), ("C", "E", "walk", 1300, 0)]
-_EDGE_SQL = ", ".join(f"('{a}', '{b}', '{m}', {s}, {f})" for a, b, m, s, f in _EDGE_ROWS)
+# Suppliers lie on thirty places in a row; rides of routes lead up to six places on, in whole minutes and fares; each tenth route is a taxi.
+_PLACE = "stop % 30"
+_EXACT_EDGES = f"""
+n AS (SELECT {_PLACE} AS s, lead({_PLACE}) OVER (PARTITION BY route ORDER BY pos) AS t, CASE WHEN route % 10 = 0 THEN 'taxi' ELSE 'transit' END AS mode FROM routes),
+e AS (SELECT DISTINCT s, t, mode, CASE mode WHEN 'taxi' THEN 2 ELSE (s * 7 + t * 5) % 9 + 4 END AS dt, CASE mode WHEN 'taxi' THEN (s + t) % 5 + 8 ELSE (s * 3 + t * 11) % 7 + 1 END AS df FROM n WHERE s < t AND t <= s + 6)"""
 
 
 @query(f"""
-WITH RECURSIVE e(s, t, mode, dt, df) AS (VALUES {_EDGE_SQL}),
-w AS (SELECT 'A' AS node, 0 AS taxis, 0 AS time_s, 0 AS fare UNION ALL SELECT e.t, taxis + CASE WHEN mode = 'taxi' THEN 1 ELSE 0 END, time_s + dt, fare + df FROM w JOIN e ON node = s WHERE taxis + CASE WHEN mode = 'taxi' THEN 1 ELSE 0 END <= 1),
-c AS (SELECT DISTINCT time_s, fare FROM w WHERE node = 'E')
+WITH RECURSIVE {_ROUTES},{_EXACT_EDGES},
+w AS (SELECT 0::BIGINT AS node, 0 AS taxis, 0::BIGINT AS time_s, 0::BIGINT AS fare UNION SELECT e.t, taxis + CASE WHEN mode = 'taxi' THEN 1 ELSE 0 END, time_s + dt, fare + df FROM w JOIN e ON node = s WHERE taxis + CASE WHEN mode = 'taxi' THEN 1 ELSE 0 END <= 1),
+c AS (SELECT DISTINCT time_s, fare FROM w WHERE node = 29)
 SELECT time_s::DOUBLE AS time_s, fare::DOUBLE AS fare FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.time_s <= c.time_s AND d.fare <= c.fare AND (d.time_s < c.time_s OR d.fare < c.fare))""")
 def exact_pareto_journeys(spark, sf_dir):
-    edges = spark.createDataFrame([(a, b, m, float(s), float(f)) for a, b, m, s, f in _EDGE_ROWS], "start string, end string, mode string, time_s double, fare double")
-    return graphs.exact_front(edges, "A", "E").select("time_s", "fare")
+    r = sequences.with_next(routes(spark, sf_dir).withColumn("place", F.col("stop") % 30), "route", ["place"])
+    a, b, taxi = F.col("place"), F.col("next_place"), F.col("route") % 10 == 0
+    time, fare = F.when(taxi, 2).otherwise((a * 7 + b * 5) % 9 + 4), F.when(taxi, (a + b) % 5 + 8).otherwise((a * 3 + b * 11) % 7 + 1)
+    steps = r.filter("place < next_place and next_place <= place + 6").select(a.cast("string").alias("start"), b.cast("string").alias("end"), F.when(taxi, "taxi").otherwise("transit").alias("mode"), time.cast("double").alias("time_s"), fare.cast("double").alias("fare"))
+    edges = steps.distinct()
+    return graphs.exact_front(edges, "0", "29").select("time_s", "fare")
 
 
 # --- names, numbers and nested values ---------------------------------------------------------------------------
@@ -805,30 +790,24 @@ _NAMES = ["서울역(1호선)", "시청 역", "강남", "A·B[가]", "종로3가
 
 
 @query("""
-SELECT name, regexp_replace(lower(replace(regexp_replace(regexp_replace(regexp_replace(replace(translate(translate(name, '·ㆍ', '..'), '[]', '()'), ' ', ''), '\\([^()]*\\)', '', 'g'), '\\([^()]*\\)', '', 'g'), '\\([^()]*\\)', '', 'g'), '.', '')), '^(..+)역$', '\\1') AS key
-FROM (VALUES """ + ", ".join(f"('{n}')" for n in _NAMES) + ") AS v(name)")
+SELECT p_partkey, name, regexp_replace(lower(replace(regexp_replace(regexp_replace(regexp_replace(replace(translate(translate(name, '·ㆍ', '..'), '[]', '()'), ' ', ''), '\\([^()]*\\)', '', 'g'), '\\([^()]*\\)', '', 'g'), '\\([^()]*\\)', '', 'g'), '.', '')), '^(..+)역$', '\\1') AS key
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN mark || p_name ELSE p_name || mark END AS name FROM part JOIN (VALUES """ + ", ".join(f"({i}, '{n}')" for i, n in enumerate(_NAMES)) + f""") AS m(i, mark) ON p_partkey % {len(_NAMES)} = i)""")
 def name_key(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", names.name_key(F.col("name"), station=True).alias("key"))
-
-
-@query("""
-SELECT p_partkey, (row_number() OVER (ORDER BY regexp_extract(n, '^(\\d+)', 1)::BIGINT, coalesce(try_cast(regexp_extract(n, '-(\\d+)$', 1) AS BIGINT), -1), p_partkey))::INTEGER AS rank
-FROM (SELECT p_partkey, (p_partkey * 7 % 50 + 1)::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN '-' || (p_partkey % 12)::VARCHAR ELSE '' END AS n FROM part WHERE p_size <= 10)""")
-def natural_sort(spark, sf_dir):
-    return sequences.ranked(_natural_names(spark, sf_dir).filter("p_size <= 10"), ["key", "p_partkey"]).select("p_partkey", F.col("rank").cast("int").alias("rank"))
+    mark = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(mark, "p_name")).otherwise(F.concat("p_name", mark))
+    return t(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("key", names.name_key(F.col("name"), station=True))
 
 
 def _natural_names(spark, sf_dir):
     k = F.col("p_partkey")
     n = F.concat((k * 7 % 50 + 1).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("-"), (k % 12).cast("string"))).otherwise(""))
-    return t(spark, sf_dir, "part").select("p_partkey", "p_size", names.natural_key(n).alias("key"))
+    return t(spark, sf_dir, "part").select("p_partkey", names.natural_key(n).alias("key"))
 
 
-# natural_sort ranks the parts that its SQL keeps; here all have a rank.
 @query("""
 SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(n, '^(\\d+)', 1)::BIGINT, coalesce(try_cast(regexp_extract(n, '-(\\d+)$', 1) AS BIGINT), -1), p_partkey) AS rank
 FROM (SELECT p_partkey, (p_partkey * 7 % 50 + 1)::VARCHAR || CASE WHEN p_partkey % 3 = 0 THEN '-' || (p_partkey % 12)::VARCHAR ELSE '' END AS n FROM part)""")
-def natural_sort_all(spark, sf_dir):
+def natural_sort(spark, sf_dir):
     return sequences.ranked(_natural_names(spark, sf_dir), ["key", "p_partkey"]).select("p_partkey", "rank")
 
 
