@@ -30,6 +30,8 @@ FIRST = 2
 SHARES = (2, 16)
 #: Numbers that a tree's table of counts holds, over all its sets.
 COUNTS = 1_000_000
+#: Bits a row of the bitmap that marks sets which may have a partner, and the logarithm of the most it may have.
+MARK_BITS, MOST_MARK_BITS = 64, 30
 #: Bytes of text that are hashed together.
 CHUNK = 250_000
 #: A shingle's place in the order: bits of the logarithm of its count above those of its hash.
@@ -191,13 +193,29 @@ def even(c: Column) -> Column:
     return c.bitwiseAND(F.lit(-2).cast("long"))
 
 
+def marked(near: DataFrame):
+    """A bitmap of the rows of near at the last bits of their hashes, broadcast, and the mask of these bits.
+
+    Rows that it marks are read again where they lie, so no text is shuffled. It has MARK_BITS bits a row up to
+    MOST_MARK_BITS, 128 MB; beyond that more other rows are marked by chance, whose sets leave when near is joined.
+    """
+    size = 1 << max(16, min(MOST_MARK_BITS, math.ceil(math.log2(max(1, near.count() * MARK_BITS)))))
+    place = F.col("row").bitwiseAND(F.lit(size - 1))
+    parts = near.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros((size >> 15, 4096), dtype=np.uint8)
+    for r in parts.collect():  # 4 KB each, of all no more than the bitmap
+        out[r.part] = np.frombuffer(r.bits, dtype=np.uint8)
+    return near.sparkSession.sparkContext.broadcast(out.tobytes()), size - 1
+
+
 def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """node, n, codes: the sets that may have a partner, and their shingles that others of these have, the rarest first.
 
     node is the first half of the signature.
 
     Partners share spare(...) of their first shingles in any order, so who shares fewer of them with other sets of a size
-    that a partner can have is left; what only copies of one set have is shared with none. Shingles that one set alone has count in n and aren't kept.
+    that a partner can have is left; what only copies of one set have is shared with none. Texts of the others are read
+    again in place. Shingles that one set alone has count in n and aren't kept.
     Counts are combined before they are shuffled, and grow with the corpus, so their join shuffles at every size; a
     shingle that very many share is a skewed join that Spark splits.
     """
@@ -216,17 +234,19 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
     shared_keys = F.col("filed") - F.least(F.coalesce("own0", F.lit(0)), F.coalesce("own1", F.lit(0)))
     enough = shared_keys >= 1 + F.floor(least * (100 - percent) / F.lit(200))
     near = shared.written(classes.join(own, even(F.col("s1")) == F.col("even"), "left").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
+    bits, mask = marked(near)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(bits.value, dtype=np.uint8)
         for batch in batches:
+            place = batch["row"].to_numpy() & mask
+            batch = batch.take(pa.array(np.flatnonzero(marks[place >> 3] >> (place & 7).astype(np.uint8) & 1)))
             with np.errstate(over="ignore"):
                 found = list(shingle_sets(batch["text"].to_pylist(), words))
                 signs = signed(np.array([shared.mix64(s ^ C1).sum(dtype=np.uint64) for s in found], dtype=np.uint64))
-            right = np.flatnonzero(signs == batch["node"].to_numpy()).tolist()  # another row may have the same hash
-            yield pa.RecordBatch.from_arrays([pa.array(signs[right], pa.int64()), _lists([signed(found[i]) for i in right])], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), _lists([signed(s) for s in found])], ["node", "keys"])
 
-    texts = rows.select("row", "text").join(near.select("row", "node"), "row").select("node", "text")
-    every = shared.written(texts.mapInArrow(told, "node long, keys array<long>"), "ngram-whole", "lz4", shared.BATCH_ROWS)
+    every = shared.written(rows.select("row", "text").mapInArrow(told, "node long, keys array<long>"), "ngram-whole", "lz4", shared.BATCH_ROWS)
     tokens = every.select("node", F.explode("keys").alias("key"))
     counts = shared.written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-counts", "lz4")
     level = F.least(F.floor(F.log2("c")), F.lit(31)).cast("long")
