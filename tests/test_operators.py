@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitlake.functions import costs, geo, names, times
-from transitlake.operators import fares, graphs, journeys, registry, sequences, service, skyline, spatial
+from transitlake.operators import graphs, journeys, registry, sequences, service, skyline, spatial
+from transitlake.operators.fares import transfer_fares
 
 
 def one(spark, column, **values):
@@ -132,7 +133,7 @@ def fares(spark, journeys_):
     """journeys_: rides of (board_s, alight_s, km, base, free_km, mode, route) with early and taxi as further, optional fields."""
     rows = [(name, i, *r[:7], *(r[7:] or (0.0, False))) for name, rides in journeys_.items() for i, r in enumerate(rides)]
     df = spark.createDataFrame(rows, "journey string, pos int, board_s double, alight_s double, km double, base double, free_km double, mode string, route string, early double, taxi boolean")
-    return {r.journey: (r.fare, r.groups) for r in fares.transfer_fares(df).collect()}
+    return {r.journey: (r.fare, r.groups) for r in transfer_fares(df).collect()}
 
 
 def test_transfer_fares(spark):
