@@ -31,8 +31,9 @@ def merges(things: DataFrame, same: Sequence[str]) -> DataFrame:
     b = things.select(*same, F.col("id").alias("id_b"), F.col("key").alias("key_b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     met = spatial.grid_join(a, b, FAR_M, on=same).filter("id_a < id_b")
     merged = settled(met.select("id_a", "id_b", decision(F.col("dist_m"), F.col("key_a"), F.col("key_b")).alias("decision")).filter("decision <> 'split'"), "merged")
-    partnered = merged.select(F.col("id_a").alias("id")).unionByName(merged.select(F.col("id_b").alias("id")))
-    alone = things.select("id").join(partnered, "id", "left_anti")
+    # Pairs of copies are many in small files, which Spark would take for a small table and broadcast.
+    partnered = merged.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+    alone = things.select("id").join(partnered.hint("merge"), "id", "left_anti")
     return merged.unionByName(alone.select(F.col("id").alias("id_a"), F.lit(None).cast(merged.schema["id_b"].dataType).alias("id_b"), F.lit("split").alias("decision")))
 
 
