@@ -1,0 +1,63 @@
+"""What grows with copies of the same places: met once, and given out whole."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from transitlake.operators import registry, resolve, spatial
+
+
+def metres(a, b):
+    (x, y), (u, v) = a, b
+    half = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+    return 2 * 6_371_008.8 * math.asin(math.sqrt(half))
+
+
+def at(i):
+    return 127.0 + i % 7 * 0.01, 37.0 + i % 5 * 0.01
+
+
+def placed(spark, n, names, at=at):
+    return spark.createDataFrame([(i, *at(i)) for i in range(n)], names)
+
+
+def test_places_meet_once(spark, monkeypatch):
+    met, near = [], spatial.near_places
+    monkeypatch.setattr(spatial, "near_places", lambda a, b, *rest: met.append((a.count(), b.count())) or near(a, b, *rest))
+    got = spatial.grid_join(placed(spark, 200, "a long, lon double, lat double"), placed(spark, 150, "b long, lon2 double, lat2 double"), 1_500)
+    rows = {(r.a, r.b): r.dist_m for r in got.collect()}
+    assert set(rows) == {(i, j) for i in range(200) for j in range(150) if metres(at(i), at(j)) <= 1_500}
+    assert all(abs(d - metres(at(i), at(j))) < 1e-6 for (i, j), d in rows.items())
+    assert met == [(35, 35)]
+
+
+def test_no_table_is_broadcast(spark):
+    a, b = placed(spark, 50, "a long, lon double, lat double"), placed(spark, 50, "b long, lon2 double, lat2 double")
+    assert "Broadcast" not in spatial.grid_join(a, b, 1_500)._jdf.queryExecution().executedPlan().toString()
+    things = a.select(F.col("a").alias("id"), F.lit("k").alias("key"), "lon", "lat", F.lit(1).alias("g"))
+    got = registry.merges(things, ["g"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id_a, r.id_b) for r in got.collect()} == {(i, i + 35) for i in range(15)} | {(i, None) for i in range(15, 35)}
+
+
+def test_nearest_within_of_copies(spark, monkeypatch):
+    met, near = [], spatial.near_places
+    monkeypatch.setattr(spatial, "near_places", lambda a, b, *rest: met.append((a.count(), b.count())) or near(a, b, *rest))
+    left = placed(spark, 100, "a long, lon double, lat double", lambda i: at(i * 3)).unionByName(spark.createDataFrame([(500, 20.0, 37.0)], "a long, lon double, lat double"))
+    got = spatial.nearest_within(left, placed(spark, 60, "b long, lon2 double, lat2 double", lambda i: at(i % 20)), [500, 3_000], "a", "b").collect()
+    want = {}
+    for i in range(100):
+        d, j = min((metres(at(i * 3), at(j % 20)), j) for j in range(60))
+        want[i] = (j, 0 if d <= 500 else 1)
+    assert {r.a: (r.b, r.ring) for r in got} == want
+
+
+@pytest.mark.parametrize("gap", [0, 1_200])
+def test_matched_as_chosen_one_by_one(spark, gap):
+    names = ["seoul", "seoulli", "busan", None]
+    asked = spark.createDataFrame([(i, names[i % 4], *at(i % 11)) for i in range(88)] + [(99, "seoul", None, 37.0)], "ask_id long, name string, lon double, lat double")
+    stops = spark.createDataFrame([(i, ["seoul", "busan", "seoull"][i % 3], [], *at(i % 13)) for i in range(50)], "stop_id long, stop_name string, aliases array<string>, lon2 double, lat2 double")
+    one_by_one = resolve.choose(asked, resolve.candidates(asked, stops, 2_000), gap)
+    key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
+    assert key(resolve.matched(asked, stops, 2_000, gap).collect()) == key(one_by_one.select("ask_id", "stop_id", "level", "dist_m", "status").collect())
