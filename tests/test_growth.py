@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from transitlake.operators import registry, resolve, spatial
+from transitlake.operators import registry, resolve, rides, spatial
 
 
 def metres(a, b):
@@ -61,3 +61,21 @@ def test_matched_as_chosen_one_by_one(spark, gap):
     one_by_one = resolve.choose(asked, resolve.candidates(asked, stops, 2_000), gap)
     key = lambda rows: sorted(tuple(map(str, r)) for r in rows)
     assert key(resolve.matched(asked, stops, 2_000, gap).collect()) == key(one_by_one.select("ask_id", "stop_id", "level", "dist_m", "status").collect())
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_search_by_places_as_by_nodes(spark, backward):
+    place = {n: n % 4 for n in range(12)}
+    apart = {(a, b): abs(a - b) * 50.0 for a in range(4) for b in range(4) if abs(a - b) <= 2}
+    lines = spark.createDataFrame([(p, i, (p * 5 + i * (p % 3 + 1) * 2) % 12, float(i * (90 + p * 7 % 40)), float(p % 3 * 60)) for p in range(9) for i in range(5)], "pattern long, pos long, node long, cum_s double, wait_s double")
+    by_place = spark.createDataFrame([(a, b, w) for (a, b), w in apart.items()], "a long, b long, walk_s double")
+    by_node = spark.createDataFrame([(m, n, apart[place[m], place[n]]) for m in place for n in place if m != n and (place[m], place[n]) in apart], "a long, b long, walk_s double")
+    places = spark.createDataFrame(list(place.items()), "node long, place long")
+    known = spark.createDataFrame([(1, 0, 10.0), (1, 4, 10.0), (2, 7, 0.0)], "origin long, node long, at_s double")
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    starts = rides.start_labels(known, by_place, places)
+    assert key(starts) == key(rides.start_labels(known, by_node))
+    access = starts.select("origin", "node", "at_s")
+    got = rides.search(access, lines, by_place, 2, 700.0, backward, None, places)
+    assert key(got) == key(rides.search(access, lines, by_node, 2, 700.0, backward))
+    assert got.filter("kind = 'ride'").count() and got.count() > access.count()
