@@ -48,6 +48,28 @@ def first_match(rows: DataFrame, candidates: DataFrame, on: str, accept: Column,
     return rows.join(best.select(id_col, *added), id_col, "left")
 
 
+def first_above(rows: DataFrame, candidates: DataFrame, on: str, value: str, bar: str, id_col: str, first: str) -> DataFrame:
+    """Each row(id_col, on, value) with the candidate(on, first, bar) of least first whose bar is over its value; null without one.
+
+    Only a candidate whose bar is over those of all before it can be the first. Their bars rise with first, so a row takes
+    that with the least bar over its value, found by one sort of both, and no pairs are made.
+    """
+    usable = candidates.filter(F.col(on).isNotNull() & F.col(bar).isNotNull()).groupBy(on, bar).agg(F.min(first).alias(first))
+
+    def rising(df: DataFrame, *by: Column | str) -> DataFrame:
+        before = F.max(bar).over(Window.partitionBy(*by).orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn("_before", before).filter(F.col("_before").isNull() | (F.col(bar) > F.col("_before"))).drop("_before")
+
+    # Who is passed within a part of a key is passed within the key, so few are left for the key's own sort.
+    steps = rising(rising(usable, on, F.pmod(F.xxhash64(first), F.lit(64))), on)
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    asks = rows.select(on, F.col(value).alias("_v"), F.lit(0).alias("_step"), id_col, none(candidates, first))
+    both = asks.unionByName(steps.select(on, F.col(bar).alias("_v"), F.lit(1).alias("_step"), none(rows, id_col), first))
+    down = Window.partitionBy(on).orderBy(F.col("_v").desc(), "_step").rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("_found", F.when(F.col("_v").isNotNull(), F.last(first, ignorenulls=True).over(down))).filter("_step = 0")
+    return found.select(id_col, F.col("_found").alias(first))
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; a registry passes if there is none."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
