@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from transitlake.operators import registry, resolve, rides, spatial
+from transitlake.operators import graphs, registry, resolve, rides, spatial
 
 
 def metres(a, b):
@@ -79,3 +79,23 @@ def test_search_by_places_as_by_nodes(spark, backward):
     got = rides.search(access, lines, by_place, 2, 700.0, backward, None, places)
     assert key(got) == key(rides.search(access, lines, by_node, 2, 700.0, backward))
     assert got.filter("kind = 'ride'").count() and got.count() > access.count()
+
+
+def test_first_above_as_pair_by_pair(spark):
+    rows = [(i, i % 3 if i % 10 else None, float(i * 37 % 50) if i % 7 else None) for i in range(120)]
+    options = [(j, j % 4 if j % 9 else None, float(j * 53 % 47) if j % 8 else None) for j in range(80)]
+    got = registry.first_above(spark.createDataFrame(rows, "id long, k int, v double"), spark.createDataFrame(options, "j long, k int, b double"), "k", "v", "b", "id", "j")
+    want = {i: min((j for j, g, b in options if None not in (k, v, g, b) and g == k and b > v), default=None) for i, k, v in rows}
+    assert {r.id: r.j for r in got.collect()} == want and got.count() == len(rows)
+
+
+def test_components_of_places(spark):
+    spots = [(i, *at(i * 7 % 9)) for i in range(40)] + [(90, 10.0, 10.0), (91, None, 37.0), (92, None, None)]
+    got = {r.id: r.root for r in graphs.near_components(spark.createDataFrame(spots, "id long, lon double, lat double"), 1_200).collect()}
+    root = {i: i for i, *_ in spots}
+    for _ in spots:
+        for a, *p in spots:
+            for b, *q in spots:
+                if None not in p + q and metres(p, q) <= 1_200:
+                    root[a] = min(root[a], root[b])
+    assert got == root
