@@ -16,17 +16,27 @@ def positions(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFra
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
-def ranked(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """rank from 1 over all rows: the place within a range of the order, after the rows of the ranges before it.
+def ranked(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """rank from 1 over all rows, or those alike in by: the place within a range of the order, after the rows of the ranges before it.
 
-    order: columns that no two rows share, else ties are ranked as they come.
+    order: what no two rows share, else ties are ranked as they come. count names a column for the number of rows that
+    are ranked together. A task sorts one range; a row for each range and for each of by is broadcast, so these are few.
     """
-    dealt = settled(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    # A row for each range is left, so one window over them all holds nothing of size.
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_within", within).join(F.broadcast(counts), "_range").withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+    sort = [*by, *order]
+    # A number that is given is kept to; else Spark puts ranges together by their size as compressed, and a task holds many times that.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = settled(df.repartitionByRange(parts, *sort).sortWithinPartitions(*sort).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    # The upper bits of _at tell the range, the others the place in it.
+    ranges = dealt.groupBy(F.shiftright("_at", 33).alias("_range"), *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    # A row for each range and key is left, so windows over them hold nothing of size.
+    alike = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(alike.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = ranges.select("_range", F.col("_first"), before.alias("_before"), F.sum("_n").over(alike).alias("_all"), *[F.col(c).alias(f"_by_{c}") for c in by])
+    same = F.shiftright("_at", 33) == F.col("_range")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = dealt.join(F.broadcast(counts), same).withColumn("rank", F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return placed.select(*df.columns, "rank", *([F.col("_all").alias(count)] if count else []))
 
 
 def occurrences(seq: DataFrame, key: str, item: str) -> DataFrame:
