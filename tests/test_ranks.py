@@ -21,12 +21,19 @@ def lines(folder, n, odd=True):
     duckdb.execute(f"COPY (SELECT o::BIGINT AS l_orderkey, n::INTEGER AS l_linenumber, f AS l_returnflag, q::DOUBLE AS l_quantity, e::DOUBLE AS l_extendedprice, p::BIGINT AS l_partkey FROM (VALUES {', '.join('(' + ', '.join(map(value, r)) + ')' for r in rows)}) v(o, n, f, q, e, p)) TO '{folder}/lineitem.parquet'")
 
 
+@pytest.mark.parametrize("name", ["quantiles_exact", "regression_fit"])
+@pytest.mark.parametrize("n", [0, 1, 2, 11, 400])
+def test_quantiles_with_nulls(spark, tmp_path, name, n):
+    lines(tmp_path, n)
+    gives_its_sql(spark, tmp_path, name, "lineitem")
+
+
 def test_rank_correlation_in_order_of_its_sql(spark, tmp_path):
     lines(tmp_path, 300)
     gives_its_sql(spark, tmp_path, "rank_correlation", "lineitem")
 
 
-@pytest.mark.parametrize("name", ["rank_correlation"])
+@pytest.mark.parametrize("name", ["rank_correlation", "quantiles_exact", "regression_fit"])
 def test_no_group_is_sorted_or_held_whole(spark, tmp_path, name, monkeypatch):
     lines(tmp_path, 200, False)
     sizes, ranked = [], sequences.ranked

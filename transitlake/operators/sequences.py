@@ -39,6 +39,14 @@ def ranked(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (),
     return placed.select(*df.columns, "rank", *([F.col("_all").alias(count)] if count else []))
 
 
+def quantile(value: str, rank: str, n: str, share: float) -> Column:
+    """An aggregate over ranked values: what lies at a share of the way from the first to the last, between two as far as it lies."""
+    at, i = (F.col(n) - 1) * share, F.col(rank) - 1
+    low, high = F.floor(at), F.ceil(at)
+    weight = F.when(i == low, F.when(low == high, 1.0).otherwise(high - at)).when(i == high, at - low)
+    return F.sum(F.when(weight.isNotNull(), F.col(value) * weight))
+
+
 def occurrences(seq: DataFrame, key: str, item: str) -> DataFrame:
     """First and last position and number of visits of each item of a sequence."""
     return seq.groupBy(key, item).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("visits"))
