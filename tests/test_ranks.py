@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitlake import queries as core
-from transitlake.operators import sequences
+from transitlake.operators import graphs, sequences
 
 from test_whole_jobs import gives_its_sql
 
@@ -57,3 +57,27 @@ def test_ranks_by_key_over_ranges(spark):
     for k in ("a", "b", None):
         mine = sorted((r for r in rows if r.k == k), key=lambda r: (r.v, -r.id))
         assert [(r["rank"], r.n) for r in mine] == [(i + 1, len(mine)) for i in range(len(mine))] and mine
+
+
+def test_walks_are_found_once_a_place(spark, data, monkeypatch):
+    met, reach = [], graphs.reach
+    monkeypatch.setattr(graphs, "reach", lambda start, patterns, walks, *rest: met.append((walks.count(), rest[2].count())) or reach(start, patterns, walks, *rest))
+    twice = lambda s, d, name: once(s, d, name).unionByName(once(s, d, name).withColumn("s_suppkey", F.col("s_suppkey") + 1_000)) if name == "supplier" else once(s, d, name)
+    once = core.t
+    core.queries()["reach_two_rides"](spark, data)
+    monkeypatch.setattr(core, "t", twice)
+    core.queries()["reach_two_rides"](spark, data)
+    (walks, members), (walks2, members2) = met
+    assert walks2 == walks and members2 == 2 * members > 0
+
+
+@pytest.mark.parametrize("limit", [600.0, 1_500.0])
+def test_reach_by_places_as_by_nodes(spark, limit):
+    place = {n: n % 4 for n in range(12)}
+    apart = {(a, b): abs(a - b) * 50.0 for a in range(4) for b in range(4) if abs(a - b) <= 2}
+    stops = spark.createDataFrame([(p, i, (p * 5 + i * (p % 3 + 1) * 2) % 12, float(i * (90 + p * 7 % 40)), float(p % 3 * 60)) for p in range(9) for i in range(5)], "pattern long, pos long, node long, cum_s double, wait_s double")
+    start = spark.createDataFrame([(0, 10.0), (5, 700.0)], "node long, at_s double")
+    by_place = spark.createDataFrame([(a, b, w) for (a, b), w in apart.items()], "a long, b long, walk_s double")
+    by_node = spark.createDataFrame([(m, n, apart[place[m], place[n]]) for m in place for n in place if m != n and (place[m], place[n]) in apart], "a long, b long, walk_s double")
+    got = graphs.reach(start, stops, by_place, 2, limit, spark.createDataFrame(list(place.items()), "node long, place long")).collect()
+    assert sorted(got) == sorted(graphs.reach(start, stops, by_node, 2, limit).collect()) and {r.rides for r in got} >= {0, 1}
