@@ -201,3 +201,17 @@ def test_nothing(spark):
     case.pool, case.base = case.pool.limit(0), case.base.limit(0)
     search = case.advance(case.start(), 5)
     assert search.front().count() == 0 and search.status().count() == 0
+
+
+def test_rounds_write_no_candidates(spark, monkeypatch):
+    many = [cand(f"c{i:03}", 50 + i, 500 - i, ["a", f"q{i % 5}"]) for i in range(200)]
+    case = Case(spark, {"r": (many, {}, {}, ()), "s": (many, {}, {}, ("a",))})
+    search, rows = case.start(), []
+    for name in ("settled", "bucketed"):
+        write = getattr(verification, name, None)
+        if write:
+            monkeypatch.setattr(verification, name, lambda df, *rest, write=write: (out := write(df, *rest), rows.append(out.count()))[0])
+    case.advance(search, 3)
+    assert max(rows) <= 80  # two of five queries more for 40 candidates each
+    assert "Exchange" not in search._chosen(9)._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.status == "unavailable" for r in search.status().collect()) == 280
