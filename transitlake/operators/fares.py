@@ -31,6 +31,8 @@ NIGHT_BUS, RAIL = (2500, 10000, "flat", 500), (1550, 10000, "rail", 310)
 RAIL_LINES = ("1호선", "2호선", "3호선", "4호선", "5호선", "6호선", "7호선", "8호선", "9호선", "수인분당선", "경의중앙선", "경춘선", "경강선", "서해선", "우이신설선", "신림선", "인천1호선", "인천2호선", "김포골드라인")
 LEAVING_LINES = ("1호선", "경춘선")
 BEYOND = ("평택", "성환", "직산", "두정", "천안", "봉명", "쌍용", "아산", "탕정", "배방", "온양온천", "신창", "가평", "굴봉산", "백양리", "강촌", "김유정", "남춘천", "춘천")
+# Choices of routes in all that a journey has at most to be folded in its row.
+FOLDED = 256
 # Why a step has no price.
 NO_DISTANCE, NO_LINE, NO_PLACE = "구간 거리 미확인", "철도 별도운임 또는 노선 미확인", "수도권 외 철도 운임거리 미확인"
 NO_ROUTE, NO_TARIFF, UNLIKE = "버스 관할·노선 유형 미확인", "마을버스 관할 요금 또는 별도 버스 운임 미확인", "승차 가능 노선의 요금이 서로 다름"
@@ -155,28 +157,62 @@ def fare_options(journeys: DataFrame, steps: DataFrame, key: str = "journey") ->
     reason. source is rules_estimate, rules_range if a bus could be chosen, or fallback; transfer_kept says if the ride
     after the last taxi went on as a transfer, null if no taxi lay between or choices differ. No rides cost nothing.
 
-    Choices are unfolded a ride at a time for all journeys; those that lead to the same state are one from there on,
-    with the least and the greatest paid before, so what grows is the states and not the product of choices.
+    Steps are shuffled by journey once and written a row a journey; one of up to FOLDED choices is then folded within
+    its row. Those of more go by rounds (see _by_rounds).
     """
     along = Window.partitionBy(key).orderBy("pos")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     is_ride = F.col("type").isin("BUS", "SUBWAY")
     wait = F.when(is_ride, F.coalesce("wait_s", F.lit(UNKNOWN_WAIT_S))).otherwise(0.0)
-    timed = steps.join(journeys.select(key, "at", F.coalesce("initial_walk_s", F.lit(0.0)).cast("double").alias("_walk")), key).withColumns(
-        {"_wait": wait, "_ride": is_ride.cast("int"), "_time": F.coalesce(F.col("time_s").cast("double"), F.lit(0.0))}
+    timed = journeys.select(key, "fallback", "at", F.coalesce("initial_walk_s", F.lit(0.0)).cast("double").alias("_walk")).join(steps, key, "left").withColumns(
+        {"_wait": wait, "_ride": F.coalesce(is_ride, F.lit(False)), "_time": F.coalesce(F.col("time_s").cast("double"), F.lit(0.0))}
     )
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
     clock = F.hour("at") * 3600 + F.minute("at") * 60 + F.second("at")
     board = F.coalesce(clock, F.lit(0)) + F.col("_walk") + F.coalesce(F.sum(F.col("_time") + F.col("_wait")).over(before), F.lit(0.0)) + F.col("_wait")
-    timed = timed.withColumns({"board_s": board, "seq": F.coalesce(F.sum("_ride").over(before), F.lit(0))})
-    timed = timed.withColumn("taxi", F.max(F.col("type") == "TAXI").over(Window.partitionBy(key, "seq"))).filter(is_ride)
-    rides = settled(resolved(timed).select(key, "seq", "board_s", (F.col("board_s") + F.col("_time")).alias("alight_s"), F.col("at").isNotNull().alias("clock"), F.col("distance_m").cast("double").alias("m"), "taxi", "options", "reason"), "fare-rides")
-    bad = rides.groupBy(key).agg(F.min(F.when(F.col("reason").isNotNull(), F.struct("seq", "reason")))["reason"].alias("reason"), F.max(F.coalesce(F.col("reason") != UNLIKE, F.lit(False))).alias("unpriced"), F.max(F.size("options") > 1).alias("choice"), F.max("seq").alias("last"))
-    told = settled(journeys.join(bad, key, "left"), "fare-journeys")
-    good = told.filter("last is not null and not unpriced").select(key, "last")
-    options = rides.join(good, key).withColumn("o", F.explode("options"))
-    option = _fields(**{c: F.col(c) for c in ("board_s", "alight_s", "clock", "m", "taxi")}, **{c: F.col(f"o.rule.{c}") for c in ("base", "free_m", "mode", "early")}, routes=F.col("o.routes"))
-    options = settled(options.select(key, "seq", "last", option.alias("r")), "fare-options")
-    state = good.select(key, "last", _start().alias("g"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
+    timed = timed.withColumns({"board_s": board, "seq": so_far(F.col("_ride").cast("int")), "_taxis": so_far((F.col("type") == "TAXI").cast("int"))})
+    taxi = F.col("_taxis") > F.coalesce(F.last(F.when(F.col("_ride"), F.col("_taxis")), True).over(before), F.lit(0))
+    timed = resolved(timed.withColumn("taxi", taxi))
+    ride = _fields(seq=F.col("seq"), board_s=F.col("board_s"), alight_s=F.col("board_s") + F.col("_time"), clock=F.col("at").isNotNull(), m=F.col("distance_m").cast("double"), taxi=F.col("taxi"), options=F.col("options"), reason=F.col("reason"))
+    rides = timed.groupBy(key).agg(F.first("fallback").alias("fallback"), F.array_sort(F.collect_list(F.when(F.col("_ride"), ride))).alias("rides"))
+    unpriced = F.exists("rides", lambda r: F.coalesce(r["reason"] != UNLIKE, F.lit(False)))
+    choices = F.aggregate("rides", F.lit(1.0), lambda n, r: n * F.size(r["options"]))
+    told = settled(rides.withColumns({"unpriced": unpriced, "choices": choices}), "fare-journeys")
+    few = told.withColumn("states", F.when(~F.col("unpriced"), F.aggregate("rides", F.array(_start()), _take_each)))
+    costs_ = F.transform("states", lambda g: g["closed"] + g["paid"])
+    kept = F.array_distinct(F.transform("states", lambda g: g["kept"]))
+    few = few.withColumns({"least": F.array_min(costs_), "greatest": F.array_max(costs_), "transfer_kept": F.when((F.size("rides") > 0) & (F.size(kept) == 1), kept[0])})
+    small = F.col("unpriced") | (F.col("choices") <= FOLDED)
+    every, many = few.filter(small).drop("states"), told.filter(~small)
+    if not many.isEmpty():
+        every = every.unionByName(many.join(_by_rounds(many, key), key))
+    failed = F.col("unpriced")
+    value = F.when(failed, F.col("fallback").cast("double")).otherwise(F.col("greatest"))
+    source = F.when(failed, "fallback").when(F.exists("rides", lambda r: F.size(r["options"]) > 1), "rules_range").otherwise("rules_estimate")
+    reason = F.when(failed, F.filter("rides", lambda r: r["reason"].isNotNull())[0]["reason"])
+    return every.select(key, value.alias("value"), "least", "greatest", source.alias("source"), reason.alias("reason"), "transfer_kept")
+
+
+def _chosen(r: Column, o: Column) -> Column:
+    """A ride by one of its options, as _take wants it."""
+    return _fields(**{c: r[c] for c in ("board_s", "alight_s", "clock", "m", "taxi")}, **{c: o["rule"][c] for c in ("base", "free_m", "mode", "early")}, routes=o["routes"])
+
+
+def _take_each(states: Column, r: Column) -> Column:
+    """The states after each option of a ride from each state before."""
+    return F.flatten(F.transform(states, lambda g: F.transform(r["options"], lambda o: _take(g, _chosen(r, o)))))
+
+
+def _by_rounds(journeys: DataFrame, key: str) -> DataFrame:
+    """key, least, greatest, transfer_kept of journeys(key, rides), unfolded a ride at a time for all of them.
+
+    Choices that lead to the same state are one from there on, with the least and the greatest paid before, so what
+    grows is the states and not the product of choices.
+    """
+    r = F.col("ride")
+    options = journeys.select(key, F.explode("rides").alias("ride")).select(key, r["seq"].alias("seq"), "ride", F.explode(r["options"]).alias("o"))
+    options = settled(options.select(key, "seq", _chosen(r, F.col("o")).alias("r")), "fare-options")
+    state = journeys.select(key, (F.size("rides") - 1).alias("last"), _start().alias("g"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
     done, n = None, 0
     while True:
         step = state.join(options.filter(F.col("seq") == n).select(key, "r"), key).withColumn("next", _take(F.col("g"), F.col("r")))
@@ -189,10 +225,4 @@ def fare_options(journeys: DataFrame, steps: DataFrame, key: str = "journey") ->
         if state.isEmpty():
             break
     kept = F.when(F.count_distinct(F.coalesce(F.col("g.kept").cast("string"), F.lit("none"))) == 1, F.max("g.kept"))
-    total = done.groupBy(key).agg(F.min(F.col("low") + F.col("g.paid")).alias("least"), F.max(F.col("high") + F.col("g.paid")).alias("greatest"), kept.alias("transfer_kept"))
-    every = told.join(total, key, "left")
-    failed = F.coalesce("unpriced", F.lit(False))
-    value = F.when(failed, F.col("fallback").cast("double")).otherwise(F.coalesce("greatest", F.lit(0.0)))
-    source = F.when(failed, "fallback").when(F.coalesce("choice", F.lit(False)), "rules_range").otherwise("rules_estimate")
-    bound = lambda c: F.when(~failed, F.coalesce(c, F.lit(0.0))).alias(c)
-    return every.select(key, value.alias("value"), bound("least"), bound("greatest"), source.alias("source"), F.when(failed, F.col("reason")).alias("reason"), "transfer_kept")
+    return done.groupBy(key).agg(F.min(F.col("low") + F.col("g.paid")).alias("least"), F.max(F.col("high") + F.col("g.paid")).alias("greatest"), kept.alias("transfer_kept"))
