@@ -130,3 +130,25 @@ def test_sets_of_routes_in_the_fold(spark, routes, fare):
     rides = [("j", i, 36000.0 + 700 * i, 36600.0 + 700 * i, 1.0, 1500.0, 10.0, "flat", 0.0, False, r) for i, r in enumerate(routes)]
     schema = "journey string, pos int, board_s double, alight_s double, km double, base double, free_km double, mode string, early double, taxi boolean, route array<string>"
     assert fares.transfer_fares(spark.createDataFrame(rides, schema)).first().fare == fare
+
+
+def test_short_journeys_are_folded_in_place(spark, monkeypatch):
+    """They take one shuffle and write one table, however many rides they have, and cost what rounds make of them."""
+    rng = random.Random(20)
+    kinds = [("gyeonggi", "일반"), ("seoul", "간선"), ("gyeonggi", "직행"), ("gyeonggi", "광역"), ("seoul", "마을"), ("seoul", "시외")]
+    cases = {"none": ([], DAY, 0.0)}
+    for j in range(60):
+        steps = []
+        for _ in range(rng.randint(1, 8)):
+            if rng.random() < 0.4:
+                steps.append(other(rng.choice(["TAXI", "WALKING"]), rng.choice([300, 1500, 2000, 3500])))
+            options = [(rng.choice(["0", "1", "rail", None]), "x", *rng.choices(kinds, [9, 9, 3, 9, 9, 0.2])[0]) for _ in range(rng.randint(1, 2))]
+            steps.append(rail(rng.choice([3, 12, 31, 60])) if rng.random() < 0.4 else ("BUS", rng.choice([2, 9, 24, 90]) * 1000.0, 600.0, rng.choice([0.0, 700.0, None]), None, None, None, None, options))
+        cases[str(j)] = (steps, rng.choice([None, DAY, datetime(2026, 9, 23, 5), datetime(2026, 9, 23, 20)]), 60.0)
+    written, settled = [], fares.settled
+    monkeypatch.setattr(fares, "settled", lambda df, what: written.append(what) or settled(df, what))
+    got = told(spark, cases)
+    assert written == ["fare-journeys"]
+    monkeypatch.setattr(fares, "FOLDED", 1)
+    assert told(spark, cases) == got and "fare-states" in written
+    assert {r.source for r in got.values()} == {"fallback", "rules_range", "rules_estimate"}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from transitlake.functions import costs
@@ -33,6 +38,8 @@ LEAVING_LINES = ("1호선", "경춘선")
 BEYOND = ("평택", "성환", "직산", "두정", "천안", "봉명", "쌍용", "아산", "탕정", "배방", "온양온천", "신창", "가평", "굴봉산", "백양리", "강촌", "김유정", "남춘천", "춘천")
 # Choices of routes in all that a journey has at most to be folded in its row.
 FOLDED = 256
+# Choices of journeys that a task folds at once, about.
+FOLD_ROWS = 100_000
 # Why a step has no price.
 NO_DISTANCE, NO_LINE, NO_PLACE = "구간 거리 미확인", "철도 별도운임 또는 노선 미확인", "수도권 외 철도 운임거리 미확인"
 NO_ROUTE, NO_TARIFF, UNLIKE = "버스 관할·노선 유형 미확인", "마을버스 관할 요금 또는 별도 버스 운임 미확인", "승차 가능 노선의 요금이 서로 다름"
@@ -157,8 +164,8 @@ def fare_options(journeys: DataFrame, steps: DataFrame, key: str = "journey") ->
     reason. source is rules_estimate, rules_range if a bus could be chosen, or fallback; transfer_kept says if the ride
     after the last taxi went on as a transfer, null if no taxi lay between or choices differ. No rides cost nothing.
 
-    Steps are shuffled by journey once and written a row a journey; one of up to FOLDED choices is then folded within
-    its row. Those of more go by rounds (see _by_rounds).
+    Steps are shuffled by journey once and written a row a journey; those of up to FOLDED choices are then folded in
+    place, many rows at once (see _folded). Those of more go by rounds (see _by_rounds).
     """
     along = Window.partitionBy(key).orderBy("pos")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -177,20 +184,94 @@ def fare_options(journeys: DataFrame, steps: DataFrame, key: str = "journey") ->
     rides = timed.groupBy(key).agg(F.first("fallback").alias("fallback"), F.array_sort(F.collect_list(F.when(F.col("_ride"), ride))).alias("rides"))
     unpriced = F.exists("rides", lambda r: F.coalesce(r["reason"] != UNLIKE, F.lit(False)))
     choices = F.aggregate("rides", F.lit(1.0), lambda n, r: n * F.size(r["options"]))
-    told = settled(rides.withColumns({"unpriced": unpriced, "choices": choices}), "fare-journeys")
-    few = told.withColumn("states", F.when(~F.col("unpriced"), F.aggregate("rides", F.array(_start()), _take_each)))
-    costs_ = F.transform("states", lambda g: g["closed"] + g["paid"])
-    kept = F.array_distinct(F.transform("states", lambda g: g["kept"]))
-    few = few.withColumns({"least": F.array_min(costs_), "greatest": F.array_max(costs_), "transfer_kept": F.when((F.size("rides") > 0) & (F.size(kept) == 1), kept[0])})
-    small = F.col("unpriced") | (F.col("choices") <= FOLDED)
-    every, many = few.filter(small).drop("states"), told.filter(~small)
+    reason = F.filter("rides", lambda r: r["reason"].isNotNull())[0]["reason"]
+    choice = F.exists("rides", lambda r: F.size(r["options"]) > 1)
+    told = rides.withColumns({"unpriced": unpriced, "choices": choices}).select(key, F.col("fallback").cast("double").alias("fallback"), "unpriced", "choices", F.when(F.col("unpriced"), reason).alias("reason"), choice.alias("choice"), F.when(~F.col("unpriced"), F.col("rides")).alias("rides"))
+    told = settled(told, "fare-journeys")
+    few, many, none = told.filter(f"not unpriced and choices <= {FOLDED}"), told.filter(f"not unpriced and choices > {FOLDED}"), told.filter("unpriced")
+    schema = T.StructType([told.schema[key], told.schema["choice"], *[T.StructField(c, T.DoubleType()) for c in ("least", "greatest")], T.StructField("transfer_kept", T.BooleanType())])
+    every = few.select(key, "choice", "choices", "rides").mapInArrow(_folded, schema)
     if not many.isEmpty():
-        every = every.unionByName(many.join(_by_rounds(many, key), key))
-    failed = F.col("unpriced")
-    value = F.when(failed, F.col("fallback").cast("double")).otherwise(F.col("greatest"))
-    source = F.when(failed, "fallback").when(F.exists("rides", lambda r: F.size(r["options"]) > 1), "rules_range").otherwise("rules_estimate")
-    reason = F.when(failed, F.filter("rides", lambda r: r["reason"].isNotNull())[0]["reason"])
-    return every.select(key, value.alias("value"), "least", "greatest", source.alias("source"), reason.alias("reason"), "transfer_kept")
+        every = every.unionByName(many.select(key, "choice").join(_by_rounds(many, key), key))
+    source = F.when(F.col("choice"), "rules_range").otherwise("rules_estimate")
+    priced = every.select(key, F.col("greatest").alias("value"), "least", "greatest", source.alias("source"), F.lit(None).cast("string").alias("reason"), "transfer_kept")
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    return priced.unionByName(none.select(key, F.col("fallback").alias("value"), null("least", "double"), null("greatest", "double"), F.lit("fallback").alias("source"), "reason", null("transfer_kept", "boolean")))
+
+
+def _alone_rows(m, base, free_m, mode):
+    """_alone of arrays."""
+    km = m / 1000
+    rail = 100 * (np.ceil(np.maximum(0.0, np.minimum(km, 50.0) - 10) / 5) + np.ceil(np.maximum(0.0, km - 50) / 8))
+    bus = np.minimum(100 * np.ceil(np.maximum(0.0, m - free_m) / INTERVAL_M), BUS_CAP)
+    return base + np.where(mode == "rail", rail, np.where(mode == "bus", bus, 0.0))
+
+
+def _take_rows(g: dict, r: dict) -> dict:
+    """_take of arrays, a state and a ride each; a ride has one route, a number or -1, and last is told apart into its parts."""
+    hour = np.floor(r["board_s"] / 3600) % 24
+    in_time = r["board_s"] - g["until"] <= np.where(r["clock"] & ((hour >= 21) | (hour < 7)), NIGHT_WINDOW_S, WINDOW_S)
+    was_rail, is_rail, any_before = g["last_mode"] == "rail", r["mode"] == "rail", g["n"] > 0
+    inside = any_before & was_rail & is_rail & ~r["taxi"]
+    same_bus = ~was_rail & ~is_rail & (g["route"] == r["route"]) & (r["route"] >= 0)
+    joins = inside | (any_before & (g["n"] < MAX_BOARDINGS) & in_time & ~(was_rail & is_rail) & ~same_bus)
+    early = r["clock"] & (r["board_s"] % 86400.0 < EARLY_S)
+    pick = lambda one, two, three: np.where(inside, one, np.where(joins, two, three))
+    x = {
+        "n": pick(g["n"], g["n"] + 1, 1), "base": pick(g["base"], np.maximum(g["base"], r["base"]), r["base"]), "free_m": pick(g["free_m"], np.maximum(g["free_m"], r["free_m"]), r["free_m"]),
+        "m": np.where(joins, g["m"] + r["m"], r["m"]), "before": pick(g["before"], g["before"] + _alone_rows(*[g[f"last_{c}"] for c in ("m", "base", "free_m", "mode")]), 0.0),
+        "last_m": np.where(inside, g["last_m"] + r["m"], r["m"]), **{f"last_{c}": np.where(inside, g[f"last_{c}"], r[c]) for c in ("base", "free_m", "mode")},
+        "off": np.where(joins, g["off"], np.where((g["groups"] == 0) & early, r["early"], 0.0)),
+    }
+    singly = x["before"] + _alone_rows(*[x[f"last_{c}"] for c in ("m", "base", "free_m", "mode")])
+    together = x["base"] + 100 * np.ceil(np.maximum(0.0, x["m"] - x["free_m"]) / INTERVAL_M)
+    owed = np.where(x["n"] == 1, singly, np.minimum(together, singly)) - x["off"]
+    least = np.where(joins, g["paid"] + np.maximum(0.0, x["base"] - g["base"]), 0.0)
+    return x | {
+        "closed": np.where(joins, g["closed"], g["closed"] + g["paid"]), "groups": g["groups"] + ~joins, "paid": np.maximum(least, owed), "until": r["alight_s"], "route": r["route"],
+        "kept": np.where(r["taxi"] & any_before, joins, g["kept"]),
+    }
+
+
+def _fold_rows(rides: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """least, greatest and kept, -1 if none or several, of journeys over all choices, a ride of all of them at a time."""
+    plain = lambda a: a.to_numpy(zero_copy_only=False)
+    size, ride = plain(rides.value_lengths()).astype(np.int64), rides.flatten()
+    options = ride.field("options")
+    many, option = plain(options.value_lengths()).astype(np.int64), options.flatten()
+    first_ride, first_option = np.cumsum(size) - size, np.cumsum(many) - many
+    by_ride = {c: plain(ride.field(c)) for c in ("board_s", "alight_s", "clock", "m", "taxi")}
+    by_option = {c: plain(option.field("rule").field(c)) for c in ("base", "free_m", "early")}
+    by_option["mode"] = plain(option.field("rule").field("mode")).astype("U4")
+    by_option["route"] = plain(option.field("routes").flatten().dictionary_encode().indices.cast(pa.int64()).fill_null(-1))
+    least, greatest, low, high = np.full(len(size), np.inf), np.full(len(size), -np.inf), np.full(len(size), 2), np.full(len(size), -2)
+    of, n = np.arange(len(size)), 0
+    g = {c: np.zeros(len(of)) for c in ("closed", "base", "free_m", "m", "before", "last_m", "last_base", "last_free_m", "off", "paid", "until")}
+    g |= {"groups": np.zeros(len(of), np.int64), "n": np.zeros(len(of), np.int64), "last_mode": np.full(len(of), "", "U4"), "route": np.full(len(of), -1), "kept": np.full(len(of), -1)}
+    while True:
+        ended = size[of] == n
+        at, cost, kept = of[ended], (g["closed"] + g["paid"])[ended], g["kept"][ended]
+        np.minimum.at(least, at, cost), np.maximum.at(greatest, at, cost), np.minimum.at(low, at, kept), np.maximum.at(high, at, kept)
+        of, g = of[~ended], {c: v[~ended] for c, v in g.items()}
+        if not len(of):
+            return least, greatest, np.where(low == high, low, -1)
+        r = first_ride[of] + n
+        each = np.repeat(np.arange(len(of)), many[r])
+        o = first_option[r][each] + np.arange(len(each)) - (np.cumsum(many[r]) - many[r])[each]
+        of, g = of[each], _take_rows({c: v[each] for c, v in g.items()}, {c: v[r][each] for c, v in by_ride.items()} | {c: v[o] for c, v in by_option.items()})
+        n += 1
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, choice, least, greatest, transfer_kept of rows of key, choice, choices and rides, as many at once as have FOLD_ROWS choices or few more."""
+    for batch in batches:
+        block = (np.cumsum(batch.column(2).to_numpy()) // FOLD_ROWS).astype(np.int64)
+        edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            some = batch.slice(a, b - a)
+            least, greatest, kept = _fold_rows(some.column(3))
+            found = [pa.array(least), pa.array(greatest), pa.array(kept == 1, mask=kept < 0)]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *found], [*batch.schema.names[:2], "least", "greatest", "transfer_kept"])
 
 
 def _chosen(r: Column, o: Column) -> Column:
@@ -198,11 +279,6 @@ def _chosen(r: Column, o: Column) -> Column:
     return _fields(**{c: r[c] for c in ("board_s", "alight_s", "clock", "m", "taxi")}, **{c: o["rule"][c] for c in ("base", "free_m", "mode", "early")}, routes=o["routes"])
 
 
-def _take_each(states: Column, r: Column) -> Column:
-    """The states after each option of a ride from each state before."""
-    return F.flatten(F.transform(states, lambda g: F.transform(r["options"], lambda o: _take(g, _chosen(r, o)))))
-
-
 def _by_rounds(journeys: DataFrame, key: str) -> DataFrame:
     """key, least, greatest, transfer_kept of journeys(key, rides), unfolded a ride at a time for all of them.
 
