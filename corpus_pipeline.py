@@ -9,10 +9,14 @@ from transitlake.llm import exact_dedup, language_id, mixing, ngram_join, packin
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the models don't reject; where lang is null, the language found takes its place. Null texts and those without letters go."""
+    """The documents that the models don't reject; where lang is null, the language found takes its place. Null texts and those without letters go.
+
+    They are written here, as texts go to workers in smaller batches then.
+    """
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "lang"]
     found = language_id.identify(docs, language_id.train(docs)).filter("not rejected")
-    return found.select(*columns, F.coalesce("lang", "lang_pred").alias("lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = found.select(*columns, F.coalesce("lang", "lang_pred").alias("lang")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return shared.written(named, "languages", batch_rows=shared.BATCH_ROWS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def directory(keys: DataFrame, distinct: int, n_bytes: int, bucket_keys: int = B
         found = step if found is None else found.unionByName(step)
         left = left.join(over, "slot", "left_semi")
     if found is None:
-        found = keys.sparkSession.createDataFrame([], "slot long, local int")
+        found = shared.rows_of(keys.sparkSession, [], "slot long, local int")
     return depth, found.groupBy("slot").agg(F.max("local").alias("local"))
 
 

@@ -223,7 +223,7 @@ def training_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGUAGES).collect()
     each = min(SAMPLE_CHARS, SAMPLE_CHARS_IN_ALL // max(1, len(sizes)))
     # The upper 53 bits of the hash choose, finely enough for any size of corpus; the others part fit from calibration.
-    cuts = docs.sparkSession.createDataFrame([(r.lang, int(min(1.0, each / r.chars) * (1 << 53))) for r in sizes], "lang string, cut long")
+    cuts = shared.rows_of(docs.sparkSession, [(r.lang, int(min(1.0, each / r.chars) * (1 << 53))) for r in sizes], "lang string, cut long")
     chosen = labelled.join(F.broadcast(cuts), "lang").filter(F.shiftrightunsigned("h", 11) < F.col("cut"))
     return chosen.select("lang", "text", (F.col("h").bitwiseAND(F.lit(2047)) % 10 == 0).alias("calibrate"))
 
@@ -240,7 +240,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield pd.DataFrame([(lang, w, n) for (lang, w), n in seen.items()], columns=["lang", "word", "n"])
 
     fitted = sample.filter("not calibrate") if sample.filter("not calibrate").select("lang").distinct().count() == sample.select("lang").distinct().count() else sample
-    rows = fitted.select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    rows = fitted.select("lang", "text").mapInPandas(shared.lean(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in rows.toLocalIterator():
         counts[r.lang][r.word] = r.n
@@ -255,7 +255,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             cross, n = scorer.cross_entropies(list(pdf["text"]))
             yield pd.DataFrame({"truth": [at[x] for x in pdf["lang"]], "n": n, "cross": list(cross)})[n > 0]
 
-    held = sample.filter("calibrate").select("lang", "text").mapInPandas(measure, "truth int, n long, cross array<double>").toPandas()
+    held = sample.filter("calibrate").select("lang", "text").mapInPandas(shared.lean(measure), "truth int, n long, cross array<double>").toPandas()
     if len(held):
         model.calibrate(np.stack(held["cross"].to_numpy()), held["n"].to_numpy(), held["truth"].to_numpy())
     return model
@@ -284,7 +284,7 @@ def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", t
 
     # The same kind of worker as in training and other operators, so executors don't keep a second set of them.
     schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
-    return kept.mapInArrow(judged, schema)
+    return kept.mapInArrow(shared.lean(judged), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

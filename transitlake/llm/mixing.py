@@ -63,7 +63,7 @@ def budgets(leaves: DataFrame, levels: int, weight: Callable[[tuple[str, ...]],
             yield pdf.assign(w=[float(weight(tuple(p))) for p in pdf["path"]]).drop(columns="path")
 
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    amounts = leaves.sparkSession.createDataFrame([("[]", min(float(budget), float(total) * max_epochs))], "parent string, amount double")
+    amounts = shared.rows_of(leaves.sparkSession, [("[]", min(float(budget), float(total) * max_epochs))], "parent string, amount double")
     for n in range(1, levels + 1):
         nodes = leaves.groupBy(*names[:n]).agg((F.sum("tokens") * max_epochs).cast("double").alias("cap"))
         nodes = nodes.select(path(n - 1).alias("parent"), path(n).alias("node"), "cap", F.array(*names[:n]).alias("path"))

@@ -186,7 +186,7 @@ def file_sets(rows: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Da
             columns = [batch["doc_id"], batch["row"], pa.array(n, pa.int64()), pa.array(signed(np.array(one, dtype=np.uint64))), pa.array(signed(np.array(two, dtype=np.uint64))), _lists(keys)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n", "s1", "s2", "keys"])
 
-    return shared.written(rows.mapInArrow(filed, "doc_id long, row long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4", shared.BATCH_ROWS)
+    return shared.written(rows.mapInArrow(shared.lean(filed), "doc_id long, row long, n long, s1 long, s2 long, keys array<long>"), "ngram-sets", "lz4", shared.BATCH_ROWS)
 
 
 def even(c: Column) -> Column:
@@ -233,7 +233,7 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
     least = F.ceil(F.col("n") * percent / F.lit(100))
     shared_keys = F.col("filed") - F.least(F.coalesce("own0", F.lit(0)), F.coalesce("own1", F.lit(0)))
     enough = shared_keys >= 1 + F.floor(least * (100 - percent) / F.lit(200))
-    near = shared.written(classes.join(own, even(F.col("s1")) == F.col("even"), "left").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near")
+    near = shared.written(classes.join(own, even(F.col("s1")) == F.col("even"), "left").filter(enough).select("row", F.col("s1").alias("node"), "n"), "ngram-near", split_bytes=shared.SPLIT_BYTES)
     bits, mask = marked(near)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,13 +246,13 @@ def sequences(rows: DataFrame, sets: DataFrame, percent: int = PERCENT, words: i
                 signs = signed(np.array([shared.mix64(s ^ C1).sum(dtype=np.uint64) for s in found], dtype=np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(signs, pa.int64()), _lists([signed(s) for s in found])], ["node", "keys"])
 
-    every = shared.written(rows.select("row", "text").mapInArrow(told, "node long, keys array<long>"), "ngram-whole", "lz4", shared.BATCH_ROWS)
+    every = shared.written(rows.select("row", "text").mapInArrow(shared.lean(told), "node long, keys array<long>"), "ngram-whole", "lz4", shared.BATCH_ROWS)
     tokens = every.select("node", F.explode("keys").alias("key"))
-    counts = shared.written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-counts", "lz4")
+    counts = shared.written(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "ngram-counts", "lz4", split_bytes=shared.SPLIT_BYTES)
     level = F.least(F.floor(F.log2("c")), F.lit(31)).cast("long")
     code = F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned("key", 64 - HASH_BITS))
     coded = tokens.join(counts.hint("merge"), "key").select("node", code.alias("code")).groupBy("node").agg(F.sort_array(F.array_distinct(F.collect_list("code"))).alias("codes"))
-    return shared.written(coded.join(near.select("node", "n"), "node").select("node", "n", "codes"), "ngram-sequences", "lz4")
+    return shared.written(coded.join(near.select("node", "n"), "node").select("node", "n", "codes"), "ngram-sequences", "lz4", split_bytes=shared.SPLIT_BYTES)
 
 
 def _groups(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -340,7 +340,7 @@ def links(filed: DataFrame, sets: DataFrame, whole: bool, percent: int = PERCENT
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return shared.written(sent.mapInPandas(walk, "a long, b long"), "ngram-links", batch_rows=shared.BATCH_ROWS)
+    return shared.written(sent.mapInPandas(shared.lean(walk), "a long, b long"), "ngram-links", batch_rows=shared.BATCH_ROWS)
 
 
 def linked_components(sets: DataFrame, percent: int = PERCENT, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, first: int = FIRST) -> DataFrame:
