@@ -99,3 +99,16 @@ def test_components_of_places(spark):
                 if None not in p + q and metres(p, q) <= 1_200:
                     root[a] = min(root[a], root[b])
     assert got == root
+
+
+@pytest.mark.parametrize("query", ["candidate_heads"])
+def test_parts_of_a_side_make_routes_once(spark, data, monkeypatch, query):
+    """Routes are made once and written; no journey is followed back, as parts don't tell how they began; all tasks give out rows."""
+    from transitlake import journey_queries
+
+    made, routes = [], journey_queries.routes
+    monkeypatch.setattr(journey_queries, "routes", lambda *a: made.append(1) or routes(*a))
+    monkeypatch.setattr(rides, "legs", lambda *a: pytest.fail("journeys were followed back"))
+    got = getattr(journey_queries, query)(spark, data)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(made) == 1 and "lineitem" not in plan and got.count() > 0
