@@ -101,7 +101,7 @@ def test_components_of_places(spark):
     assert got == root
 
 
-@pytest.mark.parametrize("query", ["candidate_heads"])
+@pytest.mark.parametrize("query", ["candidate_heads", "candidate_tails"])
 def test_parts_of_a_side_make_routes_once(spark, data, monkeypatch, query):
     """Routes are made once and written; no journey is followed back, as parts don't tell how they began; all tasks give out rows."""
     from transitlake import journey_queries
